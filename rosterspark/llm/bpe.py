@@ -8,6 +8,7 @@ a table hashed by pair gives the ranks, shifting left closes the gap, and rows w
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -136,26 +137,30 @@ def merge_long(piece: bytes, vocabulary: Vocabulary) -> list[int]:
 
 
 class Encoder:
-    """Encodes texts; remembers the pieces it has met, up to ``remember`` of them."""
+    """Encodes texts; remembers the words it has met, about ``remember`` of them."""
 
-    def __init__(self, path: str, pattern: str, remember: int = 300_000):
+    def __init__(self, path: str, pattern: str, remember: int = 700_000):
         import regex
 
         self.vocabulary, self.split = Vocabulary(path), regex.compile(pattern).findall
-        self.known: dict[str, str] = {}
         self.decimal = [str(i) for i in range(len(self.vocabulary.tokens))]
+        self.words: dict[str, str | None] = {}
+        self.firsts: dict[str, str | None] = {}
+        self.meaning = dict(zip(self.decimal, self.vocabulary.tokens))
         self.remember = remember
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _merged(self, pieces: list[str]) -> dict[str, str]:
+        """The ids of each piece, in decimal."""
+        out: dict[str, str] = {}
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         ranks = self.vocabulary.ranks
         buckets: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
             whole = ranks.get(b)
             if whole is not None:
-                self.known[pieces[i]] = self.decimal[whole]
+                out[pieces[i]] = self.decimal[whole]
             elif len(b) > LONG:
-                self.known[pieces[i]] = ",".join(map(str, merge_long(b, self.vocabulary)))
+                out[pieces[i]] = ",".join(map(str, merge_long(b, self.vocabulary)))
             else:
                 buckets.setdefault(len(b) if len(b) < 24 else len(b) + 15 & ~15, []).append(i)
         number = self.decimal.__getitem__
@@ -170,31 +175,60 @@ class Encoder:
                     flat, ends = list(map(number, ids[real].tolist())), real.sum(axis=1).cumsum().tolist()
                     begin = 0
                     for i, end in zip(which.tolist(), ends):
-                        self.known[pieces[part[i]]] = ",".join(flat[begin:end])
+                        out[pieces[part[i]]] = ",".join(flat[begin:end])
                         begin = end
+        return out
+
+    def _learn(self, words: list[str], gap: str, known: dict[str, str | None]) -> None:
+        """Ids of ``gap + word``; None for words that may not be split off (empty, or white space at an end)."""
+        whole, found = [], []
+        for word in words:
+            if word.isalpha():  # letters only: one match of the pattern
+                whole.append(word)
+            elif not word or word[0].isspace() or word[-1].isspace():
+                known[word] = None
+            else:
+                found.append((word, self.split(gap + word)))
+        ids = self._merged(list({gap + w for w in whole}.union(*(pieces for _, pieces in found))))
+        for word in whole:
+            known[word] = ids[gap + word]
+        for word, pieces in found:
+            known[word] = ",".join(map(ids.__getitem__, pieces))
 
     def encode_batch(self, texts: list[str]) -> Iterator[str]:
-        """Each text's ids, in decimal, joined by commas (no ids: empty)."""
+        """Each text's ids, in decimal, joined by commas (no ids: empty).
+
+        The pattern has no match that goes on over a space between two characters that are no white space, and none
+        looks back; so a text may be cut before each such space, and whole words are remembered.  A text with other
+        white space around a space is split by the pattern as a whole."""
         start = 0
         while start < len(texts):  # as many texts at once as make up some megabytes
             end, size = start, 0
-            while end < len(texts) and (end == start or size + len(texts[end]) <= 3_000_000):
+            while end < len(texts) and (end == start or size + len(texts[end]) <= 4_000_000):
                 size += len(texts[end])
                 end += 1
-            pieces = [self.split(t) for t in texts[start:end]]
-            if len(self.known) > self.remember:
-                self.known.clear()
-            known, new = self.known, set()
-            for found in pieces:
-                new.update(found)
-            self._learn(sorted(new - known.keys()))
-            for found in pieces:
-                yield ",".join(map(known.__getitem__, found))
+            for memory in (self.words, self.firsts):
+                if len(memory) > self.remember:
+                    memory.clear()
+            gc.disable()  # very many short-lived lists, no cycles
+            cut = [t.split(" ") for t in texts[start:end]]
+            rest = set()
+            for words in cut:
+                rest.update(words[1:])
+            self._learn([w for w in {words[0] for words in cut} if w not in self.firsts], "", self.firsts)
+            self._learn([w for w in rest if w not in self.words], " ", self.words)
+            gc.enable()
+            for words, text in zip(cut, texts[start:end]):
+                ids = list(map(self.words.__getitem__, words[1:]))
+                ids.insert(0, self.firsts[words[0]])
+                if None in ids:
+                    pieces = self.split(text)
+                    ids = map(self._merged(list(set(pieces))).__getitem__, pieces)
+                yield ",".join(ids)
             start = end
 
     def decode(self, ids: str) -> bytes:
-        tokens = self.vocabulary.tokens
-        return b"".join(map(tokens.__getitem__, np.array(ids.split(","), np.int32).tolist())) if ids else b""
+        return b"".join(map(self.meaning.__getitem__, ids.split(","))) if ids else b""
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
