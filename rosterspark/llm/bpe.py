@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -274,18 +275,19 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         [T.StructField("i", kind), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     )
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = _encoder(path, pattern)
         for batch in batches:
-            out = []
-            for ids in tool.encode_batch(batch["t"].fillna("").tolist()):
-                out.append((ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tool.decode(ids)).hexdigest()))
-            made = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            made.insert(0, "i", batch["i"].to_numpy())
-            yield made
+            counts, first, second = [], [], []
+            for ids in tool.encode_batch([t or "" for t in batch.column("t").to_pylist()]):
+                counts.append(ids.count(",") + 1 if ids else 0)
+                first.append(hashlib.sha256(ids.encode()).hexdigest())
+                second.append(hashlib.sha256(tool.decode(ids)).hexdigest())
+            columns = [batch.column("i"), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return plain.mapInPandas(apply, schema).withColumnRenamed("i", id_col)
+    return plain.mapInArrow(apply, schema).withColumnRenamed("i", id_col)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

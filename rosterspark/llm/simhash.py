@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,14 +59,14 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id_col, fp``: one row per document; null text counts as empty."""
     kind = docs.schema[id_col].dataType
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, words) for t in batch["t"]), np.int64, len(batch))
-            yield pd.DataFrame({"i": batch["i"], "fp": found})
+            found = np.fromiter((fingerprint(t, words) for t in batch.column("t").to_pylist()), np.int64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found)], ["i", "fp"])
 
     schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType())])
     plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    return plain.mapInPandas(apply, schema).withColumnRenamed("i", id_col)
+    return plain.mapInArrow(apply, schema).withColumnRenamed("i", id_col)
 
 
 def _signed(x: int) -> int:
