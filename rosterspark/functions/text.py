@@ -94,9 +94,11 @@ REASON = r"(?i)\s*,\s*(retir|elevat|deceas|withdraw|no senate vote|reject|resign
 
 
 def predecessor(description: Column) -> Column:
-    """What follows the word "vice", up to a comma and a reason; null if nothing does."""
+    """What follows the word "vice", up to a comma and a reason; null if nothing does.  A suffix keeps its period."""
     after = F.regexp_extract(description, r"(?is)\bvice\b\s*(.*)$", 1)
-    name = F.regexp_replace(F.element_at(F.split(after, REASON, 2), 1), r"^[ ,.]+|[ ,.]+$", "")
+    rest = F.regexp_replace(F.element_at(F.split(after, REASON, 2), 1), r"^[ ,.]+", "")
+    suffix = r"(?i)(\b(?:jr|sr|iii|ii|iv)\.)[ ,.]*$"
+    name = F.when(rest.rlike(suffix), F.regexp_replace(rest, suffix, "$1")).otherwise(F.regexp_replace(rest, r"[ ,.]+$", ""))
     position = F.regexp_replace(strip(F.regexp_replace(F.lower(name), r"p\.\s*l\.?", "public law")), r"\s+", " ")
     return or_null(F.when(F.lower(name).startswith("a new position"), position).otherwise(name))
 

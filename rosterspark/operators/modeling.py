@@ -96,6 +96,8 @@ def feature_importances(model: PipelineModel, scored: DataFrame) -> DataFrame:
     last = model.stages[-1]
     attributes = scored.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a.get("name", str(a["idx"])) for group in attributes.values() for a in group}
+    numeric = next((s.getInputCols() for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "__num"), [])
+    names |= {i: c.removesuffix("__filled") for i, n in names.items() for k, c in enumerate(numeric) if n == f"__scaled_{k}"}
     size = len(names)
     if hasattr(last, "featureImportances"):
         values = last.featureImportances.toArray().tolist()
