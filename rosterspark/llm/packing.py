@@ -8,7 +8,10 @@ partitions and packed again, round by round, as long as sequences can still be s
 
 from __future__ import annotations
 
+import gc
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -27,21 +30,74 @@ END = 1
 _TOKENIZERS: dict[str, "Words"] = {}
 
 
+#: Punctuation, letters (and whatever is no ASCII), punctuation; all of one word.
+_PARTS = re.compile(rb"([!-/:-@\[-`{-~]*)([a-z\x80-\xff]*)([!-/:-@\[-`{-~]*)")
+
+
 class Words:
     """Ids of white-space separated words by a tokenizer that never looks across ASCII white space (its pieces contain
-    none and its normaliser composes nothing with it); remembers about ``remember`` words."""
+    none and its normaliser composes nothing with it); remembers about ``remember`` words.
 
-    def __init__(self, path: str, remember: int = 500_000):
+    A new word that is letters between punctuation is put together from the ids of these parts, which the tokenizer
+    takes apart as well; the parts that are new are encoded in one go, and the marks for ends of words in the
+    vocabulary tell them apart.  Other new words are encoded one by one."""
+
+    def __init__(self, path: str, remember: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the unit of parallel work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
         self.remember = remember
 
+    def _one_by_one(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for word, made in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
+                self.known[word] = np.array(made.ids, "<u4").tobytes()
+
+    def _in_one_go(self, parts: list[bytes]) -> None:
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode("utf-8")], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                self._one_by_one(some)
+                continue
+            raw, begin = ids.tobytes(), 0
+            for part, stop in zip(some, (4 * stops).tolist()):
+                self.known[part] = raw[begin:stop]
+                begin = stop
+
+    def _learn(self, words: list[bytes]) -> None:
+        known, whole, parts, put = self.known, [], set(), []
+        for word in words:
+            found = _PARTS.fullmatch(word)
+            if found is None or found[1].endswith(b"'"):
+                whole.append(word)
+                continue
+            before, core, after = found.groups()
+            if core and not core.isascii():
+                text = core.decode("utf-8")
+                if not (text.isalpha() and text.lower().isalpha() and unicodedata.is_normalized("NFC", text)):
+                    whole.append(word)
+                    continue
+            own = [x for x in (before, core, after) if x]
+            parts.update(x for x in own if x not in known)
+            if len(own) > 1:
+                put.append((word, own))
+        self._in_one_go(list(parts))
+        self._one_by_one(whole)
+        for word, own in put:
+            known[word] = b"".join([known[x] for x in own])
+
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        """Each text's ids as little-endian unsigned 32-bit numbers.  A-Z are put in lower case first, as the
+        tokenizer would."""
         start = 0
         while start < len(texts):
             end, size = start, 0
@@ -50,15 +106,13 @@ class Words:
                 end += 1
             if len(self.known) > self.remember:
                 self.known.clear()
-            split = [t.encode("utf-8", "replace").split() for t in texts[start:end]]
+            gc.disable()  # very many short-lived lists, no cycles
+            split = [t.encode("utf-8", "replace").lower().split() for t in texts[start:end]]
             words = set()
             for found in split:
                 words.update(found)
-            new = [w for w in words if w not in self.known]
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for word, made in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False)):
-                    self.known[word] = np.array(made.ids, "<u4").tobytes()
+            self._learn([w for w in words if w not in self.known])
+            gc.enable()
             for found in split:
                 yield b"".join(map(self.known.__getitem__, found))
             start = end
