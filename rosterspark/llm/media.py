@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,8 +184,6 @@ def sniff_media(rows: DataFrame, data_col: str, declared_col: str) -> DataFrame:
         ]
     )
 
-    import pandas as pd
-
     @F.pandas_udf(kind)
     def of(values: pd.Series) -> pd.DataFrame:
         out = []
