@@ -182,7 +182,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
-    return score(docs, labels, threshold).filter("predicted = 1").select(*docs.columns)
+    rules = learn(docs, labels)
+    scored = with_statistics(docs, into="__stats").withColumn("__score", rules.score("__stats"))
+    return scored.filter(F.col("__score") >= threshold).drop("__stats", "__score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,10 @@ HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: Tokens of 16 characters and more with a letter and a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-#: Log-likelihood ratio above which a token counts as random: e^12 times as likely.
-THRESHOLD = 12.0
+#: What each count of two characters is raised by.
+PRIOR = 4.0
+#: Log-likelihood ratio above which a token counts as random: e^6 times as likely.
+THRESHOLD = 6.0
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -66,7 +68,7 @@ def _bigrams(tokens: DataFrame, column: str) -> DataFrame:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> list[float]:
     """The log-likelihood ratio of each two characters, row by row of the alphabet, from ``sample`` documents (those
     of least hashed id): values of the fixed kinds against all other tokens.  Only bigram counts reach the driver.
-    Counts are raised by one half, so with no value at all the random model is the uniform one."""
+    Counts are raised by PRIOR, so models of few samples stay near the uniform one."""
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col, "left_semi")
@@ -83,7 +85,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     size = len(ALPHABET)
     logs = []
     for part in (values, ordinary):
-        counts = [[0.5] * size for _ in ALPHABET]
+        counts = [[PRIOR] * size for _ in ALPHABET]
         for row in _bigrams(part, "v").collect():
             counts[ALPHABET.index(row["pair"][0])][ALPHABET.index(row["pair"][1])] += row["n"]
         logs.append([math.log(n / sum(line)) for line in counts for n in line])
@@ -94,7 +96,7 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     """Sum over neighbouring characters; characters outside the alphabet must not occur."""
     size = len(ALPHABET)
     table_ = F.array(*[F.lit(x) for x in model])
-    codes = F.transform(F.split(token, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c) - 1)
+    codes = F.transform(F.split(token, ""), lambda c: F.when(c == "", -1).otherwise(F.call_function("instr", F.lit(ALPHABET), c) - 1))
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
 
     def step(s: Column, c: Column) -> Column:
@@ -104,13 +106,13 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.filter(codes, lambda c: c >= 0), start, step, lambda s: s["sum"])
 
 
-def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with array columns ``assign, access, hex`` and ``random`` of spans (start, kind, end; end exclusive,
-    code points).  Null and empty texts have none; columns of these names are replaced."""
+def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    """``docs`` with array columns ``assign, access, hex`` and ``random`` (behind ``prefix``) of spans (start, kind,
+    end; end exclusive, code points).  Null and empty texts have none; columns of these names are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [k for k, *_ in KINDS]
-    base = reserved(docs, *names, "random").withColumns(base_spans(text))
-    seen = base.withColumn("random", _spans(text, CANDIDATE, len(KINDS)))
+    names, random = [prefix + k for k, *_ in KINDS], prefix + "random"
+    base = reserved(docs, *names, random).withColumns({prefix + k: c for k, c in base_spans(text).items()})
+    seen = base.withColumn(random, _spans(text, CANDIDATE, len(KINDS)))
 
     def new(s: Column) -> Column:
         clear = F.lit(True)
@@ -118,7 +120,7 @@ def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", thre
             clear = clear & ~F.exists(F.col(name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
         return clear & (likelihood_ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) > threshold)
 
-    return seen.withColumn("random", F.when(F.size("random") > 0, F.filter("random", new)).otherwise(F.col("random")))
+    return seen.withColumn(random, F.when(F.size(random) > 0, F.filter(random, new)).otherwise(F.col(random)))
 
 
 def _listed(spans: Column) -> Column:
@@ -144,8 +146,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", sample: int = 2000) -> DataFrame:
     """``docs`` with every span in the text replaced by ``mark`` (overlapping spans by one) and, where there is such a
     column, ``n_chars`` of the new text.  No row goes."""
-    found = with_spans(docs, train(docs, id_col, text_col, sample), text_col)
-    every = F.array_sort(F.concat("assign", "access", "hex", "random"))
+    found = with_spans(docs, train(docs, id_col, text_col, sample), text_col, prefix="__")
+    every = F.array_sort(F.concat("__assign", "__access", "__hex", "__random"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

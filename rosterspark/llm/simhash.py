@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, reserved
+from .common import cut
 from .graph import connected_components
 
 RADIUS = 3
@@ -137,10 +137,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id stay: nothing could name another in their stead."""
     found = near_duplicates(docs, id_col, text_col)
     firsts = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    plain = reserved(docs, "_row")
-    numbered = plain.filter(F.col(id_col).isNotNull()).withColumn("_row", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
-    kept = numbered.filter("_row = 1").drop("_row").join(firsts, id_col, "left_semi")
-    return kept.select(*plain.columns).unionByName(plain.filter(F.col(id_col).isNull()))
+    numbered = docs.filter(F.col(id_col).isNotNull()).withColumn("__row_of_id", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    kept = numbered.filter("__row_of_id = 1").drop("__row_of_id").join(firsts, id_col, "left_semi")
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
