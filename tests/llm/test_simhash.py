@@ -87,3 +87,20 @@ def test_one_of_each_and_empty(docs, empty):
     assert ids.count(None) == 2 and len(set(ids)) == len(ids) - 1
     assert 0 in ids and 1 not in ids and 9 not in ids
     assert near_duplicates(empty).count() == 0 and one_of_each(empty).count() == 0
+
+
+def test_near_copies_beyond_three_bits_go_and_others_stay(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    base = [[rnd.choice(words) for _ in range(200)] for _ in range(12)]
+    rows, near = [], set()
+    for i, b in enumerate(base):
+        rows.append((len(rows), " ".join(b)))
+        for at in (20, 90, 160):  # a run of new words: about 0.93 of the shingles stay
+            c = [*b[:at], *(rnd.choice(words) for _ in range(4)), *b[at + 4 :]]
+            near.add(len(rows))
+            rows.append((len(rows), " ".join(c)))
+        half = [*b[:100], *(rnd.choice(words) for _ in range(100))]
+        rows.append((len(rows), " ".join(half)))
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(len(rows))) - near
