@@ -134,8 +134,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Near copies for deduplication: five-word shingles, one permutation cut into BINS, bands of ROWS bins.
 WORDS, BINS, ROWS = 5, 128, 4
-#: Estimated resemblance from which two texts are near copies: 0.8 less the estimate's deviation (0.035 at 128 bins).
-ALIKE = 0.765
+#: Resemblance from which two texts are near copies, and the estimate from which a pair is compared by its whole texts
+#: (three deviations of 0.035 at 128 bins lower).
+ALIKE, MAYBE = 0.8, 0.695
 _EMPTY = -1
 
 
@@ -152,9 +153,10 @@ def signature(text: str | None, words: int = WORDS, bins: int = BINS) -> np.ndar
     return out
 
 
-def _with_signature(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """``fp, sig`` of each row: SimHash fingerprint and signature."""
-    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``i, fp, sig`` of each row: id, SimHash fingerprint and signature."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,19 +164,19 @@ def _with_signature(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             prints = np.fromiter((fingerprint(t, words) for t in texts), np.int64, len(texts))
             flat = np.concatenate([signature(t) for t in texts]) if texts else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(prints), lists], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(prints), lists], schema.names)
 
-    return docs.select(F.col(text_col).alias("t")).mapInArrow(apply, schema)
+    return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(apply, schema)
 
 
-def near_copy_links(signed: DataFrame) -> DataFrame:
-    """``signed`` has a row per different (``fp, sig``).  Edges ``a, b`` between fingerprints of texts whose estimated
-    resemblance is at least ALIKE.
+def near_copy_pairs(signed: DataFrame) -> DataFrame:
+    """``signed`` has a row per different (``fp, sig``) with one of its ids ``i``.  Pairs ``i_x, fp_x, i_y, fp_y`` whose
+    estimated resemblance is at least MAYBE.
 
     Texts with an equal band of ROWS bins meet (at a resemblance of 0.8 one of the 32 bands is equal for all but one
     in ten million pairs).  Where texts meet, each is compared with one of them: the one that meets most
     others over all bands, as the original among its edited copies does.  So pairs are at most as many as bands."""
-    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "fp", "sig"))
+    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig"))
     band = lambda i: F.slice("sig", ROWS * i + 1, ROWS)
     keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.when(F.exists(band(i), lambda x: x != _EMPTY), F.xxhash64(i, band(i))))
     met = rows.select("c", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
@@ -184,12 +186,38 @@ def near_copy_links(signed: DataFrame) -> DataFrame:
     ranked = live.select("key", "c").join(degree, "c")
     centres = ranked.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("top")).select("key", F.col("top.c").alias("centre"))
     pairs = ranked.join(centres, "key").filter("c != centre").select(F.greatest("c", "centre").alias("x"), F.least("c", "centre").alias("y")).distinct()
-    side = lambda n: rows.select(F.col("c").alias(n), F.col("fp").alias(f"fp_{n}"), F.col("sig").alias(f"sig_{n}"))
+    side = lambda n: rows.select(F.col("c").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("i", "fp", "sig")])
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     bins = F.zip_with("sig_x", "sig_y", lambda p, q: F.when((p == _EMPTY) & (q == _EMPTY), -1).when(p == q, 1).otherwise(0))
-    used = both.select("fp_x", "fp_y", bins.alias("bins"))
+    used = both.select("i_x", "fp_x", "i_y", "fp_y", bins.alias("bins"))
     equal, all_ = F.size(F.filter("bins", lambda v: v == 1)), F.size(F.filter("bins", lambda v: v >= 0))
-    return used.filter((equal >= ALIKE * all_) & (F.col("fp_x") != F.col("fp_y"))).select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+    return used.filter((equal >= MAYBE * all_) & (F.col("fp_x") != F.col("fp_y"))).drop("bins")
+
+
+def near_copy_links(docs: DataFrame, id_col: str, text_col: str, words: int = 3, small: int = 200_000) -> DataFrame:
+    """Edges ``a, b`` between the fingerprints of texts that resemble by ALIKE or more over five-word shingles.
+
+    Pairs found by signatures are settled by the whole texts.  Only texts in pairs are fetched: by sending the ids to
+    all tasks if they are at most ``small``, else by a join."""
+    signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"))
+    pairs = cut(near_copy_pairs(signed))
+    ids = cut(pairs.select(F.col("i_x").alias("i")).unionByName(pairs.select(F.col("i_y").alias("i"))).distinct())
+    wanted = F.broadcast(ids) if ids.count() <= small else ids
+    texts = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"]))
+    side = lambda n: texts.select(F.col("i").alias(f"i_{n}"), F.col("t").alias(f"t_{n}"))
+    both = pairs.join(side("x"), "i_x").join(side("y"), "i_y").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"), "t_x", "t_y")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ((_shingles(x), _shingles(y)) for x, y in zip(batch.column("t_x").to_pylist(), batch.column("t_y").to_pylist()))
+            yield batch.select(["a", "b"]).filter(pa.array([len(x & y) >= ALIKE * len(x | y) for x, y in sets], pa.bool_()))
+
+    return both.mapInArrow(apply, "a long, b long")
+
+
+def _shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+    tokens = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -200,8 +228,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to a dozen bits of the fingerprint, more than any ball could be hashed for."""
     named = docs.filter(F.col(id_col).isNotNull())
     prints = cut(with_fingerprint(named, id_col, text_col, words))
-    signed = _with_signature(named, text_col, words).distinct()
-    ties = links(prints.select("fp").distinct()).unionByName(near_copy_links(signed))
+    ties = links(prints.select("fp").distinct()).unionByName(near_copy_links(named, id_col, text_col, words))
     labels = cut(connected_components(ties))
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("first_id", F.coalesce("label", "fp").alias("label"))
