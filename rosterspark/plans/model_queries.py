@@ -100,3 +100,13 @@ def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_returnflag", F.col("l_extendedprice").alias("target"))  # noqa: E741
     model = modeling.boosted_trees(["l_quantity", "l_discount"], ["l_returnflag"], "target", maxIter=3, maxDepth=3).fit(l)
     return modeling.feature_importances(model, model.transform(l))
+
+
+@query()
+def scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most similar part of every hundredth one beside what a boosted model says of it."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), "p_type", F.col("p_retailprice").alias("target"))
+    model = modeling.boosted_trees(["size"], ["p_type"], "target", maxIter=3, maxDepth=3).fit(p)
+    asked = p.filter("id % 100 = 0")
+    cases = similar.most_similar_cases(asked, p.filter("id % 5 != 0"), p.filter("id % 5 = 0"), ["size"], [1.0], "target")
+    return similar.scenario_report(cases, model.transform(asked))

@@ -290,3 +290,44 @@ def snapshot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.snapshot_summary(table(spark, sf_dir, "events"), "ts")
 
 
+
+
+@query("SELECT p_partkey, lower(translate('ÁÉ ' || p_name || 'ñ', 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN')) AS court_name, p_brand AS other FROM part")
+def keyword_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with keyword names in plain lower case, others as they are."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(" ÁÉ "), "p_name", F.lit("ñ ")).alias("court_name"), F.col("p_brand").alias("other"))
+    return text.normalise_keyword_columns(p)
+
+
+@query(
+    WITH
+    + """SELECT citation, description, receiveddate AS receiveddate, action AS latestaction_text, person AS nominee_first_name, former AS nominee_last_name, 1::BIGINT AS nominee_ordinal, true AS is_full_detail,
+    CASE WHEN court <> 'Sixth Circuit' THEN 'N' || CASE state WHEN 'Ohio' THEN 'OH' WHEN 'Texas' THEN 'TX' WHEN 'Maine' THEN 'ME' WHEN 'Iowa' THEN 'IA' ELSE 'NY' END END AS parsed_court FROM noms"""
+)
+def nominee_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per nominee of saved payloads, with the court its description names."""
+    noms = nominations(spark, sf_dir)
+    item = F.struct(F.col("person").alias("firstName"), F.col("former").alias("lastName"), F.lit(1).alias("ordinal"))
+    doc = F.to_json(F.struct("citation", "description", F.col("receiveddate").alias("receivedDate"), F.struct(F.col("action").alias("text")).alias("latestAction"), F.array(item).alias("nominees")))
+    rows = jsonx.nominee_records(noms.select(doc.alias("nomination")))
+    typed = rows.withColumns({"receiveddate": F.to_date("receiveddate"), "nominee_ordinal": F.col("nominee_ordinal").cast("bigint")})
+    return typed.drop("nominee_url", "parsed_circuit")
+
+
+@query("SELECT 'PN' || CAST(o_orderkey AS STRING) AS citation, 'http://n/' || CAST(o_custkey AS STRING) AS url, o_orderdate AS retrieval_date FROM orders")
+def payload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved API payloads written to the shared folder and scanned again."""
+    path = tables.scratch(spark, "payloads")
+    o = table(spark, sf_dir, "orders")
+    nested = F.struct(F.concat(F.lit("PN"), F.col("o_orderkey").cast("string")).alias("citation")), F.struct(F.concat(F.lit("http://n/"), F.col("o_custkey").cast("string")).alias("url"))
+    o.select(nested[0].alias("nomination"), nested[1].alias("request"), F.col("o_orderdate").alias("retrieval_date")).write.json(path)
+    back = tables.read_payloads(spark, path)
+    return back.select(jsonx.at_path(F.col("nomination"), "citation").alias("citation"), jsonx.at_path(F.col("request"), "url").alias("url"), "retrieval_date")
+
+
+@query("SELECT CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS seat, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS vacancy_date FROM orders")
+def typed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped records with numbers and dates where they are such."""
+    seat = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey").cast("string")).otherwise("none")
+    date = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise("soon")
+    return tables.typed_records(table(spark, sf_dir, "orders").select(seat.alias("seat"), date.alias("vacancy_date")))

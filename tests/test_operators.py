@@ -120,3 +120,10 @@ def test_models_are_saved_with_what_is_known_of_them(spark, tmp_path):
     assert scored.count() == 120 and modeling.feature_importances(loaded, scored).first()["feature"].startswith("x")
     with pytest.raises(ValueError):
         modeling.batch_score(rows.drop("x"), loaded, ["x", "c"])
+
+
+def test_search_in_two_stages(spark):
+    rows = spark.range(60).selectExpr("cast(id % 10 as double) as x", "'k' || (id % 2) as c", "cast(id % 10 * 3 as double) as y")
+    model = modeling.two_stage_search(rows, ["x"], ["c"], "y", {"maxDepth": (1, 3), "stepSize": (0.05, 0.4)}, draws=(2, 1), folds=(2, 2))
+    assert summary.regression_metrics(model.transform(rows), "y", "prediction").first()["mae"] < 8
+    assert modeling.narrowed({"a": (0, 100), "b": (0.0, 1.0)}, {"a": 95, "b": 0.5}) == {"a": (82, 100), "b": (0.375, 0.625)}
