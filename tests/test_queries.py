@@ -56,3 +56,14 @@ def test_entry_point():
 
     assert QUERIES.keys() <= __spark_entry__.queries().keys()
     assert SQL.keys() <= __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_entry_point_without_the_training_data_package(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__
+
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("rosterspark.llm", "corpus_pipeline")) else found(name, *a))
+    assert __spark_entry__.queries().keys() == QUERIES.keys()
+    assert __spark_entry__.oracle_sql().keys() == SQL.keys()
