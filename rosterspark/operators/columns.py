@@ -51,18 +51,25 @@ def coerce_dates(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """``column, rows, filled, kinds``: one aggregation over all columns."""
+    """``column, rows, filled, varies``: how many rows there are and have a value, and whether two values differ (the
+    extremes tell).  One aggregation over all columns, combined before the shuffle, with no distinct."""
     aggregates = []
     for i, c in enumerate(df.columns):
-        aggregates += [F.count(F.col(f"`{c}`")).alias(f"f{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"k{i}")]
+        value = F.col(f"`{c}`") if df.schema[c].dataType.typeName() not in ("map", "variant") else F.to_json(f"`{c}`")
+        aggregates += [F.count(value).alias(f"f{i}"), (F.min(value) != F.max(value)).alias(f"v{i}")]
     row = df.agg(F.count(F.lit(1)).alias("n"), *aggregates)
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), F.col(f"f{i}").alias("filled"), F.col(f"k{i}").alias("kinds")) for i, c in enumerate(df.columns)])
+    each = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col("n").alias("rows"), F.col(f"f{i}").alias("filled"), F.coalesce(F.col(f"v{i}"), F.lit(False)).alias("varies"))
+            for i, c in enumerate(df.columns)
+        ]
+    )
     return row.select(F.explode(each).alias("x")).select("x.*")
 
 
 def uninformative(df: DataFrame) -> DataFrame:
     """``column, verdict``: ``all null``, ``constant`` (one value, no nulls), or ``keep``."""
-    verdict = F.when(F.col("filled") == 0, "all null").when((F.col("kinds") == 1) & (F.col("filled") == F.col("rows")), "constant").otherwise("keep")
+    verdict = F.when(F.col("filled") == 0, "all null").when(~F.col("varies") & (F.col("filled") == F.col("rows")), "constant").otherwise("keep")
     return column_profile(df).select("column", verdict.alias("verdict"))
 
 

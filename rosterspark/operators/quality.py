@@ -79,9 +79,14 @@ def monthly_series(df: DataFrame, date: str) -> DataFrame:
 
 
 def low_cardinality(df: DataFrame, below: int = 20) -> DataFrame:
-    """``column, value, n`` of string columns with fewer different values than ``below``."""
-    few = [r["column"] for r in column_profile(df.select(*[f"`{c}`" for c, t in df.dtypes if t == "string"])).filter(F.col("kinds") < below).collect()]
+    """``column, value, n`` of string columns with fewer different values than ``below``.  Estimated numbers of values
+    say which columns are counted at all, so only those that may have few are taken value by value."""
+    strings = [c for c, t in df.dtypes if t == "string"]
+    guess = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"k{i}") for i, c in enumerate(strings)]).first() if strings else ()
+    few = [c for c, k in zip(strings, guess) if k <= 1.5 * below]
     if not few:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in few])
-    return df.select(F.explode(each).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    counts = df.select(F.explode(each).alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    kinds = counts.groupBy("column").agg(F.count("value").alias("kinds")).filter(F.col("kinds") < below).select("column")
+    return counts.join(kinds, "column", "left_semi")
