@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of at most ``rows``, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the decimal text of ``column`` modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 from .graph import connected_components
 
 RADIUS = 3
@@ -60,7 +60,7 @@ def with_fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kind = docs.schema[id_col].dataType
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.fromiter((fingerprint(t, words) for t in batch.column("t").to_pylist()), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(found)], ["i", "fp"])
 
@@ -154,17 +154,25 @@ def signature(text: str | None, words: int = WORDS, bins: int = BINS) -> np.ndar
 
 
 def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``i, fp, sig`` of each row: id, SimHash fingerprint and signature."""
+    """``i, fp, sig, keys`` of each row: id, SimHash fingerprint, signature and hashes of its bands that aren't empty."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+    mix = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own = np.arange(BINS // ROWS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("t").to_pylist()
             prints = np.fromiter((fingerprint(t, words) for t in texts), np.int64, len(texts))
             flat = np.concatenate([signature(t) for t in texts]) if texts else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(prints), lists], schema.names)
+            bands = flat.reshape(-1, BINS // ROWS, ROWS)
+            mixed = ((bands.astype(np.uint64) + np.uint64(7)) * mix).sum(axis=2) + own
+            hashed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+            filled = (bands != _EMPTY).any(axis=2)
+            ends = np.concatenate([[0], filled.sum(axis=1).cumsum()]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed[filled]))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(prints), lists, keys], schema.names)
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(apply, schema)
 
@@ -176,10 +184,8 @@ def near_copy_pairs(signed: DataFrame) -> DataFrame:
     Texts with an equal band of ROWS bins meet (at a resemblance of 0.8 one of the 32 bands is equal for all but one
     in ten million pairs).  Where texts meet, each is compared with one of them: the one that meets most
     others over all bands, as the original among its edited copies does.  So pairs are at most as many as bands."""
-    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig"))
-    band = lambda i: F.slice("sig", ROWS * i + 1, ROWS)
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.when(F.exists(band(i), lambda x: x != _EMPTY), F.xxhash64(i, band(i))))
-    met = rows.select("c", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("key"))
+    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig", "keys"))
+    met = rows.select("c", F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     live = cut(met.join(shared, "key"))
     degree = live.groupBy("c").agg(F.sum(F.col("n") - 1).alias("degree"))
@@ -197,27 +203,36 @@ def near_copy_pairs(signed: DataFrame) -> DataFrame:
 def near_copy_links(docs: DataFrame, id_col: str, text_col: str, words: int = 3, small: int = 200_000) -> DataFrame:
     """Edges ``a, b`` between the fingerprints of texts that resemble by ALIKE or more over five-word shingles.
 
-    Pairs found by signatures are settled by the whole texts.  Only texts in pairs are fetched: by sending the ids to
+    Pairs found by signatures are settled by the shingles of the whole texts.  Only texts in pairs are fetched: by sending the ids to
     all tasks if they are at most ``small``, else by a join."""
-    signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"))
+    signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"), F.first("keys").alias("keys"))
     pairs = cut(near_copy_pairs(signed))
     ids = cut(pairs.select(F.col("i_x").alias("i")).unionByName(pairs.select(F.col("i_y").alias("i"))).distinct())
     wanted = F.broadcast(ids) if ids.count() <= small else ids
-    texts = cut(docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"]))
-    side = lambda n: texts.select(F.col("i").alias(f"i_{n}"), F.col("t").alias(f"t_{n}"))
-    both = pairs.join(side("x"), "i_x").join(side("y"), "i_y").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"), "t_x", "t_y")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"])
+    schema = T.StructType([T.StructField("i", docs.schema[id_col].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = ((_shingles(x), _shingles(y)) for x, y in zip(batch.column("t_x").to_pylist(), batch.column("t_y").to_pylist()))
-            yield batch.select(["a", "b"]).filter(pa.array([len(x & y) >= ALIKE * len(x | y) for x, y in sets], pa.bool_()))
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([_shingles(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))], schema.names)
 
-    return both.mapInArrow(apply, "a long, b long")
+    sets = cut(texts.mapInArrow(apply, schema))
+    side = lambda n: sets.select(F.col("i").alias(f"i_{n}"), F.col("s").alias(f"s_{n}"))
+    both = pairs.join(side("x"), "i_x").join(side("y"), "i_y")
+    shared = F.size(F.array_intersect("s_x", "s_y"))
+    alike = both.select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"), shared.alias("n"), (F.size("s_x") + F.size("s_y")).alias("all"))
+    return alike.filter(F.col("n") >= ALIKE * (F.col("all") - F.col("n"))).select("a", "b")
 
 
-def _shingles(text: str | None, words: int = WORDS) -> set[bytes]:
+def _shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The different shingles of a text as 64-bit hashes."""
+    import xxhash
+
     tokens = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
-    return {b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else set()
+    if not tokens:
+        return np.empty(0, np.int64)
+    found = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) > words else [b" ".join(tokens)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64).view(np.int64))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
