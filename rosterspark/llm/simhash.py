@@ -142,56 +142,78 @@ _EMPTY = -1
 
 def signature(text: str | None, words: int = WORDS, bins: int = BINS) -> np.ndarray:
     """The least hash of the shingles that fall into each bin (31 bits; -1 where none does)."""
+    return _signature(text, words, bins)[0]
+
+
+def _signature(text: str | None, words: int = WORDS, bins: int = BINS) -> tuple[np.ndarray, int]:
+    """The signature and the number of shingles, repeated ones counted."""
     import xxhash
 
     tokens = ("" if text is None else text).encode("utf-8", "surrogatepass").lower().split()
     out = np.full(bins, _EMPTY, np.int32)
-    if tokens:
-        shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) > words else [b" ".join(tokens)]
-        hashes = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64))[::-1]  # so that the least stays
-        out[(hashes & np.uint64(bins - 1)).astype(np.int64)] = (hashes >> np.uint64(33)).astype(np.int32)
-    return out
+    if not tokens:
+        return out, 0
+    shingles = map(b" ".join, zip(*(tokens[i:] for i in range(words)))) if len(tokens) > words else [b" ".join(tokens)]
+    hashes = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64))[::-1]  # so that the least stays
+    out[(hashes & np.uint64(bins - 1)).astype(np.int64)] = (hashes >> np.uint64(33)).astype(np.int32)
+    return out, len(hashes)
 
 
-def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``i, fp, sig, keys`` of each row: id, SimHash fingerprint, signature and hashes of its bands that aren't empty."""
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+def _band_keys(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of signatures one after another: hashes of their bands, and which bands are filled."""
     mix = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     own = np.arange(BINS // ROWS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    bands = flat.reshape(-1, BINS // ROWS, ROWS)
+    mixed = ((bands.astype(np.uint64) + np.uint64(7)) * mix).sum(axis=2) + own
+    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64), (bands != _EMPTY).any(axis=2)
+
+
+def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``i, fp, sig, keys, size`` of each row: id, SimHash fingerprint, signature, hashes of its bands that aren't empty
+    and number of shingles."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("t").to_pylist()
             prints = np.fromiter((fingerprint(t, words) for t in texts), np.int64, len(texts))
-            flat = np.concatenate([signature(t) for t in texts]) if texts else np.empty(0, np.int32)
+            signed = [_signature(t) for t in texts]
+            flat = np.concatenate([x for x, _ in signed]) if texts else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
-            bands = flat.reshape(-1, BINS // ROWS, ROWS)
-            mixed = ((bands.astype(np.uint64) + np.uint64(7)) * mix).sum(axis=2) + own
-            hashed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-            filled = (bands != _EMPTY).any(axis=2)
+            hashed, filled = _band_keys(flat)
             ends = np.concatenate([[0], filled.sum(axis=1).cumsum()]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed[filled]))
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(prints), lists, keys], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(prints), lists, keys, pa.array([n for _, n in signed], pa.int64())], schema.names)
 
     return docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(apply, schema)
 
 
-def near_copy_pairs(signed: DataFrame) -> DataFrame:
-    """``signed`` has a row per different (``fp, sig``) with one of its ids ``i``.  Pairs ``i_x, fp_x, i_y, fp_y`` whose
-    estimated resemblance is at least MAYBE.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """``key, c, degree``: the bands by which texts meet others.
 
     Texts with an equal band of ROWS bins meet (at a resemblance of 0.8 one of the 32 bands is equal for all but one
-    in ten million pairs).  Where texts meet, each is compared with one of them: the one that meets most
-    others over all bands, as the original among its edited copies does.  So pairs are at most as many as bands."""
-    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig", "keys"))
-    met = rows.select("c", F.explode("keys").alias("key"))
+    in ten million pairs).  A text of ``size`` shingles differs from one at 0.8 or more in at most a quarter of as
+    many, and each spoils one band at most.  So of its bands, those that fewest texts have first, the first equal one
+    is within the first ``size / 4 + 1``, on both sides, and the others need not be emitted: this keeps a line that is
+    in very many short texts from tying them all."""
+    met = rows.select("c", "size", F.size("keys").alias("filled"), F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    live = cut(met.join(shared, "key"))
-    degree = live.groupBy("c").agg(F.sum(F.col("n") - 1).alias("degree"))
-    ranked = live.select("key", "c").join(degree, "c")
-    centres = ranked.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("top")).select("key", F.col("top.c").alias("centre"))
-    pairs = ranked.join(centres, "key").filter("c != centre").select(F.greatest("c", "centre").alias("x"), F.least("c", "centre").alias("y")).distinct()
+    live = met.join(shared, "key").groupBy("c").agg(
+        F.first("size").alias("size"), F.first("filled").alias("filled"), F.sum(F.col("n") - 1).alias("degree"), F.array_sort(F.collect_list(F.struct("n", "key"))).alias("held")
+    )
+    # bands that no other text has are the rarest and come first
+    first = F.floor(F.col("size") / 4) + 1 - (F.col("filled") - F.size("held"))
+    some = live.withColumn("first", first.cast("int")).filter("first > 0")
+    return some.select("c", "degree", F.explode(F.slice("held", F.lit(1), F.col("first"))).alias("h")).select("h.key", "c", "degree")
+
+
+def near_copy_pairs(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """Pairs ``i_x, fp_x, i_y, fp_y`` of an estimated resemblance of at least MAYBE, where of the texts that meet each is
+    compared with one: the one that meets most others over all bands, as the original among its edited copies does.
+    So pairs are at most as many as bands.  What these leave open is for :func:`open_pairs`."""
+    centres = live.groupBy("key").agg(F.max(F.struct("degree", "c")).alias("top")).select("key", F.col("top.c").alias("centre"))
+    pairs = live.join(centres, "key").filter("c != centre").select(F.greatest("c", "centre").alias("x"), F.least("c", "centre").alias("y")).distinct()
     side = lambda n: rows.select(F.col("c").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("i", "fp", "sig")])
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     bins = F.zip_with("sig_x", "sig_y", lambda p, q: F.when((p == _EMPTY) & (q == _EMPTY), -1).when(p == q, 1).otherwise(0))
@@ -200,14 +222,90 @@ def near_copy_pairs(signed: DataFrame) -> DataFrame:
     return used.filter((equal >= MAYBE * all_) & (F.col("fp_x") != F.col("fp_y"))).drop("bins")
 
 
-def near_copy_links(docs: DataFrame, id_col: str, text_col: str, words: int = 3, small: int = 200_000) -> DataFrame:
-    """Edges ``a, b`` between the fingerprints of texts that resemble by ALIKE or more over five-word shingles.
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one ``cell`` after another, from batches in order of it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        starts = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+        for at, to in zip(starts[:-1], starts[1:]):
+            if held and held[0].column("cell")[0].as_py() != cell[at]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The numpy array of each row of a list column."""
+    part = column.combine_chunks()
+    ends, flat = part.offsets.to_numpy(), part.values.to_numpy(zero_copy_only=False)
+    return [flat[at:to] for at, to in zip(ends[:-1], ends[1:])]
+
+
+def open_pairs(rows: DataFrame, live: DataFrame, labels: DataFrame, block: int = 256) -> DataFrame:
+    """``cell, i_x, fp_x, i_y, fp_y``: all pairs that meet, aren't of one component yet and have an estimated
+    resemblance of at least MAYBE, each once.
+
+    Where all who meet are of one component nothing is open.  Elsewhere everyone outside the largest component there
+    is compared with everyone, in cells of two blocks of about ``block`` texts, so no task holds a whole bucket and
+    a pair is no row unless it passes."""
+    named = rows.join(labels, rows["fp"] == labels["node"], "left").withColumn("label", F.coalesce("label", "fp"))
+    own = live.groupBy("c").agg(F.collect_list("key").alias("own"))
+    named = cut(named.join(own, "c").select("c", "i", "fp", "sig", "own", "label"))
+    there = live.select("key", "c").join(named.select("c", "label"), "c")
+    kinds = there.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    kinds = kinds.select("key", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.n")).alias("few"), blocks(F.col("top.n")).alias("many"))
+    # blocks of the others are numbered first, then those of the largest component
+    placed = there.join(kinds, "key").withColumn("of", F.when(F.col("label") == F.col("top"), F.col("few") + F.pmod(F.xxhash64("c", "key"), F.col("many"))).otherwise(F.pmod(F.xxhash64("c", "key"), F.col("few"))).cast("int"))
+    last = F.when(F.col("of") < F.col("few"), F.col("few") + F.col("many")).otherwise(F.col("few")) - 1
+    cells = placed.select("key", "c", "of", F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    cells = cells.select("key", "c", "of", F.least("of", "with").alias("p"), F.greatest("of", "with").alias("q"))
+    dealt = cells.join(named, "c").withColumn("cell", F.xxhash64("key", "p", "q"))
+    dealt = dealt.repartition("cell").sortWithinPartitions("cell").select("cell", "key", "p", "q", "of", "i", "fp", "label", "sig", "own")
+    kind = rows.schema["i"].dataType
+    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("i_x", kind), T.StructField("fp_x", T.LongType()), T.StructField("i_y", kind), T.StructField("fp_y", T.LongType())])
 
-    Pairs found by signatures are settled by the shingles of the whole texts.  Only texts in pairs are fetched: by sending the ids to
-    all tasks if they are at most ``small``, else by a join."""
-    signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"), F.first("keys").alias("keys"))
-    pairs = cut(near_copy_pairs(signed))
-    ids = cut(pairs.select(F.col("i_x").alias("i")).unionByName(pairs.select(F.col("i_y").alias("i"))).distinct())
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_cell(batches):
+            key, of = group.column("key").to_numpy(), group.column("of").to_numpy()
+            p, q = group.column("p").to_numpy(), group.column("q").to_numpy()
+            if (key != key[0]).any() or (p != p[0]).any() or (q != q[0]).any():
+                raise RuntimeError("two cells with one hash")
+            label, fp = group.column("label").to_numpy(), group.column("fp").to_numpy()
+            xs, ys = np.flatnonzero(of == p), np.flatnonzero(of == q)
+            if not len(xs) or not len(ys):
+                continue
+            sig = np.stack(_lists(group.column("sig")))
+            hashed, _ = _band_keys(sig.ravel())
+            emitted = np.stack([np.isin(h, mine) for h, mine in zip(hashed, _lists(group.column("own")))])
+            found_x, found_y = [], []
+            for x in xs:
+                other = ys[(label[ys] != label[x]) & ((ys > x) | (p[0] != q[0]))]
+                equal = ((sig[other] == sig[x]) & (sig[x] != _EMPTY)).sum(axis=1)
+                filled = ((sig[other] != _EMPTY) | (sig[x] != _EMPTY)).sum(axis=1)
+                other = other[equal >= MAYBE * filled]
+                if len(other):
+                    # a pair that meets by several bands is told where it meets first
+                    both = (hashed[other] == hashed[x]) & emitted[other] & emitted[x]
+                    other = other[hashed[x][both.argmax(axis=1)] == key[0]]
+                    found_x.append(np.full(len(other), x))
+                    found_y.append(other)
+            if found_x:
+                x, y = np.concatenate(found_x), np.concatenate(found_y)
+                ids = group.column("i").combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), group.column("cell")[0].as_py(), np.int64)), ids.take(pa.array(x)), pa.array(fp[x]), ids.take(pa.array(y)), pa.array(fp[y])], schema.names)
+
+    return dealt.mapInArrow(apply, schema)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, small: int) -> DataFrame:
+    """``i, s``: the shingles of the texts with these ids, which go to all tasks if they are at most ``small``."""
     wanted = F.broadcast(ids) if ids.count() <= small else ids
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"])
     schema = T.StructType([T.StructField("i", docs.schema[id_col].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
@@ -216,12 +314,59 @@ def near_copy_links(docs: DataFrame, id_col: str, text_col: str, words: int = 3,
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([_shingles(t) for t in batch.column("t").to_pylist()], pa.list_(pa.int64()))], schema.names)
 
-    sets = cut(texts.mapInArrow(apply, schema))
+    return cut(texts.mapInArrow(apply, schema))
+
+
+def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` with a ``cell`` those that resemble by ALIKE or more, as edges.  A text goes to each cell once."""
+    sides = [pairs.select("cell", F.col(f"i_{n}").alias("i"), F.col(f"fp_{n}").alias("fp")) for n in ("x", "y")]
+    texts = sides[0].unionByName(sides[1]).distinct().join(sets, "i").select("cell", "fp", "s", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    asked = pairs.select("cell", F.lit(None).cast("long").alias("fp"), F.lit(None).cast("array<long>").alias("s"), F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+    dealt = texts.unionByName(asked).repartition("cell").sortWithinPartitions("cell")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_cell(batches):
+            is_text = pa.compute.is_valid(group.column("fp"))
+            texts, asked = group.filter(is_text), group.filter(pa.compute.invert(is_text))
+            of = dict(zip(texts.column("fp").to_pylist(), _lists(texts.column("s"))))
+            found = [(a, b) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist()) if _alike(of[a], of[b])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(apply, "a long, b long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ordered sets resemble by ALIKE or more."""
+    if not len(x) or not len(y) or min(len(x), len(y)) < ALIKE * max(len(x), len(y)):
+        return False
+    n = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return n >= ALIKE * (len(x) + len(y) - n)
+
+
+def near_copy_labels(docs: DataFrame, ties: DataFrame, id_col: str, text_col: str, words: int = 3, small: int = 200_000) -> DataFrame:
+    """``node, label`` of fingerprints: components by ``ties`` and by texts that resemble by ALIKE or more over
+    five-word shingles.
+
+    Pairs found by signatures are settled by the shingles of the whole texts: first those with a centre, which makes
+    most copies one component, then all that are still open between different components."""
+    signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"), F.first("keys").alias("keys"), F.max("size").alias("size"))
+    rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig", "keys", "size"))
+    live = cut(_meetings(rows))
+    ids = lambda pairs: cut(pairs.select(F.col("i_x").alias("i")).unionByName(pairs.select(F.col("i_y").alias("i"))).distinct())
+    pairs = cut(near_copy_pairs(rows, live))
+    sets = _sets(docs, ids(pairs), id_col, text_col, small)
     side = lambda n: sets.select(F.col("i").alias(f"i_{n}"), F.col("s").alias(f"s_{n}"))
     both = pairs.join(side("x"), "i_x").join(side("y"), "i_y")
     shared = F.size(F.array_intersect("s_x", "s_y"))
     alike = both.select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"), shared.alias("n"), (F.size("s_x") + F.size("s_y")).alias("all"))
-    return alike.filter(F.col("n") >= ALIKE * (F.col("all") - F.col("n"))).select("a", "b")
+    alike = alike.filter(F.col("n") >= ALIKE * (F.col("all") - F.col("n"))).select("a", "b")
+    labels = cut(connected_components(ties.unionByName(alike)))
+    rest = cut(open_pairs(rows, live, labels))
+    if rest.isEmpty():
+        return labels
+    more = cut(_settled(rest, _sets(docs, ids(rest), id_col, text_col, small)))
+    return cut(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)))
 
 
 def _shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -243,8 +388,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to a dozen bits of the fingerprint, more than any ball could be hashed for."""
     named = docs.filter(F.col(id_col).isNotNull())
     prints = cut(with_fingerprint(named, id_col, text_col, words))
-    ties = links(prints.select("fp").distinct()).unionByName(near_copy_links(named, id_col, text_col, words))
-    labels = cut(connected_components(ties))
+    labels = near_copy_labels(named, cut(links(prints.select("fp").distinct())), id_col, text_col, words)
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
     joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("first_id", F.coalesce("label", "fp").alias("label"))
     firsts = joined.groupBy("label").agg(F.min("first_id").alias(id_col)).select(id_col)

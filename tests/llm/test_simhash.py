@@ -104,3 +104,33 @@ def test_near_copies_beyond_three_bits_go_and_others_stay(spark):
         rows.append((len(rows), " ".join(half)))
     kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(range(len(rows))) - near
+
+
+def test_near_copies_without_their_original_are_as_by_all_pairs(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(words) for _ in range(600)]
+    rows = []
+    for i in range(150):
+        c = list(base)
+        for at in rnd.sample(range(600), rnd.randint(7, 9)):
+            c[at] = rnd.choice(words)
+        rows.append((i, " ".join(c)))
+    for i in range(150, 300):  # short texts with one common line
+        rows.append((i, " ".join([*(rnd.choice(words) for _ in range(15)), "this line is in all of the short texts here"])))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t in rows]
+    prints = [plain(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if (prints[i] ^ prints[j]).bit_count() <= 3 or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {find(i) for i in range(len(rows))}
