@@ -1,41 +1,47 @@
 """Code lengths of texts by context-tree weighting over bytes, beside a smoothed unigram model of words.
 
-A text is its words in turn and one end sign.  A word's bytes, closed by a space, are predicted one by one, each byte
-as eight binary decisions.  The context of a byte is what precedes it in its word, back to and including the space
-before it, at most ``DEPTH`` bytes.  For every context and decision there is a Krichevsky-Trofimov estimate from the
-counts of the training texts, and the estimates of all depths are mixed by the weights that context-tree weighting
-gives them: half the prior weight for stopping at a context, half for going on to the contexts one byte longer.
-
-Counts are those of whole texts: Spark counts words, then grams (a context and the byte after it).  Grams that share
-the two bytes before the predicted one make up a subtree, which one task works through; depths zero and one are joined
-from at most 256 x 255 sums.  A word's code length does not depend on its neighbours, so each different word is scored
-once, and texts are joined with the words they hold.
+A text is its UTF-8 bytes with A-Z in lower case, white space as it is, and one end sign; what comes before its first
+byte are end signs.  Every byte is predicted as eight binary decisions from the ``DEPTH`` bytes before it, wherever
+words begin.  For every context and decision there is a Krichevsky-Trofimov estimate from the counts of the training
+texts, and the estimates of all depths are mixed by the weights that context-tree weighting gives them: half the prior
+weight for stopping at a context, half for going on to the contexts one byte longer.
+
+A gram is a context of full depth and the byte after it.  Texts are kept in blocks of bounded size; a block asks once
+for each gram and each word it holds, however often these occur there, and says how often they occur in its training
+texts.  So nothing is hot: a gram is asked for at most once by each block.  From the summed counts the tree is worked
+through a depth at a time, upwards for the block probabilities and downwards for the mixtures: the deepest levels
+within the groups that share four context bytes (in slices, many groups at a time), the others as Spark aggregates by
+context and decision, of which only depths zero and one (at most 256 x 255 sums) reach the driver.  The answers go back
+to the blocks, where whole texts are summed up.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fold, table, written
+from .common import bucketed, cut, fold, slices, table
 
 DEPTH = 6
-END = "\n"
-_SPACE = 0x20
+#: Levels from this depth on are worked through within groups of equal contexts of this depth.
+STEM = 4
+#: Bytes of text in a block, and positions or keys handled at a time.
+BLOCK = 96 << 20
+WINDOW = 1 << 21
+#: No byte of UTF-8: ends a text and stands before its first byte.
+END = 0xFF
+#: How the end sign is counted among the words; no word holds white space.
+END_WORD = b"\n"
 _STIRLING = 64
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words with A-Z in lower case, split at ASCII white space only."""
-    return [w.decode("utf-8", "replace") for w in ("" if text is None else text).encode("utf-8", "replace").lower().split()]
+_STEPS = range(8)
 
 
 def _log_gamma(n: np.ndarray, plus: float) -> np.ndarray:
@@ -51,304 +57,358 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5) - _log_gamma(zeros + ones, 1.0) - math.log(math.pi)
 
 
-def grams(words: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """All grams of ``words`` and the number of the word each is from.  A gram is packed into 59 bits: the predicted
-    byte, up to ``depth`` (six at most) bytes before it (nearest lowest), and how many these are."""
-    line = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.int64)
-    space = line == _SPACE
-    at = np.arange(len(line))
-    last = np.maximum.accumulate(np.where(space, at, -1))[:-1]  # of the space before position + 1
-    here = at[1:]
-    length = np.minimum(here - last, depth)
-    packed = line[1:].copy()
-    for k in range(1, depth + 1):
-        packed |= np.where(length >= k, line[np.maximum(here - k, 0)] << (8 * k), 0)
-    return packed | (length << 56), np.cumsum(space)[:-1] - 1
-
-
-END_GRAM = (1 << 56) | (_SPACE << 8) | 0x0A
-
-
-def subtree(packed: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, pd.DataFrame]:
-    """Works through grams with the same nearest two context bytes (or the same single one, a space): the probability
-    of each of their eight decisions as mixed from depth two (one) on, and of each decision at that depth its counts
-    and the log of its weighted block probability."""
-    length, rows = packed >> 56, len(packed)
-    least = 2 if length[0] >= 2 else 1
-    byte = packed & 0xFF
-    step = np.arange(8)
-    node = ((1 << step)[None, :] | (byte[:, None] >> (8 - step)[None, :])).ravel()
-    bit = ((byte[:, None] >> (7 - step)[None, :]) & 1).ravel()
-    n, deep = np.repeat(counts.astype(np.float64), 8), np.repeat(length, 8)
-    context = np.repeat((packed >> 8) & ((1 << 48) - 1), 8)
-    chance = np.full(rows * 8, 0.5)
-    below: tuple[np.ndarray, np.ndarray] | None = None
-    for d in range(int(length.max()), least - 1, -1):
-        some = np.flatnonzero(deep >= d)
-        keys, own = np.unique((context[some] & ((1 << (8 * d)) - 1)) << 8 | node[some], return_inverse=True)
-        ones = np.bincount(own, weights=n[some] * bit[some], minlength=len(keys))
-        both = np.bincount(own, weights=n[some], minlength=len(keys))
-        stop = log_kt(both - ones, ones)
-        total, goes_on = np.zeros(len(keys)), np.zeros(len(keys), bool)
-        if below is not None:
-            parent = np.searchsorted(keys, (below[0] >> 8 & ((1 << (8 * d)) - 1)) << 8 | (below[0] & 0xFF))
-            np.add.at(total, parent, below[1])
-            goes_on[parent] = True
-        block = np.where(goes_on, np.logaddexp(stop, total) - math.log(2), stop)
-        weight = np.where(goes_on, np.exp(np.minimum(0.0, stop - math.log(2) - block)), 1.0)
-        kt = (np.where(bit[some] == 1, ones[own], both[own] - ones[own]) + 0.5) / (both[own] + 1.0)
-        w = np.where(deep[some] == d, 1.0, weight[own])
-        chance[some] = w * kt + (1 - w) * chance[some]
-        below = (keys, block)
-    nodes = pd.DataFrame({"node": (keys & 0xFF).astype(np.int32), "zeros": both - ones, "ones": ones, "block": block})
-    return chance.reshape(rows, 8), nodes
-
-
-def _top(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From the sums by nearest byte and decision: at depth one the chance of a set bit and the weight of stopping
-    there, by byte and decision, and the same at depth zero, by decision."""
-    one, w1, block1 = np.full((256, 256), 0.5), np.full((256, 256), 0.5), np.zeros((256, 256))
-    counts = np.zeros((2, 256, 256))
-    near, node = nodes["near"].to_numpy(np.int64), nodes["node"].to_numpy(np.int64)
-    counts[0, near, node], counts[1, near, node] = nodes["zeros"], nodes["ones"]
-    below = np.zeros((256, 256))
-    below[near, node] = nodes["block"]
-    one = (counts[1] + 0.5) / (counts.sum(axis=0) + 1)
-    stop = log_kt(counts[0], counts[1])
-    block1 = np.logaddexp(stop, below) - math.log(2)
-    block1[_SPACE], w1 = stop[_SPACE], np.exp(np.minimum(0.0, stop - math.log(2) - block1))
-    w1[_SPACE] = 1.0  # nothing comes before the space that begins a word
-    sums = counts.sum(axis=1)
-    zero = (sums[1] + 0.5) / (sums.sum(axis=0) + 1)
-    stop0 = log_kt(sums[0], sums[1])
-    w0 = np.exp(np.minimum(0.0, stop0 - math.log(2) - (np.logaddexp(stop0, block1.sum(axis=0)) - math.log(2))))
-    return one, w1, zero, w0
-
-
-def _code_lengths(packed: np.ndarray, chance: np.ndarray, top: tuple[np.ndarray, ...]) -> np.ndarray:
-    """log10 probability of the predicted byte of each gram."""
-    one, w1, zero, w0 = top
-    byte, near, step = packed & 0xFF, (packed >> 8) & 0xFF, np.arange(8)
-    node = (1 << step)[None, :] | (byte[:, None] >> (8 - step)[None, :])
-    bit = (byte[:, None] >> (7 - step)[None, :]) & 1
-    of = lambda p: np.where(bit == 1, p, 1 - p)
-    at = (near[:, None], node)
-    p = w1[at] * of(one[at]) + (1 - w1[at]) * chance
-    p = w0[node] * of(zero[node]) + (1 - w0[node]) * p
-    return np.log10(p).sum(axis=1)
-
-
-def count_words(docs: DataFrame, id_col: str, text_col: str, most: int = 200_000) -> DataFrame:
-    """``word, c, n``: of each word (and the end sign) the number in training texts and in all.  Tasks hand on what
-    they have counted whenever it is ``most`` different words."""
-    schema = T.StructType([T.StructField("word", T.StringType()), T.StructField("c", T.LongType()), T.StructField("n", T.LongType())])
-
-    def batch_of(train: Counter, rest: Counter) -> pa.RecordBatch:
-        words = list(train.keys() | rest.keys())
-        text = pa.array(words, pa.binary()).cast(pa.string())
-        c = [train[w] for w in words]
-        return pa.RecordBatch.from_arrays([text, pa.array(c, pa.int64()), pa.array([x + rest[w] for x, w in zip(c, words)], pa.int64())], schema.names)
+def coded(text: str | None) -> bytes:
+    """The bytes that are coded: A-Z in lower case, nothing else changed."""
+    return ("" if text is None else text).encode("utf-8", "replace").lower()
+
+
+def grams(texts: list[bytes], depth: int = DEPTH, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All grams of ``texts`` and the number of the text each is from, at most ``window`` at a time.  A gram is packed
+    into a whole number: the predicted byte, then the context, nearest byte lowest."""
+    pad = bytes([END]) * depth
+    line = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
+    sizes = np.array([len(t) + depth for t in texts], np.int64)
+    first = depth + np.cumsum(sizes) - sizes
+    coded_here = np.zeros(len(line), bool)
+    for at, size in zip(first.tolist(), sizes.tolist()):
+        coded_here[at : at + size - depth + 1] = True
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    for at in range(depth, len(line), window):
+        end = min(at + window, len(line))
+        packed = np.zeros(end - at, np.int64)
+        for k in range(depth + 1):
+            packed |= line[at - k : end - k].astype(np.int64) << (8 * k)
+        here = coded_here[at:end]
+        yield packed[here], owner[at - depth : end - depth][here]
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """Keys of words: 63 bits of a hash, negative so that they are apart from grams.  (Of a billion different words,
+    two sharing a key are expected at odds of one to twenty.)"""
+    import xxhash
+
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return (hashed | np.uint64(1 << 63)).view(np.int64)
+
+
+class Tally:
+    """Different keys with their counts; raw keys are merged in whenever there are ``room``."""
+
+    def __init__(self, room: int = 4 * WINDOW):
+        self.room, self.raw, self.waiting = room, [], 0
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.raw.append((keys, counts))
+        self.waiting += len(keys)
+        if self.waiting > self.room:
+            self.merge()
+
+    def count(self, keys: np.ndarray, weight: int) -> None:
+        """Adds every one of ``keys`` (sorted in place) as ``weight``."""
+        keys.sort()
+        at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.empty(0, np.int64)
+        self.add(keys[at], np.diff(at, append=len(keys)) * weight)
+
+    def merge(self) -> None:
+        keys = np.concatenate([self.keys, *(k for k, _ in self.raw)])
+        counts = np.concatenate([self.counts, *(c for _, c in self.raw)])
+        self.raw, self.waiting = [], 0
+        if not len(keys):
+            return
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+        self.keys, self.counts = keys[at], np.add.reduceat(counts[order], at)
+
+
+def _schema(**fields: str) -> T.StructType:
+    kinds = {"long": T.LongType(), "double": T.DoubleType(), "float": T.FloatType(), "int": T.IntegerType()}
+    return T.StructType([T.StructField(n, kinds[k]) for n, k in fields.items()])
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """``i, t, held, block``: the rows in blocks of about ``block`` bytes of text at most (a longer text is a block by
+    itself), written once, so that both passes see the same blocks, and dealt by block."""
+    plain = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), (fold(id_col) == 1).alias("held"))
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // block))
+    schema = T.StructType([*plain.schema.fields, T.StructField("block", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n, full = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in slices(batches):
+            numbers = []
+            for length in pa.compute.binary_length(batch.column("t")).to_pylist():
+                if full and full + length > 2 * block:
+                    n, full = n + 1, 0
+                full += length
+                numbers.append(own | n)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], schema.names)
+
+    return bucketed(plain.coalesce(parts).mapInArrow(number, schema), parts, "block", "lm_blocks")
+
+
+def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``stem, key, n, block``: each different gram and word of a block and how often training texts there have it;
+    ``stem`` is the nearest context, by which the rows are dealt."""
+    schema = _schema(key="long", n="long", block="long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, rest = Counter(), Counter()
-        for batch in batches:
-            for text, held in zip(batch.column("t").to_pylist(), batch.column("held").to_pylist()):
-                own = rest if held else train
-                own.update(text.encode("utf-8", "replace").lower().split())
-                own[END.encode()] += 1
-                if len(train) + len(rest) > most:
-                    yield batch_of(train, rest)
-                    train, rest = Counter(), Counter()
-        yield batch_of(train, rest)
-
-    plain = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), (fold(id_col) == 1).alias("held"))
-    return plain.mapInArrow(apply, schema).groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-
-
-def gram_scores(words: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``gram, lp``: log10 probability of each gram of ``words`` (``word, c``), also of those without training counts."""
-    schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, tally, words = None, Tally(), (Counter(), Counter())
+
+        def put_words(least: int) -> None:
+            for bag, weight in zip(words, (1, 0)):
+                if len(bag) > least:
+                    tally.add(word_keys(list(bag)), np.fromiter(bag.values(), np.int64, len(bag)) * weight)
+                    bag.clear()
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            put_words(0)
+            tally.merge()
+            for at in range(0, len(tally.keys), 1 << 16):
+                keys, n = tally.keys[at : at + (1 << 16)], tally.counts[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.full(len(keys), number))], schema.names)
+
+        for batch in slices(batches, 256):
+            theirs = _column(batch, "block")
+            for own in dict.fromkeys(theirs.tolist()):
+                if own != number:
+                    if number is not None:
+                        yield from hand_on()
+                    number, tally = own, Tally()
+                part = batch.filter(pa.array(theirs == own))
+                for held, bag, weight in ((False, words[0], 1), (True, words[1], 0)):
+                    texts = [coded(t) for t, h in zip(part.column("t").to_pylist(), part.column("held").to_pylist()) if h == held]
+                    for text in texts:
+                        bag.update(text.split())
+                        bag[END_WORD] += 1
+                    for keys, _ in grams(texts, depth):
+                        tally.count(keys, weight)
+                put_words(100_000)
+        if number is not None:
+            yield from hand_on()
+
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * min(STEM, depth)) - 1))
+    rows = blocks.select("t", "held", "block").mapInArrow(apply, schema)
+    return bucketed(rows.withColumn("stem", F.when(F.col("key") < 0, F.col("key")).otherwise(near)).repartition(parts, "stem"), parts, "stem", "lm_asked")
+
+
+def subtree(packed: np.ndarray, counts: np.ndarray, depth: int, stem: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Works through all grams of some contexts of depth ``stem``: by gram and step the probability of a set bit as
+    mixed from depth ``stem`` on, and of each such context and decision the counts and the log of the weighted block
+    probability."""
+    byte, context, n = packed & 0xFF, packed >> 8, counts.astype(np.float64)
+    chance = np.empty((len(packed), 8))
+    nodes: dict[str, list[np.ndarray]] = {c: [] for c in ("context", "node", "zeros", "ones", "block")}
+    for step in _STEPS:
+        node, bit = 1 << step | byte >> 8 - step, byte >> 7 - step & 1
+        mixed, below = np.full(len(packed), 0.5), None
+        for d in range(depth, stem - 1, -1):
+            keys, own = np.unique((context & ((1 << 8 * d) - 1)) << 8 | node, return_inverse=True)
+            ones, both = (np.bincount(own, weights=w, minlength=len(keys)) for w in (n * bit, n))
+            stop = log_kt(both - ones, ones)
+            block, weight = stop, np.ones(len(keys))
+            if below is not None:
+                parent = np.searchsorted(keys, (below[0] >> 8 & ((1 << 8 * d) - 1)) << 8 | below[0] & 0xFF)
+                block = np.logaddexp(stop, np.bincount(parent, weights=below[1], minlength=len(keys))) - math.log(2)
+                weight = np.exp(np.minimum(0.0, stop - math.log(2) - block))
+            mixed = weight[own] * ((ones + 0.5) / (both + 1.0))[own] + (1 - weight[own]) * mixed
+            below = (keys, block)
+        chance[:, step] = mixed
+        for name, column in zip(nodes, (keys >> 8, keys & 0xFF, both - ones, ones, block)):
+            nodes[name].append(column)
+    return chance, {name: np.concatenate(columns) for name, columns in nodes.items()}
+
+
+def _by_stem(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Sorted batches put together and cut where ``stem`` changes: about ``rows`` rows at a time, whole stems."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            whole = pa.Table.from_batches(held)
+            stems = whole.column("stem").to_numpy()
+            at = int(np.searchsorted(stems, stems[-1]))
+            if at:
+                yield whole.slice(0, at)
+            held, size = whole.slice(at).to_batches(), whole.num_rows - at
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+_NODES = _schema(context="long", node="int", zeros="double", ones="double", block="double")
+_LEVEL = _schema(context="long", node="int", zeros="double", ones="double", block="double", weight="double", kt="double")
+
+
+def _weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of contexts and decisions with these counts and this sum over their longer contexts: block probability (log),
+    weight of stopping there, and chance of a set bit."""
+    stop = log_kt(zeros, ones)
+    block = np.logaddexp(stop, below) - math.log(2)
+    return block, np.exp(np.minimum(0.0, stop - math.log(2) - block)), (ones + 0.5) / (zeros + ones + 1.0)
+
+
+def _sums(nodes: DataFrame, depth: int) -> DataFrame:
+    """Nodes of the contexts one byte longer, summed for those of ``depth``."""
+    context = F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context")
+    return nodes.groupBy(context, "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "block")])
+
+
+def _level(nodes: DataFrame, depth: int) -> DataFrame:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = [w.encode("utf-8", "surrogatepass") for w in batch.column("word").to_pylist()]
-            c = batch.column("c").to_numpy(zero_copy_only=False)
-            ends = np.array([w == END.encode() for w in some], bool)
-            packed, of = grams([w for w, e in zip(some, ends) if not e], depth) if not ends.all() else (np.empty(0, np.int64), np.empty(0, np.int64))
-            packed = np.concatenate([packed, np.full(int(ends.sum()), END_GRAM)])
-            keys, own = np.unique(packed, return_inverse=True)
-            sums = np.bincount(own, weights=np.concatenate([c[~ends][of], c[ends]]), minlength=len(keys)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums, pa.int64())], schema.names)
-
-    counted = words.select("word", "c").mapInArrow(cells, schema).groupBy("gram").agg(F.sum("n").alias("n"))
-    length = F.shiftright("gram", 56)
-    two = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))
-    keyed = counted.withColumn("key", F.when(length >= 2, two).otherwise(F.lit(1 << 16) + two))
-    out = T.StructType(
-        [
-            T.StructField("gram", T.LongType()),
-            T.StructField("chance", T.BinaryType()),
-            T.StructField("near", T.IntegerType()),
-            T.StructField("node", T.IntegerType()),
-            T.StructField("zeros", T.DoubleType()),
-            T.StructField("ones", T.DoubleType()),
-            T.StructField("block", T.DoubleType()),
-        ]
+            block, weight, kt = _weighed(*(_column(batch, c) for c in ("zeros", "ones", "block")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "node", "zeros", "ones")), pa.array(block), pa.array(weight), pa.array(kt)], _LEVEL.names)
+
+    return cut(_sums(nodes, depth).mapInArrow(apply, _LEVEL))
+
+
+def _top(nodes: DataFrame) -> DataFrame:
+    """``context, node, sure, open`` at depth one: what depths zero and one give to the chance of a set bit, and the
+    weight that is left for longer contexts.  At most 256 x 255 rows, made on the driver."""
+    spark = nodes.sparkSession
+    rows = _sums(nodes, 1).toArrow()
+    near, node, zeros, ones, below = (rows.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "block"))
+    block, weight, kt = _weighed(zeros, ones, below)
+    root = [np.bincount(node, weights=w, minlength=256) for w in (zeros, ones, block)]
+    _, weight0, kt0 = _weighed(*root)
+    sure = weight0[node] * kt0[node] + (1 - weight0[node]) * weight * kt
+    left = (1 - weight0[node]) * (1 - weight)
+    schema = _schema(context="long", node="int", sure="double", open="double")
+    return spark.createDataFrame(pa.table([pa.array(c) for c in (near.astype(np.int64), node.astype(np.int32), sure, left)], names=schema.names), schema)
+
+
+def _under(rows: DataFrame, above: DataFrame, depth: int) -> DataFrame:
+    """``rows`` (contexts of ``depth`` + 1) with ``sure`` and ``open`` of the context of ``depth`` that each is in."""
+    up = above.select(F.col("context").alias("up"), F.col("node").alias("up_node"), "sure", "open")
+    return rows.join(up, (F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)) == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
+
+
+def gram_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``stem, key, lp``: log10 probability of the predicted byte of each gram of ``counted`` (``stem, key, n``), also
+    of those without training counts."""
+    stem = min(STEM, depth)
+    leaves = counted.filter("key >= 0")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_stem(batches):
+            _, nodes = subtree(part.column("key").to_numpy(), part.column("n").to_numpy(), depth, stem)
+            nodes["node"] = nodes["node"].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[c]) for c in _NODES.names], _NODES.names)
+
+    nodes = cut(leaves.repartition("stem").sortWithinPartitions("stem").mapInArrow(up, _NODES))
+    levels, longer = {}, nodes
+    for d in range(stem - 1, 1, -1):
+        levels[d] = longer = _level(longer, d)
+    above = _top(longer)
+    for d in range(2, stem):
+        own = _under(levels[d], above, d - 1)
+        above = own.select("context", "node", (F.col("sure") + F.col("open") * F.col("weight") * F.col("kt")).alias("sure"), (F.col("open") * (1 - F.col("weight"))).alias("open"))
+    settled = _under(nodes.select("context", "node"), above, stem - 1)
+    none = F.lit(None)
+    rows = leaves.select("stem", "key", "n", none.cast("int").alias("node"), none.cast("double").alias("sure"), none.cast("double").alias("open")).unionAll(
+        settled.select(F.col("context").alias("stem"), none.cast("long").alias("key"), none.cast("long").alias("n"), "node", "sure", "open")
     )
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("gram")
-        packed = group["gram"].to_numpy(np.int64)
-        chance, nodes = subtree(packed, group["n"].to_numpy(np.int64))
-        nodes["near"] = np.int32(packed[0] >> 8 & 0xFF)
-        rows = pd.DataFrame({"gram": packed, "chance": [x.tobytes() for x in chance]})
-        return pd.concat([rows.astype({"gram": "Int64"}), nodes.astype({"near": "Int32", "node": "Int32"})], ignore_index=True)[out.names]
-
-    worked = cut(keyed.groupBy("key").applyInPandas(work, out))
-    # at most 256 x 255 sums
-    top = _top(worked.filter("gram is null").groupBy("near", "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "block")]).toArrow().to_pandas())
-    scored = T.StructType([T.StructField("gram", T.LongType()), T.StructField("lp", T.DoubleType())])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = batch.column("gram").to_numpy(zero_copy_only=False).astype(np.int64)
-            chance = np.frombuffer(b"".join(batch.column("chance").to_pylist()), np.float64).reshape(-1, 8)
-            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(_code_lengths(packed, chance, top), pa.float64())], scored.names)
-
-    return worked.filter("gram is not null").select("gram", "chance").mapInArrow(finish, scored)
-
-
-def word_scores(words: DataFrame, scores: DataFrame, small: int = 4_000_000, depth: int = DEPTH) -> DataFrame:
-    """``words`` with ``lp``, the log10 probability of the word with its closing space.  Up to ``small`` grams (16
-    bytes each) are sent to all executors; more are joined."""
-    context = words.sparkSession.sparkContext
-    number = T.LongType()
-    if scores.count() <= small:
-        known = scores.toArrow()  # columns: rows as Python objects would take twenty times the memory
-        order = np.argsort(known["gram"].to_numpy())
-        sent = context.broadcast((known["gram"].to_numpy()[order], known["lp"].to_numpy()[order]))
-        del known, order
-        schema = T.StructType([*words.schema.fields, T.StructField("lp", T.DoubleType())])
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, values = sent.value
-            for batch in batches:
-                packed, of = _grams_of(batch.column("word").to_pylist(), depth)
-                lp = np.bincount(of, weights=values[np.searchsorted(keys, packed)], minlength=batch.num_rows)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64())], schema.names)
-
-        return words.mapInArrow(apply, schema)
-    pair = T.StructType([T.StructField("word", T.StringType()), T.StructField("gram", number)])
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed, of = _grams_of(batch.column("word").to_pylist(), depth)
-            yield pa.RecordBatch.from_arrays([batch.column("word").take(pa.array(of)), pa.array(packed)], pair.names)
-
-    sums = words.select("word").mapInArrow(cells, pair).join(scores, "gram").groupBy("word").agg(F.sum("lp").alias("lp"))
-    return words.join(sums, "word")
-
-
-def _grams_of(some: list[str], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of words and end signs, with the number of the word."""
-    ends = np.array([w == END for w in some], bool)
-    others = np.flatnonzero(~ends)
-    packed, of = grams([some[i].encode("utf-8", "surrogatepass") for i in others], depth) if len(others) else (np.empty(0, np.int64), np.empty(0, np.int64))
-    return np.concatenate([packed, np.full(int(ends.sum()), END_GRAM)]), np.concatenate([others[of], np.flatnonzero(ends)])
-
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, share: int = 100_000, small: int = 4_000_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    out = _schema(stem="long", key="long", lp="float")
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _by_stem(batches):
+            leaf = part.column("key").is_valid().to_numpy()
+            own, given = part.filter(pa.array(leaf)), part.filter(pa.array(~leaf))
+            packed = own.column("key").to_numpy()
+            chance, _ = subtree(packed, own.column("n").to_numpy(), depth, stem)
+            names = given.column("stem").to_numpy() << 8 | given.column("node").to_numpy()
+            order = np.argsort(names)
+            names, sure, left = names[order], given.column("sure").to_numpy()[order], given.column("open").to_numpy()[order]
+            byte, lp = packed & 0xFF, np.zeros(len(packed))
+            for step in _STEPS:
+                at = np.searchsorted(names, own.column("stem").to_numpy() << 8 | 1 << step | byte >> 8 - step)
+                one = sure[at] + left[at] * chance[:, step]
+                lp += np.log10(np.where(byte >> 7 - step & 1 == 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(own.column("stem").to_numpy()), pa.array(packed), pa.array(lp.astype(np.float32))], out.names)
+
+    return rows.repartition("stem").sortWithinPartitions("stem").mapInArrow(down, out)
+
+
+def scored_texts(texts: list[bytes], find: Callable[[np.ndarray], np.ndarray], depth: int) -> np.ndarray:
+    """log10 probability of each text, from those of its grams."""
+    sums = np.zeros(len(texts))
+    for keys, owner in grams(texts, depth):
+        sums += np.bincount(owner, weights=find(keys), minlength=len(texts))
+    return sums
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+    """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the
+    text and its end) and bits_per_byte (code length per coded byte, the end counted as one).
 
     Trains on the rows whose fold is not 1.  Null texts count as empty (the end sign alone); a row with a null id is in
-    the fold of the empty text; repeated rows train and score as often as they are there; with no training row all
-    counts are zero.  An empty table gives an empty one.
-
-    Words that make up one ``share``-th of all tokens or more, of which there are at most ``share``, are sent to all
-    tasks and settled there; so no key of the join with the other words is hot."""
-    counts = written(count_words(docs, id_col, text_col), "words")
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("kinds")).first()
+    the fold of the empty text; repeated rows train and score as often as they are there; texts of any length are
+    coded whole; with no training row all counts are zero and every bit has a chance of one half.  An empty table
+    gives an empty one; other columns, whatever their names, are ignored."""
+    if not 2 <= depth <= 6:
+        raise ValueError("contexts have two to six bytes")
+    blocks = in_blocks(docs, id_col, text_col, block)
+    requests = asked(blocks, depth)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = bucketed(requests.groupBy("stem", "key").agg(F.sum("n").alias("n")), parts, "stem", "lm_counted")
+    row = counted.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     tokens, kinds = row["tokens"], row["kinds"]
-    base = F.log10((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1)))
-    scored = word_scores(counts, cut(gram_scores(counts, depth)), small, depth)
-    words = written(scored.select("word", "n", (F.col("c") > 0).cast("long").alias("known"), base.alias("base"), "lp"), "scored")
-    often = {r["word"].encode(): (r["known"], r["base"], r["lp"]) for r in words.filter(F.col("n") * share >= row["all"]).collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(often)
-    kind = docs.schema[id_col].dataType
+    none = F.lit(None)
+    answers = gram_scores(counted, depth).select("stem", "key", "lp", none.cast("long").alias("n"))
+    answers = answers.unionAll(counted.filter("key < 0").select("stem", "key", none.cast("float").alias("lp"), "n"))
+    replies = requests.select("stem", "key", "block").join(answers, ["stem", "key"]).select("block", "key", "lp", "n")
     schema = T.StructType(
         [
-            T.StructField("row", T.LongType()),
-            T.StructField("i", kind),
+            T.StructField("i", docs.schema[id_col].dataType),
             T.StructField("held", T.BooleanType()),
-            T.StructField("word", T.StringType()),
-            T.StructField("times", T.LongType()),
-            T.StructField("known", T.LongType()),
-            T.StructField("base", T.DoubleType()),
-            T.StructField("lp", T.DoubleType()),
+            *_schema(tokens="long", known="long", base="double", score="double", size="long").fields,
         ]
     )
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settled = sent.value
-        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
-            origin, word, times, known, sums, lps = [], [], [], [], [], []
-            for at, text in enumerate(batch.column("t").to_pylist()):
-                bag = Counter(text.encode("utf-8", "replace").lower().split())
-                bag[END.encode()] += 1
-                k, b, s, rest = 0, 0.0, 0.0, []
-                for w, n in bag.items():
-                    value = settled.get(w)
-                    if value is None:
-                        rest.append(w)
-                    else:
-                        k += n * value[0]
-                        b += n * value[1]
-                        s += n * value[2]
-                origin.extend([at] * (len(rest) + 1))
-                word.append(None)
-                word.extend(rest)
-                times.append(bag.total())
-                times.extend(map(bag.__getitem__, rest))
-                none = [None] * len(rest)
-                known.append(k)
-                known.extend(none)
-                sums.append(b)
-                sums.extend(none)
-                lps.append(s)
-                lps.extend(none)
-            take = pa.array(origin, pa.int64())
-            first = pa.array([w is None for w in word])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row").take(take),
-                    pa.compute.if_else(first, batch.column("i").take(take), pa.scalar(None, batch.column("i").type)),
-                    pa.compute.if_else(first, batch.column("held").take(take), pa.scalar(None, pa.bool_())),
-                    pa.array(word, pa.binary()).cast(pa.string()),
-                    pa.array(times, pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(sums, pa.float64()),
-                    pa.array(lps, pa.float64()),
-                ],
-                schema.names,
-            )
-
-    # A row's number only has to be its own within this one job.
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), (fold(id_col) == 1).alias("held"))
-    parts = written(numbered.mapInArrow(apply, schema), "parts")
-    rare = parts.filter("word is not null").select("row", "word", "times").join(words.select("word", "known", "base", "lp"), "word")
-    sums = rare.groupBy("row").agg(*[F.sum(F.col("times") * F.col(c)).alias(f"more_{c}") for c in ("known", "base", "lp")])
-    own = parts.filter("word is null").select("row", "i", "held", "times", "known", "base", "lp")
-    more = lambda c: F.col(c) + F.coalesce(F.col(f"more_{c}"), F.lit(0))
-    return own.join(sums, "row", "left").select(
+    def settle(own: pa.Table, given: pa.Table) -> pa.Table:
+        keys = given.column("key").to_numpy()
+        order = np.argsort(keys)
+        keys = keys[order]
+        split = int(np.searchsorted(keys, 0))
+        times = given.column("n").to_numpy()[order[:split]].astype(np.int64)
+        lps = given.column("lp").to_numpy()[order[split:]].astype(np.float32)
+        words, found = keys[:split], keys[split:]
+        out = []
+        for batch in slices(own.to_batches(), 256):
+            texts = [coded(t) for t in batch.column("t").to_pylist()]
+            score = scored_texts(texts, lambda g: lps[np.searchsorted(found, g)], depth)
+            tokens_of = [[*t.split(), END_WORD] for t in texts]
+            n = np.array([len(x) for x in tokens_of])
+            coded_words = pa.array([w for x in tokens_of for w in x], pa.binary()).dictionary_encode()
+            c = times[np.searchsorted(words, word_keys(coded_words.dictionary.to_pylist()))][coded_words.indices.to_numpy()]
+            owner = np.repeat(np.arange(len(texts)), n)
+            known = np.bincount(owner, weights=c > 0, minlength=len(texts)).astype(np.int64)
+            base = np.bincount(owner, weights=np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1))), minlength=len(texts))
+            size = np.array([len(t) + 1 for t in texts], np.int64)
+            out.append(pa.RecordBatch.from_arrays([batch.column("i"), batch.column("held"), *map(pa.array, (n, known, base, score, size))], schema.names))
+        return pa.Table.from_batches(out)
+
+    met = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(settle, schema)
+    return met.select(
         F.col("i").alias(id_col),
         F.col("held").alias("held_out"),
-        F.col("times").alias("n_tokens"),
-        more("known").cast("long").alias("n_known"),
+        F.col("tokens").alias("n_tokens"),
+        F.col("known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        more("base").alias("base_score"),
-        more("lp").alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
+        (F.col("score") * -math.log2(10) / F.col("size")).alias("bits_per_byte"),
     )
 
 
 def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text of ``documents``; see :func:`score_documents`."""
     return score_documents(table(spark, sf_dir, "documents"))
