@@ -4,6 +4,10 @@ Pages of a host are made from few templates, so where one page leaves doubt the
 its containers by the text they hold; scores go by the container's generalised path of tags and classes (digits count
 as one sign) and are summed for each host in Spark.  The path that wins a host says what is extracted from its pages;
 a page without such a container falls back on its own best path.
+
+What is marked as no part of an article goes before any score, unless it holds the page: a form around everything, or
+a class such as ``content search``, is no reason to lose an article.  A page takes time in proportion to its length,
+however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut, table
 
-#: Elements whose content is never text, that are no part of an article, that hold others, that end a block.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select|xmp|noembed|noframes"
+#: Elements whose content is never text (the second row may be empty, ``<svg/>``), that are no part of an
+#: article, that hold others, that end a block, that a head may hold.
+RAW = "script|style|noscript|template|textarea|title|xmp|noembed|noframes"
+RAW_OR_EMPTY = "iframe|svg|math|object|canvas|audio|video|select"
+IN_HEAD = frozenset("base link meta head html".split())
 ASIDE = frozenset("nav header footer aside form button menu dialog head label input".split())
 HOLDERS = frozenset("body main article section div td center blockquote details".split())
 BLOCKS = HOLDERS | ASIDE | frozenset("html p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption pre figure figcaption address fieldset hr summary hgroup".split())
@@ -34,10 +41,20 @@ MARKS = frozenset(
     "comment comments commentlist disqus respond reply replies widget toolbar pagination pager login search copyright hidden".split()
 )
 BEARERS = frozenset("content post entry article story text main body".split())
+#: Beside one of these a mark says what the page has or lacks, not what the container is.
+MODIFIERS = frozenset("has no with without is not enabled disabled xs sm md lg".split())
+COMMENTS = frozenset("comment comments reply replies disqus".split())
+#: Kinds of elements: kept, kept but for its headings only, dropped, and dropped unless it holds this share of the text.
+KEPT, HEADINGS_ONLY, DROPPED = 0, 1, 2
+UNLESS = {3: 0.9, 4: 0.3, 5: 0.5}
+MARKED, MARKED_BEARER, FORM = UNLESS
+#: A container within this many others counts as the one around it.
+DEEP = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?:{RAW_OR_EMPTY})\b(?:[^>\"'/]++|\"[^\"]*\"|'[^']*'|/(?!>))*+/>"
+    rf"|<(?P<raw>{RAW}|{RAW_OR_EMPTY})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -50,101 +67,176 @@ def _attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
 
 
-class _Element:
-    __slots__ = ("tag", "path", "drop")
-
-    def __init__(self, tag: str, path: str | None, drop: int):
-        self.tag, self.path, self.drop = tag, path, drop  # drop: 0 no, 1 all but headings, 2 all
-
-
-def blocks(html: str | None) -> list[tuple[str, int, tuple[str, ...]]]:
-    """Text blocks in page order without what is marked as no part of an article: text, characters in links, and the
-    paths of the containers around it, outermost first."""
-    html = html or ""
-    out: list[tuple[str, int, tuple[str, ...]]] = []
-    stack: list[_Element] = []
-    paths: tuple[str, ...] = ()
-    parts: list[str] = []
-    linked, in_link, heading, drop, at = 0, False, False, 0, 0
-
-    def settle() -> None:
-        nonlocal paths, drop
-        paths = tuple(dict.fromkeys(e.path for e in stack if e.path))
-        drop = max((e.drop for e in stack), default=0)
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text:
-                out.append((text, min(linked, len(text)), paths))
-            parts.clear()
-        linked = 0
-
-    def take(raw: str) -> None:
-        nonlocal linked
-        if raw and (drop == 0 or drop == 1 and heading):
-            text = unescape(raw) if "&" in raw else raw
-            parts.append(text)
-            if in_link:
-                linked += len(text)
-
-    for m in _TOKEN.finditer(html):
-        if m.start() > at:
-            take(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            take(" ")
-            continue
-        if tag == "a":
-            in_link = not m["end"]
-            continue
-        block = tag in BLOCKS
-        if block:
-            flush()
-            in_link = False
-        if m["end"]:
+def _kind(tag: str, found: dict[str, str], in_article: bool) -> int:
+    """What becomes of an element, by its tag and attributes."""
+    if tag == "form":
+        return FORM
+    if tag in ASIDE:
+        return HEADINGS_ONLY if tag == "header" and in_article else DROPPED
+    if not found or tag in ("html", "body", "main"):
+        return KEPT
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return MARKED
+    marked = bearer = False
+    for name in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower().split():
+        words = set(_WORD.findall(name))
+        marks = words & (COMMENTS if tag == "article" else MARKS) or "header" in words and tag != "article" and not words & BEARERS
+        marked = marked or bool(marks) and not words & MODIFIERS
+        bearer = bearer or not marks and bool(words & BEARERS)
+    return KEPT if not marked else MARKED_BEARER if bearer else MARKED
+
+
+class Page:
+    """A page's text blocks in order, the elements around them, and the paths of its containers.
+
+    ``texts``, ``linked`` (characters in links), ``within`` (number of the innermost element) and ``heading`` go by
+    block; ``parent``, ``path`` and ``kind`` by element, ``paths`` and ``above`` (the path around) by path; what is
+    around something has the lower number, and number 0 is the page."""
+
+    def __init__(self, html: str | None):
+        self.texts: list[str] = []
+        self.linked: list[int] = []
+        self.within: list[int] = []
+        self.heading: list[bool] = []
+        self.parent, self.path, self.kind = [0], [0], [KEPT]
+        self.paths, self.above, self._depth = [""], [0], [0]
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._read(html or "")
+        self._settle()
+
+    def _into(self, at: int, part: str) -> int:
+        """The number of the path one ``part`` below path ``at``."""
+        if self._depth[at] >= DEEP:
+            return at
+        number = self._numbers.setdefault((at, part), len(self.paths))
+        if number == len(self.paths):
+            self.paths.append(f"{self.paths[at]}/{part}")
+            self.above.append(at)
+            self._depth.append(self._depth[at] + 1)
+        return number
+
+    def _read(self, html: str) -> None:
+        stack: list[tuple[str, int]] = [("", 0)]
+        open_: dict[str, int] = {}
+        parts: list[str] = []
+        linked, in_link, heading, at = 0, False, False, 0
+
+        def flush() -> None:
+            nonlocal linked
+            if parts:
+                text = " ".join("".join(parts).split())
+                if text:
+                    self.texts.append(text)
+                    self.linked.append(min(linked, len(text)))
+                    self.within.append(stack[-1][1])
+                    self.heading.append(heading)
+                parts.clear()
+            linked = 0
+
+        def take(raw: str) -> None:
+            nonlocal linked
+            if raw:
+                text = unescape(raw) if "&" in raw else raw
+                parts.append(text)
+                if in_link:
+                    linked += len(text)
+
+        def close(tag: str) -> None:
+            if open_.get(tag):
+                flush()
+                name = None
+                while name != tag:
+                    name = stack.pop()[0]
+                    open_[name] -= 1
+
+        for m in _TOKEN.finditer(html):
+            if m.start() > at:
+                take(html[at : m.start()])
+            at = m.end()
+            tag = m["tag"]
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                take(" ")
+                continue
+            if tag == "a":
+                in_link = not m["end"]
+                continue
+            block = tag in BLOCKS
+            if block:
+                flush()
+                in_link = False
+            if m["end"]:
+                if tag in HEADINGS:
+                    heading = False
+                close(tag)
+                continue
+            if stack[-1][0] == "head" and tag not in IN_HEAD:
+                close("head")  # its end tag may be left out
+            if tag in VOID:
+                continue
             if tag in HEADINGS:
+                heading = True
+            elif tag in HOLDERS or tag == "p" or tag == "li":
                 heading = False
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n].tag == tag:
+            found = _attributes(m["rest"])
+            kind = _kind(tag, found, bool(open_.get("article") or open_.get("main")))
+            if tag in HOLDERS or kind != KEPT:
+                if kind != KEPT and not block:
                     flush()
-                    del stack[n:]
-                    settle()
-                    break
-            continue
-        if tag in VOID:
-            continue
-        if tag in HEADINGS:
-            heading = True
-        elif tag in HOLDERS or tag == "p" or tag == "li":
-            heading = False
-        found = _attributes(m["rest"])
-        marks = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".lower())) if found else set()
-        down = 0
-        if tag in ASIDE:
-            down = 1 if tag == "header" and any(e.tag in ("article", "main") for e in stack) else 2
-        elif tag not in ("html", "body", "article", "main") and (
-            marks & MARKS or "header" in marks and not marks & BEARERS or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        ):
-            down = 2
-        if tag in HOLDERS or down:
-            if down and not block:
-                flush()
-            path = None
-            if tag in HOLDERS:
-                kind = ".".join(sorted(re.sub(r"\d+", "#", found.get("class", "").lower()).split()))
-                above = next((e.path for e in reversed(stack) if e.path), "")
-                path = f"{above}/{tag}" + (f".{kind}" if kind else "")
-            stack.append(_Element(tag, path, down))
-            settle()
-    take(html[at:])
-    flush()
-    return out
+                around = stack[-1][1]
+                path = self.path[around]
+                if tag in HOLDERS:
+                    classes = ".".join(sorted(re.sub(r"\d+", "#", found.get("class", "").lower()).split()))
+                    path = self._into(path, tag + (f".{classes}" if classes else ""))
+                stack.append((tag, len(self.parent)))
+                open_[tag] = open_.get(tag, 0) + 1
+                self.parent.append(around)
+                self.path.append(path)
+                self.kind.append(kind)
+        take(html[at:])
+        flush()
+
+    def _settle(self) -> None:
+        """Drops the blocks that are no part of an article."""
+        sure = [False] * len(self.parent)  # within what goes in any case
+        only = [False] * len(self.parent)  # within what keeps its headings only
+        for e in range(1, len(self.parent)):
+            sure[e] = sure[self.parent[e]] or self.kind[e] == DROPPED
+            only[e] = only[self.parent[e]] or self.kind[e] == HEADINGS_ONLY
+        kept = [not sure[e] and (h or not only[e]) for e, h in zip(self.within, self.heading)]
+        held = [0] * len(self.parent)
+        for e, text, stays in zip(self.within, self.texts, kept):
+            held[e] += len(text) if stays else 0
+        for e in range(len(held) - 1, 0, -1):
+            held[self.parent[e]] += held[e]
+        gone = [False] * len(self.parent)
+        for e in range(1, len(gone)):
+            gone[e] = gone[self.parent[e]] or self.kind[e] in UNLESS and held[e] < UNLESS[self.kind[e]] * held[0]
+        stay = [n for n, e in enumerate(self.within) if kept[n] and not gone[e]]
+        for name in ("texts", "linked", "within", "heading"):
+            setattr(self, name, [getattr(self, name)[n] for n in stay])
+
+    def scores(self) -> dict[str, int]:
+        """Score of each container path: characters of text, links taken off twice, times the path's leaning.  Text
+        without a container counts for the path of the whole page."""
+        sums = [0] * len(self.paths)
+        some = [False] * len(self.paths)
+        for text, linked, e in zip(self.texts, self.linked, self.within):
+            sums[self.path[e]] += len(text) - 2 * linked
+            some[self.path[e]] = True
+        for n in range(len(sums) - 1, 0, -1):
+            sums[self.above[n]] += sums[n]
+            some[self.above[n]] |= some[n]
+        return {p: n * (_leaning(p) if p else 60) for p, n, is_there in zip(self.paths, sums, some) if is_there}
+
+    def under(self, path: str) -> list[str]:
+        """The blocks within the containers of ``path``."""
+        inside = [p == path for p in self.paths]
+        for n in range(1, len(inside)):
+            inside[n] = inside[n] or inside[self.above[n]]
+        return [t for t, e in zip(self.texts, self.within) if inside[self.path[e]]]
 
 
 def _leaning(path: str) -> int:
@@ -159,17 +251,6 @@ def _leaning(path: str) -> int:
     return 130 if BEARERS & set(_WORD.findall(kinds)) else 100
 
 
-def scores(found: list[tuple[str, int, tuple[str, ...]]]) -> dict[str, int]:
-    """Score of each container path of a page: characters of text, links taken off twice, times the path's leaning.
-    Text without a container counts for the path of the whole page."""
-    out: dict[str, int] = {}
-    for text, linked, paths in found:
-        weight = len(text) - 2 * linked
-        for path in ("", *paths):
-            out[path] = out.get(path, 0) + weight
-    return {p: n * (_leaning(p) if p else 60) for p, n in out.items()}
-
-
 def best(of: dict[str, int]) -> str | None:
     """The path of the greatest score; of equal ones the longer, then the greater."""
     return max(of, key=lambda p: (of[p], len(p), p)) if of else None
@@ -177,12 +258,11 @@ def best(of: dict[str, int]) -> str | None:
 
 def main_text(html: str | None, path: str | None) -> str:
     """The text under ``path``, or under the page's own best path if it has none there."""
-    found = blocks(html)
-    under = [t for t, _, paths in found if path == "" or path in paths]
-    if not under:
-        own = best(scores(found))
-        under = [t for t, _, paths in found if own == "" or own in paths]
-    return " ".join(under)
+    page = Page(html)
+    found = page.under(path) if path is not None else []
+    if not found and page.texts:
+        found = page.under(best(page.scores()))
+    return " ".join(found)
 
 
 def host_of(url: Column) -> Column:
@@ -199,7 +279,7 @@ def winning_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html"
         for batch in batches:
             sums: dict[tuple[str, str], int] = {}
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                for path, n in scores(blocks(html)).items():
+                for path, n in Page(html).scores().items():
                     sums[host, path] = sums.get((host, path), 0) + n
             rows = [(h, p, n) for (h, p), n in sums.items()]
             columns = list(zip(*rows)) or [()] * 3
@@ -214,7 +294,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Per row: id, url, ``text`` (empty where there is none) and ``n_chars``.
 
     Null and empty pages give empty texts; a null url counts as a host without name; repeated rows give repeated rows;
-    further columns are ignored.  Winning paths are sent to all executors when they are at most ``small`` hosts, and
+    pages of any length are read whole; of equal scores the longer path wins, then the greater; an empty table gives
+    an empty one; further columns, whatever their names, are ignored.  Winning paths are sent to all executors when they are at most ``small`` hosts, and
     joined by host (a hot host split by adaptive execution) when more."""
     won = cut(winning_paths(pages, url_col, html_col))
     few = won.count() <= small
@@ -234,4 +315,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``; see :func:`extract`."""
     return extract(table(spark, sf_dir, "pages"))
