@@ -34,8 +34,8 @@ DEPTH = 6
 #: Levels from this depth on are worked through within groups of equal contexts of this depth.
 STEM = 4
 #: Bytes of text in a block, and positions or keys handled at a time.
-BLOCK = 64 << 20
-WINDOW = 1 << 21
+BLOCK = 80 << 20
+WINDOW = 1 << 20
 #: No byte of UTF-8: ends a text and stands before its first byte.
 END = 0xFF
 #: How the end sign is counted among the words; no word holds white space.
@@ -64,7 +64,8 @@ def coded(text: str | None) -> bytes:
 
 def grams(texts: list[bytes], depth: int = DEPTH, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All grams of ``texts`` and the number of the text each is from, at most ``window`` at a time.  A gram is packed
-    into a whole number: the predicted byte, then the context, nearest byte lowest."""
+    into a whole number: the context, nearest byte highest, then the predicted byte; so in order of their numbers, grams
+    that share a context of any depth are neighbours."""
     pad = bytes([END]) * depth
     line = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
     sizes = np.array([len(t) + depth for t in texts], np.int64)
@@ -77,7 +78,7 @@ def grams(texts: list[bytes], depth: int = DEPTH, window: int = WINDOW) -> Itera
         end = min(at + window, len(line))
         packed = np.zeros(end - at, np.int64)
         for k in range(depth + 1):
-            packed |= line[at - k : end - k].astype(np.int64) << (8 * k)
+            packed |= line[at - k : end - k].astype(np.int64) << (8 * (depth - k + 1) if k else 0)
         here = coded_here[at:end]
         yield packed[here], owner[at - depth : end - depth][here]
 
@@ -94,7 +95,7 @@ def word_keys(words: list[bytes]) -> np.ndarray:
 class Tally:
     """Different keys with their counts; raw keys are merged in whenever there are ``room``."""
 
-    def __init__(self, room: int = 4 * WINDOW):
+    def __init__(self, room: int = 2 * WINDOW):
         self.room, self.raw, self.waiting = room, [], 0
         self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -179,8 +180,8 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -
 
 
 def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``stem, key, n, block``: each different gram and word of a block and how often training texts there have it;
-    ``stem`` is the nearest context, by which the rows are dealt."""
+    """``stem, rest, n, block``: each different gram and word of a block and how often training texts there have it.
+    Keys are cut in two: ``stem``, of a gram the nearest context, by which the rows are dealt, and ``rest``."""
     schema = _schema(key="long", n="long", block="long")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,28 +220,37 @@ def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield from hand_on()
 
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * min(STEM, depth)) - 1))
+    cut_at = _rest_bits(depth)
     rows = blocks.select("t", "held", "block").mapInArrow(apply, schema)
-    return bucketed(rows.withColumn("stem", F.when(F.col("key") < 0, F.col("key")).otherwise(near)).repartition(parts, "stem"), parts, "stem", "lm_asked")
+    rows = rows.select(F.shiftright("key", cut_at).alias("stem"), F.col("key").bitwiseAND(F.lit((1 << cut_at) - 1)).cast("int").alias("rest"), "n", "block")
+    return bucketed(rows.repartition(parts, "stem"), parts, "stem", "lm_asked")
+
+
+def _rest_bits(depth: int) -> int:
+    return 8 * (depth - min(STEM, depth)) + 8
+
+
+def _keys(rows: pa.Table, depth: int) -> np.ndarray:
+    return rows.column("stem").to_numpy() << _rest_bits(depth) | rows.column("rest").to_numpy()
 
 
 def subtree(packed: np.ndarray, counts: np.ndarray, depth: int, stem: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Works through all grams of some contexts of depth ``stem``: by gram and step the probability of a set bit as
+    """Works through all grams of some contexts of depth ``stem``, in order: by gram and step the probability of a set bit as
     mixed from depth ``stem`` on, and of each such context and decision the counts and the log of the weighted block
     probability."""
-    byte, context, n = packed & 0xFF, packed >> 8, counts.astype(np.float64)
+    byte, n = packed & 0xFF, counts.astype(np.float64)
     chance = np.empty((len(packed), 8))
     nodes: dict[str, list[np.ndarray]] = {c: [] for c in ("context", "node", "zeros", "ones", "block")}
     for step in _STEPS:
         node, bit = 1 << step | byte >> 8 - step, byte >> 7 - step & 1
         mixed, below = np.full(len(packed), 0.5), None
         for d in range(depth, stem - 1, -1):
-            keys, own = np.unique((context & ((1 << 8 * d) - 1)) << 8 | node, return_inverse=True)
+            keys, own = np.unique(packed >> 8 * (depth - d) + 8 << 8 | node, return_inverse=True)
             ones, both = (np.bincount(own, weights=w, minlength=len(keys)) for w in (n * bit, n))
             stop = log_kt(both - ones, ones)
             block, weight = stop, np.ones(len(keys))
             if below is not None:
-                parent = np.searchsorted(keys, (below[0] >> 8 & ((1 << 8 * d) - 1)) << 8 | below[0] & 0xFF)
+                parent = np.searchsorted(keys, below[0] >> 16 << 8 | below[0] & 0xFF)
                 block = np.logaddexp(stop, np.bincount(parent, weights=below[1], minlength=len(keys))) - math.log(2)
                 weight = np.exp(np.minimum(0.0, stop - math.log(2) - block))
             mixed = weight[own] * ((ones + 0.5) / (both + 1.0))[own] + (1 - weight[own]) * mixed
@@ -280,26 +290,25 @@ def _weighed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np
     return block, np.exp(np.minimum(0.0, stop - math.log(2) - block)), (ones + 0.5) / (zeros + ones + 1.0)
 
 
-def _sums(nodes: DataFrame, depth: int) -> DataFrame:
-    """Nodes of the contexts one byte longer, summed for those of ``depth``."""
-    context = F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)).alias("context")
-    return nodes.groupBy(context, "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "block")])
+def _sums(nodes: DataFrame) -> DataFrame:
+    """Nodes summed for the contexts one byte shorter."""
+    return nodes.groupBy(F.shiftright("context", 8).alias("context"), "node").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "block")])
 
 
-def _level(nodes: DataFrame, depth: int) -> DataFrame:
+def _level(nodes: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block, weight, kt = _weighed(*(_column(batch, c) for c in ("zeros", "ones", "block")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("context", "node", "zeros", "ones")), pa.array(block), pa.array(weight), pa.array(kt)], _LEVEL.names)
 
-    return cut(_sums(nodes, depth).mapInArrow(apply, _LEVEL))
+    return cut(_sums(nodes).mapInArrow(apply, _LEVEL))
 
 
 def _top(nodes: DataFrame) -> DataFrame:
     """``context, node, sure, open`` at depth one: what depths zero and one give to the chance of a set bit, and the
     weight that is left for longer contexts.  At most 256 x 255 rows, made on the driver."""
     spark = nodes.sparkSession
-    rows = _sums(nodes, 1).toArrow()
+    rows = _sums(nodes).toArrow()
     near, node, zeros, ones, below = (rows.column(c).to_numpy() for c in ("context", "node", "zeros", "ones", "block"))
     block, weight, kt = _weighed(zeros, ones, below)
     root = [np.bincount(node, weights=w, minlength=256) for w in (zeros, ones, block)]
@@ -310,44 +319,44 @@ def _top(nodes: DataFrame) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c) for c in (near.astype(np.int64), node.astype(np.int32), sure, left)], names=schema.names), schema)
 
 
-def _under(rows: DataFrame, above: DataFrame, depth: int) -> DataFrame:
-    """``rows`` (contexts of ``depth`` + 1) with ``sure`` and ``open`` of the context of ``depth`` that each is in."""
+def _under(rows: DataFrame, above: DataFrame) -> DataFrame:
+    """``rows`` with ``sure`` and ``open`` of the context one byte shorter that each is in."""
     up = above.select(F.col("context").alias("up"), F.col("node").alias("up_node"), "sure", "open")
-    return rows.join(up, (F.col("context").bitwiseAND(F.lit((1 << 8 * depth) - 1)) == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
+    return rows.join(up, (F.shiftright("context", 8) == F.col("up")) & (F.col("node") == F.col("up_node"))).drop("up", "up_node")
 
 
 def gram_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``stem, key, lp``: log10 probability of the predicted byte of each gram of ``counted`` (``stem, key, n``), also
+    """``stem, rest, lp``: log10 probability of the predicted byte of each gram of ``counted`` (``stem, rest, n``), also
     of those without training counts."""
     stem = min(STEM, depth)
-    leaves = counted.filter("key >= 0")
+    leaves = counted.filter("stem >= 0")
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _by_stem(batches):
-            _, nodes = subtree(part.column("key").to_numpy(), part.column("n").to_numpy(), depth, stem)
+            _, nodes = subtree(_keys(part, depth), part.column("n").to_numpy(), depth, stem)
             nodes["node"] = nodes["node"].astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[c]) for c in _NODES.names], _NODES.names)
 
-    nodes = cut(leaves.repartition("stem").sortWithinPartitions("stem").mapInArrow(up, _NODES))
+    nodes = cut(leaves.repartition("stem").sortWithinPartitions("stem", "rest").mapInArrow(up, _NODES))
     levels, longer = {}, nodes
     for d in range(stem - 1, 1, -1):
-        levels[d] = longer = _level(longer, d)
+        levels[d] = longer = _level(longer)
     above = _top(longer)
     for d in range(2, stem):
-        own = _under(levels[d], above, d - 1)
+        own = _under(levels[d], above)
         above = own.select("context", "node", (F.col("sure") + F.col("open") * F.col("weight") * F.col("kt")).alias("sure"), (F.col("open") * (1 - F.col("weight"))).alias("open"))
-    settled = _under(nodes.select("context", "node"), above, stem - 1)
+    settled = _under(nodes.select("context", "node"), above)
     none = F.lit(None)
-    rows = leaves.select("stem", "key", "n", none.cast("int").alias("node"), none.cast("double").alias("sure"), none.cast("double").alias("open")).unionAll(
-        settled.select(F.col("context").alias("stem"), none.cast("long").alias("key"), none.cast("long").alias("n"), "node", "sure", "open")
+    rows = leaves.select("stem", "rest", "n", none.cast("int").alias("node"), none.cast("double").alias("sure"), none.cast("double").alias("open")).unionAll(
+        settled.select(F.col("context").alias("stem"), none.cast("int").alias("rest"), none.cast("long").alias("n"), "node", "sure", "open")
     )
-    out = _schema(stem="long", key="long", lp="float")
+    out = _schema(stem="long", rest="int", lp="float")
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _by_stem(batches):
-            leaf = part.column("key").is_valid().to_numpy()
+            leaf = part.column("rest").is_valid().to_numpy()
             own, given = part.filter(pa.array(leaf)), part.filter(pa.array(~leaf))
-            packed = own.column("key").to_numpy()
+            packed = _keys(own, depth)
             chance, _ = subtree(packed, own.column("n").to_numpy(), depth, stem)
             names = given.column("stem").to_numpy() << 8 | given.column("node").to_numpy()
             order = np.argsort(names)
@@ -357,9 +366,9 @@ def gram_scores(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
                 at = np.searchsorted(names, own.column("stem").to_numpy() << 8 | 1 << step | byte >> 8 - step)
                 one = sure[at] + left[at] * chance[:, step]
                 lp += np.log10(np.where(byte >> 7 - step & 1 == 1, one, 1 - one))
-            yield pa.RecordBatch.from_arrays([pa.array(own.column("stem").to_numpy()), pa.array(packed), pa.array(lp.astype(np.float32))], out.names)
+            yield pa.RecordBatch.from_arrays([pa.array(own.column("stem").to_numpy()), pa.array(own.column("rest").to_numpy()), pa.array(lp.astype(np.float32))], out.names)
 
-    return rows.repartition("stem").sortWithinPartitions("stem").mapInArrow(down, out)
+    return rows.repartition("stem").sortWithinPartitions("stem", "rest").mapInArrow(down, out)
 
 
 def scored_texts(texts: list[bytes], find: Callable[[np.ndarray], np.ndarray], depth: int) -> np.ndarray:
@@ -383,13 +392,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = in_blocks(docs, id_col, text_col, block)
     requests = asked(blocks, depth)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = bucketed(requests.groupBy("stem", "key").agg(F.sum("n").alias("n")), parts, "stem", "lm_counted")
-    row = counted.filter("key < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
+    counted = bucketed(requests.groupBy("stem", "rest").agg(F.sum("n").alias("n")), parts, "stem", "lm_counted")
+    row = counted.filter("stem < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     tokens, kinds = row["tokens"], row["kinds"]
     none = F.lit(None)
-    answers = gram_scores(counted, depth).select("stem", "key", "lp", none.cast("long").alias("n"))
-    answers = answers.unionAll(counted.filter("key < 0").select("stem", "key", none.cast("float").alias("lp"), "n"))
-    replies = requests.select("stem", "key", "block").join(answers, ["stem", "key"]).select("block", "key", "lp", "n")
+    answers = gram_scores(counted, depth).select("stem", "rest", "lp", none.cast("long").alias("n"))
+    answers = answers.unionAll(counted.filter("stem < 0").select("stem", "rest", none.cast("float").alias("lp"), "n"))
+    replies = requests.select("stem", "rest", "block").join(answers, ["stem", "rest"]).select("block", "stem", "rest", "lp", "n")
     schema = T.StructType(
         [
             T.StructField("i", docs.schema[id_col].dataType),
@@ -399,7 +408,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def settle(own: pa.Table, given: pa.Table) -> pa.Table:
-        keys = given.column("key").to_numpy()
+        keys = _keys(given, depth)
         order = np.argsort(keys)
         keys = keys[order]
         split = int(np.searchsorted(keys, 0))
