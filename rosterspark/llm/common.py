@@ -34,13 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def bucketed(df: DataFrame, buckets: int, column: str, name: str) -> DataFrame:
-    """Like :func:`written`, but dealt by hash of ``column``: grouping and joining by it needs no further shuffle of
+def bucketed(df: DataFrame, buckets: int, columns: tuple[str, ...], name: str) -> DataFrame:
+    """Like :func:`written`, but dealt by hash of ``columns``: grouping and joining by them needs no further shuffle of
     this table.  The catalog's entry names the folder; nothing is kept in the warehouse."""
     spark = df.sparkSession
     own = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{own}"
-    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(own)
+    df.write.bucketBy(buckets, *columns).option("path", path).option("compression", "zstd").saveAsTable(own)
     return spark.table(own)
 
 

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucketed, cut, fold, slices, table
+from .common import bucketed, cut, fold, slices, table, written
 
 DEPTH = 6
 #: Levels from this depth on are worked through within groups of equal contexts of this depth.
 STEM = 4
 #: Bytes of text in a block, and positions or keys handled at a time.
-BLOCK = 80 << 20
+BLOCK = 112 << 20
 WINDOW = 1 << 20
 #: No byte of UTF-8: ends a text and stands before its first byte.
 END = 0xFF
@@ -176,7 +176,7 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK) -
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], schema.names)
 
     # more buckets than blocks, so that few blocks share one
-    return bucketed(plain.coalesce(parts).mapInArrow(number, schema), 3 * parts, "block", "lm_blocks")
+    return bucketed(plain.coalesce(parts).mapInArrow(number, schema), 3 * parts, ("block",), "lm_blocks")
 
 
 def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -223,7 +223,7 @@ def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
     cut_at = _rest_bits(depth)
     rows = blocks.select("t", "held", "block").mapInArrow(apply, schema)
     rows = rows.select(F.shiftright("key", cut_at).alias("stem"), F.col("key").bitwiseAND(F.lit((1 << cut_at) - 1)).cast("int").alias("rest"), "n", "block")
-    return bucketed(rows.repartition(parts, "stem"), parts, "stem", "lm_asked")
+    return bucketed(rows.repartition(parts, "stem", "rest"), parts, ("stem", "rest"), "lm_asked")
 
 
 def _rest_bits(depth: int) -> int:
@@ -379,6 +379,52 @@ def scored_texts(texts: list[bytes], find: Callable[[np.ndarray], np.ndarray], d
     return sums
 
 
+def _laid(numbers: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, first all lowest bytes: what ordered numbers share is then easy to compress."""
+    return numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unlaid(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _floats(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.float32)
+
+
+def _joined(given: pa.Table, column: str, kind: Callable[[bytes], np.ndarray]) -> np.ndarray:
+    return np.concatenate([kind(x) for x in given.column(column).to_pylist()])
+
+
+def packed_by_block(replies: DataFrame, depth: int, rows: int = 1 << 20) -> DataFrame:
+    """``block, grams, lps, words, times``: the answers to a block as arrays, of about ``rows`` answers at a time."""
+    names = ("grams", "lps", "words", "times")
+    schema = T.StructType([T.StructField("block", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in names)])
+
+    def pack(whole: pa.Table) -> Iterator[pa.RecordBatch]:
+        block = whole.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.diff(block[order], append=block.max() + 1)) + 1
+        keys, lp, n = _keys(whole, depth), whole.column("lp").fill_null(0).to_numpy(), whole.column("n").fill_null(0).to_numpy()
+        for of in np.split(order, ends[:-1]):
+            gram, word = of[keys[of] >= 0], of[keys[of] < 0]
+            parts = (_laid(keys[gram]), lp[gram].astype(np.float32).tobytes(), _laid(keys[word]), _laid(n[word]))
+            yield pa.RecordBatch.from_arrays([pa.array([block[of[0]]]), *(pa.array([p], pa.binary()) for p in parts)], schema.names)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= rows:
+                yield from pack(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from pack(pa.Table.from_batches(held))
+
+    return replies.select("block", "stem", "rest", "lp", "n").mapInArrow(apply, schema)
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """Per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the
     text and its end) and bits_per_byte (code length per coded byte, the end counted as one).
@@ -391,14 +437,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("contexts have two to six bytes")
     blocks = in_blocks(docs, id_col, text_col, block)
     requests = asked(blocks, depth)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = bucketed(requests.groupBy("stem", "rest").agg(F.sum("n").alias("n")), parts, "stem", "lm_counted")
+    counted = written(requests.groupBy("stem", "rest").agg(F.sum("n").alias("n")), "lm_counted")
     row = counted.filter("stem < 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("n") > 0, 1)).alias("kinds")).first()
     tokens, kinds = row["tokens"], row["kinds"]
     none = F.lit(None)
     answers = gram_scores(counted, depth).select("stem", "rest", "lp", none.cast("long").alias("n"))
     answers = answers.unionAll(counted.filter("stem < 0").select("stem", "rest", none.cast("float").alias("lp"), "n"))
-    replies = requests.select("stem", "rest", "block").join(answers, ["stem", "rest"]).select("block", "stem", "rest", "lp", "n")
+    replies = packed_by_block(requests.select("stem", "rest", "block").join(answers, ["stem", "rest"]), depth)
     schema = T.StructType(
         [
             T.StructField("i", docs.schema[id_col].dataType),
@@ -408,13 +453,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def settle(own: pa.Table, given: pa.Table) -> pa.Table:
-        keys = _keys(given, depth)
-        order = np.argsort(keys)
-        keys = keys[order]
-        split = int(np.searchsorted(keys, 0))
-        times = given.column("n").to_numpy()[order[:split]].astype(np.int64)
-        lps = given.column("lp").to_numpy()[order[split:]].astype(np.float32)
-        times_of, lp_of = Lookup(keys[:split], times), Lookup(keys[split:], lps)
+        lp_of, times_of = (Lookup(_joined(given, keys, _unlaid), _joined(given, values, kind)) for keys, values, kind in (("grams", "lps", _floats), ("words", "times", _unlaid)))
         out = []
         for batch in slices(own.to_batches(), 256):
             texts = [coded(t) for t in batch.column("t").to_pylist()]
