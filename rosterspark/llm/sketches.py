@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import slices, table
 
 K = 128
 WORDS = 5
@@ -115,49 +116,54 @@ def merge_sketches(parts: DataFrame, by: list[str], sketch_col: str = "fingerpri
     return best.groupBy(*by).agg(joined.alias(sketch_col))
 
 
-def _buckets(docs: DataFrame, id_col: str, rows_each: int, most: int) -> tuple[list[float], int]:
-    """Inner bounds of buckets of about ``rows_each`` ids, from the ids alone."""
-    n = docs.count()
-    parts = int(min(most, max(1, -(-n // rows_each))))
-    if parts == 1:
-        return [], n
-    chances = [i / parts for i in range(1, parts)]
-    found = docs.select(F.col(id_col).cast("double").alias("i")).approxQuantile("i", chances, 0.1 / parts)
-    return sorted(set(found)), n
+#: Ranges for each partition of :func:`edited_pairs`: several, so that partitions get about as many.
+RANGES = 4
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 2048, most: int = 20_000) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text, whose last half is replaced by the first as many
-    code points of the next document (by ascending id; null ids come first; of equal ids the lesser text first; after
-    the last comes the first; a single document follows itself).  Null texts count as empty.
+def _heads(keyed: DataFrame, rows_each: int, most: int) -> list[tuple]:
+    """The least key of each range of about ``rows_each`` rows: whether there is an id, the id, the text's hash.  Only
+    these columns are dealt; ``most`` bounds what reaches the driver."""
+    parts = int(min(most, max(1, -(-keyed.count() // rows_each))))
+    ranged = keyed.select("some", "i", "h").repartitionByRange(parts, "some", "i", "h")
+    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("some", "i", "h")).alias("m"))
+    return sorted(((r["m"]["some"], r["m"]["i"] if r["m"]["some"] else 0, r["m"]["h"]) for r in found.collect()))
 
-    Documents are dealt out by ranges of the id, and each range also gets a copy of the first document of the next
-    one: as many rows more as there are ranges.  Within a range, rows stream by in order."""
-    from pyspark.ml.feature import Bucketizer
 
+def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_each: int = 2048, most: int = 1_000_000) -> DataFrame:
+    """Each document's fingerprint beside that of its edited text, whose last half is replaced by the first as many
+    code points of the next document (by ascending id, of any type that has an order; null ids come first; of equal
+    ids the lesser XXH64 of the text first; after the last comes the first; a single document follows itself).  Also
+    the estimated number of distinct shingles, and how much of the fingerprint's shingles the edited text has.  Null
+    texts count as empty; texts of any length are read whole; repeated rows follow each other; an empty table gives an
+    empty one; other columns, whatever their names, are ignored.
+
+    Documents are dealt out by ranges of id and hash, so one id may have very many rows, and each range also gets a
+    copy of the first document of the next one: as many rows more as there are ranges.  Within a range, rows stream by
+    in order."""
     kind = docs.schema[id_col].dataType
     plain = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    bounds, n = _buckets(plain, "i", rows_each, most)
-    order = F.coalesce(F.col("i").cast("double"), F.lit(float("-inf")))
-    if bounds:
-        cuts = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="x", outputCol="b")
-        ranged = cuts.transform(plain.withColumn("x", order)).withColumn("b", F.col("b").cast("int")).drop("x")
-    else:
-        ranged = plain.withColumn("b", F.lit(0))
-    # the least id of each range that has rows: at most one row for each range
-    heads = ranged.groupBy("b").agg(F.min("i").alias("head"), F.max(F.col("i").isNull()).alias("none")).orderBy("b").collect()
-    used = [r["b"] for r in heads]
-    first_of = docs.sparkSession.createDataFrame(
-        [(r["b"], None if r["none"] else r["head"], r["none"], used[at - 1]) for at, r in enumerate(heads)],
-        T.StructType([T.StructField("fb", T.IntegerType()), T.StructField("fi", kind), T.StructField("fnull", T.BooleanType()), T.StructField("to", T.IntegerType())]),
-    )
-    # `most` bounds the broadcast table: one row for each range
-    is_head = (F.col("b") == F.col("fb")) & F.when(F.col("fnull"), F.col("i").isNull()).otherwise(F.col("i") == F.col("fi"))
-    marked = ranged.join(F.broadcast(first_of), is_head, "left")
-    places = F.array(F.struct(F.col("b"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("b"), F.lit(True).alias("guest")))
-    doubled = marked.select("i", "t", F.explode(F.filter(places, lambda x: x["b"].isNotNull())).alias("at")).select("i", "t", "at.*")
-    parts = max(1, len(used))
-    dealt = doubled.repartition(parts, "b").sortWithinPartitions("b", "guest", F.col("i").asc_nulls_first(), "t")
+    keyed = plain.select(F.col("i").isNotNull().alias("some"), "i", F.xxhash64("t").alias("h"), "t")
+    heads = _heads(keyed, -(-rows_each // RANGES), most)
+    place = T.StructType([*keyed.schema.fields, T.StructField("b", T.IntegerType()), T.StructField("guest", T.BooleanType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows, ranges, guest = [], [], []
+            for n, (i, h) in enumerate(zip(batch.column("i").to_pylist(), batch.column("h").to_pylist())):
+                key = (i is not None, 0 if i is None else i, h)
+                b = bisect_right(heads, key) - 1
+                rows.append(n)
+                ranges.append(b)
+                guest.append(False)
+                if heads[b] == key:
+                    rows.append(n)
+                    ranges.append((b - 1) % len(heads))
+                    guest.append(True)
+            some = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array(ranges, pa.int32()), pa.array(guest)], place.names)
+
+    parts = max(1, len(heads) // RANGES)
+    dealt = keyed.mapInArrow(deal, place).repartition(parts, "b").sortWithinPartitions("b", "guest", "some", "i", "h", "t").select("i", "t", "guest")
     schema = T.StructType(
         [
             T.StructField("i", kind),
@@ -167,6 +173,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             T.StructField("edited_fingerprint", T.StringType()),
             T.StructField("near_edited", T.DoubleType()),
             T.StructField("near_next", T.DoubleType()),
+            T.StructField("n_shingles", T.DoubleType()),
+            T.StructField("held_by_edited", T.DoubleType()),
         ]
     )
 
@@ -174,7 +182,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last own row, until its next is known
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for i, t, guest in zip(*(batch.column(c).to_pylist() for c in ("i", "t", "guest"))):
                 if held is None and guest:
@@ -186,7 +194,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     edited = text[: len(text) - half] + t[:half]
                     new = sketch(edited)
                     digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-                    rows.append((key, len(text), digest, as_text(old), as_text(new), resemblance(old, new), resemblance(old, mine)))
+                    rows.append((key, len(text), digest, as_text(old), as_text(new), resemblance(old, new), resemblance(old, mine), distinct(old), containment(old, new)))
                 held = None if guest else (i, t, mine)
             columns = zip(*rows) if rows else [()] * len(schema.names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, target)], schema.names)
@@ -195,4 +203,5 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all ``documents`` and of their edited texts; see :func:`edited_pairs`."""
     return edited_pairs(table(spark, sf_dir, "documents"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import xxhash
 
 from rosterspark.llm import sketches
 
@@ -52,8 +53,13 @@ def test_merge_in_spark(spark):
         assert got[g] == sketches.as_text(want)
 
 
+def signed(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def edited(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1] or ""), r[1] or ""))
     for r, n in zip(order, [*order[1:], order[0]]):
         t, u = r[1] or "", n[1] or ""
         half = len(t) // 2
@@ -68,3 +74,29 @@ def test_edited_texts_in_one_range_and_in_many(docs, rows, empty):
     assert sketches.edited_pairs(empty).count() == 0
     one = sketches.edited_pairs(docs.filter("doc_id = 5")).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
+
+
+def test_ids_of_other_types_and_hot_ids(spark, rows):
+    for make in (lambda i: None if i is None else f"d-{i:04d}", lambda i: 7, lambda i: None):
+        own = [(make(r[0]), r[1]) for r in rows]
+        order = sorted(own, key=lambda r: (r[0] is not None, r[0] or "", signed(r[1] or ""), r[1] or "")) if make(1) != 7 else sorted(own, key=lambda r: (signed(r[1] or ""), r[1] or ""))
+        want = []
+        for r, n in zip(order, [*order[1:], order[0]]):
+            t, u = r[1] or "", n[1] or ""
+            e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+            want.append((str(r[0]), len(t), hashlib.sha256(e.encode()).hexdigest()))
+        kind = "string" if make(1) != 7 else "int"
+        got = sketches.edited_pairs(spark.createDataFrame(own, f"doc_id {kind}, text string").repartition(3), rows_each=20).collect()
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
+def test_likeness_against_exact_sets(spark):
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(3, 900)))) for i in range(80)]
+    got = {r["doc_id"]: r for r in sketches.edited_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t, e, u in edited(rows):
+        s, x, y = shingles(t), shingles(e), shingles(u)
+        r = got[i]
+        assert abs(r["near_edited"] - len(s & x) / len(s | x)) < 0.15 and abs(r["near_next"] - len(s & y) / len(s | y)) < 0.1
+        assert abs(r["n_shingles"] / len(s) - 1) < 0.3 and abs(r["held_by_edited"] - len(s & x) / len(s)) < 0.25
