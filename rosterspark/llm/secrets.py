@@ -1,14 +1,17 @@
 """Finding secrets in texts with Spark SQL functions only.
 
-Three kinds have fixed patterns.  A fourth, ``random``, is any other long token with letters and digits that a first
-order Markov model of random strings explains better than one of ordinary identifiers, by the log-likelihood ratio of
-its characters.  Both models are trained on labelled samples: values that the fixed patterns find are random, the
-other tokens of the sampled documents are ordinary.
+Three kinds have fixed patterns.  A fourth, ``random``, is any other token that a first order Markov model of random
+strings explains better than one of ordinary words and identifiers, by the log-likelihood ratio a character.  Both
+models and the ratio from which a token counts are fitted on labelled samples: values that the fixed patterns find are
+random, all other tokens of the sampled documents (each different one once) are ordinary.  Random strings are also
+uniform within letters of one case, digits and signs, so that kinds of keys the sample does not hold are known too.
 """
 
 from __future__ import annotations
 
+import json
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +26,17 @@ KINDS: tuple[tuple[str, str, int, int], ...] = (
 )
 #: What must be somewhere in a text for its kind to be looked for (for hex, runs long enough are the matches).
 HINTS = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
-#: Tokens of 16 characters and more with a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Codes of the characters that the models know, from ``+`` to ``z``; a code outside the alphabet never occurs.
+FIRST, SIZE = 43, 80
+CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_.-")
+ALPHABET = "".join(CLASSES)
+#: Tokens of eight characters and more, with ``=`` only as padding; letters of other scripts are no borders.
+CANDIDATE = r"(?<![\p{L}\p{M}\p{N}+/_.-])[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}(?![\p{L}\p{M}\p{N}])"
 #: What each count of two characters is raised by.
-PRIOR = 4.0
-#: Log-likelihood ratio above which a token counts as random: e^6 times as likely.
-THRESHOLD = 6.0
+PRIOR = 0.5
+#: Part of the different ordinary tokens held out of the fit that may lie above the ratio asked for, and what is added
+#: to that ratio (nats a character).
+ABOVE, MARGIN = 0.0005, 0.1
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -62,65 +69,108 @@ def _bigrams(tokens: DataFrame, column: str) -> DataFrame:
     """How often each two characters of the alphabet follow each other: at most the square of its size rows."""
     pairs = F.expr(f"transform(sequence(1, length({column}) - 1), i -> substring({column}, i, 2))")
     cells = tokens.filter(F.length(column) > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    return cells.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_=-]{2}$"))
+    return cells.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_.-]{2}$"))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> list[float]:
-    """The log-likelihood ratio of each two characters, row by row of the alphabet, from ``sample`` documents (those
-    of least hashed id): values of the fixed kinds against all other tokens.  Only bigram counts reach the driver.
-    Counts are raised by PRIOR, so models of few samples stay near the uniform one."""
+class Model(NamedTuple):
+    """``ratios``: log-likelihood ratio of each two characters, by their codes; ``least``: the ratio a character from
+    which a token counts as random."""
+
+    ratios: list[float]
+    least: float
+
+
+def _logs(counts: dict[str, int]) -> dict[str, float]:
+    """Log probability of each second character after the first."""
+    out = {}
+    for a in ALPHABET:
+        row = [counts.get(a + b, 0) + PRIOR for b in ALPHABET]
+        out.update({a + b: math.log(n / sum(row)) for b, n in zip(ALPHABET, row)})
+    return out
+
+
+def _random_logs(counts: dict[str, int]) -> dict[str, float]:
+    """Half what the sample has, half uniform within the second character's class, classes following each other as the
+    sample's do."""
+    seen = _logs(counts)
+    out = {}
+    for own in CLASSES:
+        steps = [sum(counts.get(a + b, 0) for a in own for b in other) + len(other) for other in CLASSES]
+        for other, n in zip(CLASSES, steps):
+            out.update({a + b: math.log((math.exp(seen[a + b]) + n / sum(steps) / len(other)) / 2) for a in own for b in other})
+    return out
+
+
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
+    """``v, random, held``: tokens of ``sample`` documents (those of least hashed id), labelled by the fixed patterns,
+    each different one once; a fifth, by hash, is held out of the counts."""
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col, "left_semi")
-    tokens = some.select("t", *[v.alias(k) for k, v in base_spans(F.col("t")).items()])
-    tokens = cut(tokens)
+    tokens = cut(some.select("t", *[v.alias(k) for k, v in base_spans(F.col("t")).items()]))
     inside = F.concat(*[F.transform(F.col(k), lambda s: F.substring("t", s["start"] + 1, s["end"] - s["start"])) for k, *_ in KINDS])
     # of an assignment, the value without keyword and sign
-    values = tokens.select(F.explode(inside).alias("v")).select(F.regexp_extract("v", r"""([A-Za-z0-9+/_-]+)["']?$""", 1).alias("v"))
+    values = tokens.select(F.explode(inside).alias("v")).select(F.regexp_extract("v", r"""([A-Za-z0-9+/_.-]+)=*["']?$""", 1).alias("v"))
     plain = F.col("t")
     for _, pattern, _, _ in KINDS[:2]:
         plain = F.regexp_replace(plain, pattern, " ")
     plain = F.regexp_replace(plain, "[0-9a-f]{24,}", " ")
-    ordinary = tokens.select(F.explode(F.regexp_extract_all(plain, F.lit("[A-Za-z0-9+/_=-]{2,}"), F.lit(0))).alias("v"))
-    size = len(ALPHABET)
-    logs = []
-    for part in (values, ordinary):
-        counts = [[PRIOR] * size for _ in ALPHABET]
-        for row in _bigrams(part, "v").collect():
-            counts[ALPHABET.index(row["pair"][0])][ALPHABET.index(row["pair"][1])] += row["n"]
-        logs.append([math.log(n / sum(line)) for line in counts for n in line])
-    return [a - b for a, b in zip(*logs)]
-
-
-def likelihood_ratio(token: Column, model: list[float]) -> Column:
-    """Sum over neighbouring characters; characters outside the alphabet must not occur."""
-    size = len(ALPHABET)
-    table_ = F.array(*[F.lit(x) for x in model])
-    codes = F.transform(F.split(token, ""), lambda c: F.when(c == "", -1).otherwise(F.call_function("instr", F.lit(ALPHABET), c) - 1))
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-
-    def step(s: Column, c: Column) -> Column:
-        gain = F.when(s["last"] >= 0, F.get(table_, s["last"] * size + c)).otherwise(F.lit(0.0))
-        return F.struct(c.alias("last"), (s["sum"] + gain).alias("sum"))
-
-    return F.aggregate(F.filter(codes, lambda c: c >= 0), start, step, lambda s: s["sum"])
-
-
-def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+    ordinary = tokens.select(F.explode(F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0))).alias("v"))
+    both = values.select("v", F.lit(True).alias("random")).unionByName(ordinary.select(F.regexp_replace("v", "=+$", "").alias("v"), F.lit(False).alias("random")))
+    return cut(both.filter(F.length("v") > 1).distinct().withColumn("held", F.crc32(F.col("v").cast("binary")) % 5 == 0))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> Model:
+    """Both models from the labelled tokens of ``sample`` documents, and the ratio that ABOVE of the ordinary tokens
+    held out do not reach, and MARGIN more.  Only counts of two characters and of ratios in hundredths reach the
+    driver."""
+    tokens = sampled(docs, id_col, text_col, sample)
+    of = lambda kind: {r["pair"]: r["n"] for r in _bigrams(tokens.filter((F.col("random") == kind) & ~F.col("held")), "v").collect()}
+    random, ordinary = _random_logs(of(True)), _logs(of(False))
+    ratios = [0.0] * (SIZE * SIZE)
+    for pair, value in random.items():
+        ratios[(ord(pair[0]) - FIRST) * SIZE + ord(pair[1]) - FIRST] = round(value - ordinary[pair], 4)
+    held = tokens.filter(~F.col("random") & F.col("held") & (F.length("v") >= 8))
+    steps = held.select(F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    steps = sorted(((r["r"], r["n"]) for r in steps.collect()), reverse=True)
+    over, least = ABOVE * sum(n for _, n in steps), 0.0
+    for r, n in steps:
+        over -= n
+        if over < 0:
+            least = r / 100
+            break
+    return Model(ratios, max(0.0, least) + MARGIN)
+
+
+def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
+    """Log-likelihood ratio of the token's neighbouring characters, a character; trailing ``=`` is no part of it."""
+    known = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+    bare = F.rtrim(token, F.lit("="))
+    code = lambda i: F.ascii(F.substring(bare, i, F.lit(1))) - FIRST
+    steps = F.sequence(F.lit(1), F.length(bare) - 1)
+    total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(known, code(i) * SIZE + code(i + 1)))
+    return total / (F.length(bare) - 1)
+
+
+def with_spans(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with array columns ``assign, access, hex`` and ``random`` (behind ``prefix``) of spans (start, kind,
-    end; end exclusive, code points).  Null and empty texts have none; columns of these names are replaced."""
+    end; end exclusive, code points).  Null and empty texts have none, texts of any length are scanned whole; columns
+    of these names are replaced.
+
+    A random token counts unless it lies within a span of a fixed kind; one that reaches beyond it is a span of its
+    own, so no rest of a longer key stays."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     names, random = [prefix + k for k, *_ in KINDS], prefix + "random"
     base = reserved(docs, *names, random).withColumns({prefix + k: c for k, c in base_spans(text).items()})
-    seen = base.withColumn(random, _spans(text, CANDIDATE, len(KINDS)))
+    tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
+    seen = base.withColumn(random, F.filter(tokens, lambda t: likelihood_ratio(t, model.ratios) >= model.least))
 
     def new(s: Column) -> Column:
-        clear = F.lit(True)
-        for name in names:
-            clear = clear & ~F.exists(F.col(name), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return clear & (likelihood_ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) > threshold)
+        within = [F.exists(F.col(name), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) for name in names]
+        return F.array_contains(F.col(random), F.substring(text, s["start"] + 1, s["end"] - s["start"])) & ~(within[0] | within[1] | within[2])
 
-    return seen.withColumn(random, F.when(F.size(random) > 0, F.filter(random, new)).otherwise(F.col(random)))
+    found = F.when(F.size(random) > 0, F.filter(_spans(text, CANDIDATE, len(KINDS)), new)).otherwise(F.array().cast(SPAN))
+    return seen.withColumn(random, found)
 
 
 def _listed(spans: Column) -> Column:
@@ -129,45 +179,45 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000, threshold: float = THRESHOLD) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
     """Per row: id, how many spans of each fixed kind, digest of these, and all spans.
 
-    Every row counts, repeated ones too; null texts have no spans; an empty table gives an empty one."""
-    found = with_spans(docs, train(docs, id_col, text_col, sample), text_col, threshold)
-    base = F.concat("assign", "access", "hex")
+    Every row counts, repeated ones too; null texts have no spans; spans that start at one place are listed by kind; an
+    empty table gives an empty one; other columns, whatever their names, are ignored."""
+    found = with_spans(docs.select(id_col, text_col), train(docs, id_col, text_col, sample), text_col, prefix="__")
+    base = F.concat("__assign", "__access", "__hex")
     return found.select(
         id_col,
-        *[F.size(k).cast("long").alias(f"n_{k}") for k, *_ in KINDS],
+        *[F.size(f"__{k}").cast("long").alias(f"n_{k}") for k, *_ in KINDS],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.concat(base, F.col("random"))).alias("spans"),
+        _listed(F.concat(base, F.col("__random"))).alias("spans"),
     )
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", sample: int = 2000) -> DataFrame:
     """``docs`` with every span in the text replaced by ``mark`` (overlapping spans by one) and, where there is such a
     column, ``n_chars`` of the new text.  No row goes."""
-    found = with_spans(docs, train(docs, id_col, text_col, sample), text_col, prefix="__")
-    every = F.array_sort(F.concat("__assign", "__access", "__hex", "__random"))
+    row, spans = F.struct(*docs.columns), ["__assign", "__access", "__hex", "__random"]
+    held = docs.select(row.alias("__row"), F.col(text_col).alias("__t"))  # so that no column's name can clash
+    found = with_spans(held, train(docs, id_col, text_col, sample), "__t", prefix="__")
+    every = F.array_sort(F.concat(*spans))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        before = F.substring(F.col(text_col), s["at"] + 1, x["start"] - s["at"])
+        before = F.substring(F.col("__t"), s["at"] + 1, x["start"] - s["at"])
         out = F.when(x["start"] >= s["at"], F.concat(s["out"], before, F.lit(mark))).otherwise(s["out"])
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), out.alias("out"))
 
-    rest = lambda s: F.concat(s["out"], F.substring(F.col(text_col), s["at"] + 1, F.length(text_col)))
-    clean = F.when(F.size(every) > 0, F.aggregate(every, start, step, rest)).otherwise(F.col(text_col))
-    out = found.withColumn("__clean", clean)
-    columns = []
-    for name in docs.columns:
-        if name == text_col:
-            columns.append(F.col("__clean").alias(name))
-        elif name == "n_chars":
-            columns.append(F.when(F.size(every) > 0, F.length("__clean")).otherwise(F.col(name)).cast(docs.schema[name].dataType).alias(name))
-        else:
-            columns.append(F.col(name))
-    return out.select(*columns)
+    rest = lambda s: F.concat(s["out"], F.substring(F.col("__t"), s["at"] + 1, F.length("__t")))
+    some = F.size(every) > 0
+    changed = {text_col: F.when(some, F.aggregate(every, start, step, rest)).otherwise(F.col("__t"))}
+    out = found.withColumn("__clean", changed[text_col])
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        changed["n_chars"] = F.when(some, F.length("__clean")).otherwise(F.col("__row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    changed[text_col] = F.col("__clean")
+    return out.select(*[changed.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text of ``documents``; see :func:`find_secrets`."""
     return find_secrets(table(spark, sf_dir, "documents"))
