@@ -305,9 +305,9 @@ def open_pairs(rows: DataFrame, live: DataFrame, labels: DataFrame, block: int =
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, small: int) -> DataFrame:
-    """``i, s``: the shingles of the texts with these ids, which go to all tasks if they are at most ``small``."""
+    """``i, s``: the shingles of the texts with these row names, which go to all tasks if they are at most ``small``."""
     wanted = F.broadcast(ids) if ids.count() <= small else ids
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"])
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(wanted, "i").dropDuplicates(["i"])  # equal texts
     schema = T.StructType([T.StructField("i", docs.schema[id_col].dataType), T.StructField("s", T.ArrayType(T.LongType()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,10 @@ def near_copy_labels(docs: DataFrame, ties: DataFrame, id_col: str, text_col: st
     five-word shingles.
 
     Pairs found by signatures are settled by the shingles of the whole texts: first those with a centre, which makes
-    most copies one component, then all that are still open between different components."""
+    most copies one component, then all that are still open between different components.  A text is named by its id
+    and hash, so that rows with one id and different texts stay apart."""
+    docs = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")).alias("i"), F.col(text_col).alias("t"))
+    id_col, text_col = "i", "t"
     signed = _with_signature(docs, id_col, text_col, words).groupBy("fp", "sig").agg(F.min("i").alias("i"), F.first("keys").alias("keys"), F.max("size").alias("size"))
     rows = cut(signed.select(F.xxhash64("fp", "sig").alias("c"), "i", "fp", "sig", "keys", "size"))
     live = cut(_meetings(rows))
@@ -381,8 +384,10 @@ def _shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the least id; of several rows with that id
-    one.  Rows without an id stay: nothing could name another in their stead.
+    """``docs`` with one row of each group of near copies: of its rows that with the least id, then fingerprint, then
+    text.  Rows that share an id are told apart by their texts: a row goes only where a row like it stays.  Rows
+    without an id stay: nothing could name another in their stead.  Null texts count as empty; texts of any length are
+    compared whole; an empty table gives an empty one; all columns are kept.
 
     Grouped is what SimHash links, and also what resembles by 0.8 or more over five-word shingles: these differ in up
     to a dozen bits of the fingerprint, more than any ball could be hashed for."""
@@ -390,12 +395,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = cut(with_fingerprint(named, id_col, text_col, words))
     labels = near_copy_labels(named, cut(links(prints.select("fp").distinct())), id_col, text_col, words)
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("first_id", F.coalesce("label", "fp").alias("label"))
-    firsts = joined.groupBy("label").agg(F.min("first_id").alias(id_col)).select(id_col)
-    numbered = named.withColumn("__row_of_id", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
-    kept = numbered.filter("__row_of_id = 1").drop("__row_of_id").join(firsts, id_col, "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    joined = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    firsts = joined.groupBy("label").agg(F.min(F.struct("first_id", "fp")).alias("one")).select(F.col("one.first_id").alias("one_id"), F.col("one.fp").alias("one_fp"))
+    many = prints.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(id_col).alias("one_id"))
+    firsts = cut(firsts.join(many.withColumn("many", F.lit(True)), "one_id", "left"))
+    only = named.join(firsts.filter("many is null").select("one_id"), F.col(id_col) == F.col("one_id"), "left_semi")
+    # the few rows whose id occurs again: one of each wanted fingerprint
+    repeated = firsts.filter("many").select("one_id", "one_fp").distinct()
+    again = named.join(repeated.select("one_id").distinct(), F.col(id_col) == F.col("one_id"), "left_semi")
+    told = with_fingerprint(again.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t")), "__row", "__t", words)
+    order = Window.partitionBy(f"__row.{id_col}", "fp").orderBy(f"__row.{text_col}")
+    first = told.withColumn("__n", F.row_number().over(order)).filter("__n = 1")
+    chosen = first.join(repeated, (F.col(f"__row.{id_col}") == F.col("one_id")) & (F.col("fp") == F.col("one_fp")), "left_semi").select("__row.*")
+    return only.unionByName(chosen).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all ``documents``; see :func:`near_duplicates`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
