@@ -23,7 +23,6 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long
     return one_of_each(docs)
 
 
