@@ -34,7 +34,7 @@ DEPTH = 6
 #: Levels from this depth on are worked through within groups of equal contexts of this depth.
 STEM = 4
 #: Bytes of text in a block, and positions or keys handled at a time.
-BLOCK = 112 << 20
+BLOCK = 64 << 20
 WINDOW = 1 << 20
 #: No byte of UTF-8: ends a text and stands before its first byte.
 END = 0xFF
@@ -93,13 +93,16 @@ def word_keys(words: list[bytes]) -> np.ndarray:
 
 
 class Tally:
-    """Different keys with their counts; raw keys are merged in whenever there are ``room``."""
+    """Different keys with their counts.  Raw keys are merged in whenever there are ``room``, in parts of the range of
+    keys one after another, so that what is sorted at once stays small."""
 
-    def __init__(self, room: int = 2 * WINDOW):
+    def __init__(self, room: int = WINDOW, parts: int = 16):
         self.room, self.raw, self.waiting = room, [], 0
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.parts, self.bounds = parts, np.empty(0, np.int64)
+        self.held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """``keys`` in order."""
         self.raw.append((keys, counts))
         self.waiting += len(keys)
         if self.waiting > self.room:
@@ -112,15 +115,21 @@ class Tally:
         self.add(keys[at], np.diff(at, append=len(keys)) * weight)
 
     def merge(self) -> None:
-        keys = np.concatenate([self.keys, *(k for k, _ in self.raw)])
-        counts = np.concatenate([self.counts, *(c for _, c in self.raw)])
+        cuts = [[0, *np.searchsorted(keys, self.bounds), len(keys)] for keys, _ in self.raw]
+        for part, (own, times) in enumerate(self.held):
+            some = [(k[c[part] : c[part + 1]], n[c[part] : c[part + 1]]) for (k, n), c in zip(self.raw, cuts)]
+            keys, counts = (np.concatenate(x) for x in zip((own, times), *some))
+            if len(keys):
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
+                self.held[part] = keys[at], np.add.reduceat(counts[order], at)
         self.raw, self.waiting = [], 0
-        if not len(keys):
-            return
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        at = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1))
-        self.keys, self.counts = keys[at], np.add.reduceat(counts[order], at)
+        if not len(self.bounds) and len(self.held[0][0]) > self.parts:
+            keys, counts = self.held[0]
+            at = np.arange(1, self.parts) * len(keys) // self.parts
+            self.bounds = keys[at]
+            self.held = [(k.copy(), n.copy()) for k, n in zip(np.split(keys, at), np.split(counts, at))]
 
 
 class Lookup:
@@ -190,15 +199,18 @@ def asked(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
         def put_words(least: int) -> None:
             for bag, weight in zip(words, (1, 0)):
                 if len(bag) > least:
-                    tally.add(word_keys(list(bag)), np.fromiter(bag.values(), np.int64, len(bag)) * weight)
+                    keys, n = word_keys(list(bag)), np.fromiter(bag.values(), np.int64, len(bag)) * weight
+                    order = np.argsort(keys)
+                    tally.add(keys[order], n[order])
                     bag.clear()
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             put_words(0)
             tally.merge()
-            for at in range(0, len(tally.keys), 1 << 16):
-                keys, n = tally.keys[at : at + (1 << 16)], tally.counts[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.full(len(keys), number))], schema.names)
+            for keys, n in tally.held:
+                for at in range(0, len(keys), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(n[part]), pa.array(np.full(len(keys[part]), number))], schema.names)
 
         for batch in slices(batches, 256):
             theirs = _column(batch, "block")

@@ -32,11 +32,13 @@ CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "01234567
 ALPHABET = "".join(CLASSES)
 #: Tokens of eight characters and more, with ``=`` only as padding; letters of other scripts are no borders.
 CANDIDATE = r"(?<![\p{L}\p{M}\p{N}+/_.-])[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}(?![\p{L}\p{M}\p{N}])"
-#: What each count of two characters is raised by.
-PRIOR = 0.5
-#: Part of the different ordinary tokens held out of the fit that may lie above the ratio asked for, and what is added
-#: to that ratio (nats a character).
-ABOVE, MARGIN = 0.0005, 0.1
+#: How many characters the prior after each one is worth, and what every character's count is raised by.
+PRIOR, RARE = 10.0, 0.5
+#: How many documents a token counts for at most.
+MOST = 10
+#: Part of the different ordinary tokens, and of the random ones, held out of the fit, that the threshold may have on
+#: its wrong side where it can lie between; and how far above the ordinary ones it lies (nats a character) if it can't.
+ABOVE, BELOW, MARGIN = 0.0005, 0.05, 1.5
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -66,9 +68,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _bigrams(tokens: DataFrame, column: str) -> DataFrame:
-    """How often each two characters of the alphabet follow each other: at most the square of its size rows."""
+    """How often each two characters of the alphabet follow each other, tokens weighed by ``weight``: at most the square
+    of its size rows."""
     pairs = F.expr(f"transform(sequence(1, length({column}) - 1), i -> substring({column}, i, 2))")
-    cells = tokens.filter(F.length(column) > 1).select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    cells = tokens.filter(F.length(column) > 1).select("weight", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("weight").alias("n"))
     return cells.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_.-]{2}$"))
 
 
@@ -81,10 +84,13 @@ class Model(NamedTuple):
 
 
 def _logs(counts: dict[str, int]) -> dict[str, float]:
-    """Log probability of each second character after the first."""
+    """Log probability of each second character after the first: counts raised by PRIOR times how often the second one
+    occurs at all, so that a character which never occurs is unlikely after any."""
+    ends = {b: sum(counts.get(a + b, 0) for a in ALPHABET) + RARE for b in ALPHABET}
+    all_ = sum(ends.values())
     out = {}
     for a in ALPHABET:
-        row = [counts.get(a + b, 0) + PRIOR for b in ALPHABET]
+        row = [counts.get(a + b, 0) + PRIOR * ends[b] / all_ for b in ALPHABET]
         out.update({a + b: math.log(n / sum(row)) for b, n in zip(ALPHABET, row)})
     return out
 
@@ -102,44 +108,52 @@ def _random_logs(counts: dict[str, int]) -> dict[str, float]:
 
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
-    """``v, random, held``: tokens of ``sample`` documents (those of least hashed id), labelled by the fixed patterns,
-    each different one once; a fifth, by hash, is held out of the counts."""
+    """``v, random, held, weight``: the different tokens of ``sample`` documents (those of least hashed id), labelled by
+    the fixed patterns; a fifth, by hash, is held out of the counts.  A token weighs as many as documents hold it, but
+    no more than MOST: an identifier is used again, and a key that no pattern found stays one among many."""
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col, "left_semi")
     tokens = cut(some.select("t", *[v.alias(k) for k, v in base_spans(F.col("t")).items()]))
     inside = F.concat(*[F.transform(F.col(k), lambda s: F.substring("t", s["start"] + 1, s["end"] - s["start"])) for k, *_ in KINDS])
     # of an assignment, the value without keyword and sign
-    values = tokens.select(F.explode(inside).alias("v")).select(F.regexp_extract("v", r"""([A-Za-z0-9+/_.-]+)=*["']?$""", 1).alias("v"))
+    values = tokens.select(F.explode(F.array_distinct(inside)).alias("v")).select(F.regexp_extract("v", r"""([A-Za-z0-9+/_.-]+)=*["']?$""", 1).alias("v"))
     plain = F.col("t")
     for _, pattern, _, _ in KINDS[:2]:
         plain = F.regexp_replace(plain, pattern, " ")
     plain = F.regexp_replace(plain, "[0-9a-f]{24,}", " ")
-    ordinary = tokens.select(F.explode(F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0))).alias("v"))
+    ordinary = tokens.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0)))).alias("v"))
     both = values.select("v", F.lit(True).alias("random")).unionByName(ordinary.select(F.regexp_replace("v", "=+$", "").alias("v"), F.lit(False).alias("random")))
-    return cut(both.filter(F.length("v") > 1).distinct().withColumn("held", F.crc32(F.col("v").cast("binary")) % 5 == 0))
+    weighed = both.filter(F.length("v") > 1).groupBy("v", "random").agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("weight"))
+    return cut(weighed.withColumn("held", F.crc32(F.col("v").cast("binary")) % 5 == 0))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> Model:
-    """Both models from the labelled tokens of ``sample`` documents, and the ratio that ABOVE of the ordinary tokens
-    held out do not reach, and MARGIN more.  Only counts of two characters and of ratios in hundredths reach the
-    driver."""
+    """Both models from the labelled tokens of ``sample`` documents, and the threshold: halfway between the ratio that
+    all but ABOVE of the ordinary tokens held out stay below and the one that all but BELOW of the random ones reach.
+    Only counts of two characters and of ratios in hundredths reach the driver."""
     tokens = sampled(docs, id_col, text_col, sample)
     of = lambda kind: {r["pair"]: r["n"] for r in _bigrams(tokens.filter((F.col("random") == kind) & ~F.col("held")), "v").collect()}
     random, ordinary = _random_logs(of(True)), _logs(of(False))
     ratios = [0.0] * (SIZE * SIZE)
     for pair, value in random.items():
         ratios[(ord(pair[0]) - FIRST) * SIZE + ord(pair[1]) - FIRST] = round(value - ordinary[pair], 4)
-    held = tokens.filter(~F.col("random") & F.col("held") & (F.length("v") >= 8))
-    steps = held.select(F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n"))
-    steps = sorted(((r["r"], r["n"]) for r in steps.collect()), reverse=True)
-    over, least = ABOVE * sum(n for _, n in steps), 0.0
+    held = tokens.filter(F.col("held") & F.col("v").rlike(r"^[A-Za-z0-9+/_.-]{8,}$"))
+    steps = held.select("random", F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("random", "r").agg(F.count(F.lit(1)).alias("n")).collect()
+    top = _passed(sorted(((r["r"], r["n"]) for r in steps if not r["random"]), reverse=True), ABOVE)
+    low = _passed(sorted((r["r"], r["n"]) for r in steps if r["random"]), BELOW)
+    top = 0.0 if top is None else top
+    return Model(ratios, (top + low) / 2 if low is not None and low > top else top + MARGIN)
+
+
+def _passed(steps: list[tuple[int, int]], share: float) -> float | None:
+    """The first of the ratios (in hundredths, with their counts) by which more than ``share`` of all have passed."""
+    over = share * sum(n for _, n in steps)
     for r, n in steps:
         over -= n
         if over < 0:
-            least = r / 100
-            break
-    return Model(ratios, max(0.0, least) + MARGIN)
+            return r / 100
+    return None
 
 
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:

@@ -118,15 +118,18 @@ def test_held_out_score_is_near_or_above_the_base(spark):
 def test_tally_and_lookup():
     rnd = np.random.default_rng(3)
     tally, want = lm.Tally(room=50), Counter()
-    for weight in (1, 0, 1):
+    for weight in (1, 0, 1, 1):
         keys = rnd.integers(-40, 40, 300)
         for k in keys:
             want[int(k)] += weight
         tally.count(keys, weight)
+        tally.add(np.array([-100, 3, 999]), np.array([2, 1, 5]))
+        want.update({-100: 2, 3: 1, 999: 5})
     tally.merge()
-    assert dict(zip(tally.keys.tolist(), tally.counts.tolist())) == dict(want)
-    asked = rnd.choice(tally.keys, 1000)
-    assert (lm.Lookup(tally.keys, tally.counts)(asked) == [want[int(k)] for k in asked]).all()
+    keys, counts = (np.concatenate(x) for x in zip(*tally.held))
+    assert (np.diff(keys) > 0).all() and dict(zip(keys.tolist(), counts.tolist())) == dict(want)
+    asked = rnd.choice(keys, 1000)
+    assert (lm.Lookup(keys, counts)(asked) == [want[int(k)] for k in asked]).all()
 
 
 def test_log_kt():

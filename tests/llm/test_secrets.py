@@ -54,6 +54,70 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert b - a == 40
 
 
+def ratio(token, model):
+    bare = token.rstrip("=")
+    return sum(model.ratios[(ord(a) - 43) * 80 + ord(b) - 43] for a, b in zip(bare, bare[1:])) / (len(bare) - 1)
+
+
+def test_planted_keys_are_found_and_identifiers_left(spark):
+    import random
+    import string
+
+    rnd = random.Random(12)
+    stems = "customer order account number total line table index field record session request response handler buffer queue".split()
+    name = lambda: rnd.choice(["_".join, lambda x: x[0] + "".join(w.title() for w in x[1:]), ".".join, "-".join])(rnd.sample(stems, rnd.randint(2, 3))) + rnd.choice(["", "", "_2", "3"])
+    prose = lambda: " ".join(rnd.choice("the river stones garden winterhouse understanding of and beautiful lightness neighbourhood".split()) for _ in range(40))
+    key = {
+        "letters": lambda: "".join(rnd.choices(string.ascii_letters, k=16)),
+        "dotted": lambda: ".".join("".join(rnd.choices(string.ascii_letters + string.digits, k=9)) for _ in range(3)),
+        "short": lambda: "".join(rnd.choices(string.ascii_letters + string.digits, k=10)),
+        "padded": lambda: "".join(rnd.choices(string.ascii_letters + string.digits + "+/", k=22)) + "==",
+    }
+    rows, planted = [], {}
+    for i in range(400):
+        words = [prose(), *(name() for _ in range(12)), prose()]
+        if i % 4 == 0:
+            words.append("password = " + "".join(rnd.choices(string.ascii_letters + string.digits, k=20)))
+        if i % 10 == 3:
+            kind = rnd.choice(list(key))
+            planted[i] = (kind, key[kind]())
+            words.insert(rnd.randint(1, len(words) - 2), "Use " + planted[i][1] + ", please")
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.train(df)
+    right = wrong = 0
+    for r in secrets.find_secrets(df).collect():
+        text = rows[r["doc_id"]][1]
+        # all candidates, judged in Python by the same model
+        known = [(int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k != "random"]
+        want = [
+            (m.start(), m.end())
+            for m in re.finditer(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}(?![A-Za-z0-9])", text)
+            if ratio(m[0], model) >= model.least and not any(a <= m.start() and m.end() <= b for a, b in known)
+        ]
+        got = [(int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "random"]
+        assert got == want
+        own = planted.get(r["doc_id"], (None, None))[1]
+        hits = [text[a:b] == own for a, b in got]
+        right, wrong = right + sum(hits), wrong + len(hits) - sum(hits)
+    assert right >= 0.9 * len(planted) and right >= 0.9 * (right + wrong)
+
+
+def test_a_key_around_a_fixed_span_is_found_whole(spark):
+    key = "Zq7" + "0123456789abcdef" * 2 + "XkPw9TqLmB"
+    rows = [(i, f"quiet words about rivers {i} and token = {'0a1b2c3d4e5f' * 3} here") for i in range(50)] + [(99, f"look at {key} there")]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[99] == f"random:8:{8 + len(key)},hex:11:43"
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, "token = 24be64439e3e49cf46b2 x", "a", "b", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __hex string, __assign string, __random int")
+    out = secrets.redact(df)
+    assert out.columns == df.columns
+    assert out.first().asDict() == {"doc_id": 1, "text": "[SECRET] x", "__hex": "a", "__assign": "b", "__random": 5}
+
+
 def test_redaction(docs, rows):
     out = secrets.redact(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
