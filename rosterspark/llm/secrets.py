@@ -109,8 +109,9 @@ def _random_logs(counts: dict[str, int]) -> dict[str, float]:
 
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
     """``v, random, held, weight``: the different tokens of ``sample`` documents (those of least hashed id), labelled by
-    the fixed patterns; a fifth, by hash, is held out of the counts.  A token weighs as many as documents hold it, but
-    no more than MOST: an identifier is used again, and a key that no pattern found stays one among many."""
+    the fixed patterns; a fifth, by hash, is held out of the counts.  An ordinary token
+    weighs as many as further documents hold it, up to MOST: identifiers are used again, and a key that no pattern
+    found, being in one document, does not teach the model that it is ordinary."""
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col, "left_semi")
@@ -124,7 +125,8 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     plain = F.regexp_replace(plain, "[0-9a-f]{24,}", " ")
     ordinary = tokens.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0)))).alias("v"))
     both = values.select("v", F.lit(True).alias("random")).unionByName(ordinary.select(F.regexp_replace("v", "=+$", "").alias("v"), F.lit(False).alias("random")))
-    weighed = both.filter(F.length("v") > 1).groupBy("v", "random").agg(F.least(F.count(F.lit(1)), F.lit(MOST)).alias("weight"))
+    counted = both.filter(F.length("v") > 1).groupBy("v", "random").agg(F.count(F.lit(1)).alias("n"))
+    weighed = counted.select("v", "random", F.when(F.col("random"), 1).otherwise(F.least(F.col("n") - 1, F.lit(MOST))).alias("weight")).filter("weight > 0")
     return cut(weighed.withColumn("held", F.crc32(F.col("v").cast("binary")) % 5 == 0))
 
 

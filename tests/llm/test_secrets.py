@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 from rosterspark.llm import secrets
 
@@ -40,8 +42,6 @@ def test_odd_places(spark):
 
 
 def test_random_strings_are_told_from_identifiers(spark):
-    import random
-
     rnd = random.Random(8)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     keys = ["".join(rnd.choices(signs, k=40)) for _ in range(60)]
@@ -60,9 +60,6 @@ def ratio(token, model):
 
 
 def test_planted_keys_are_found_and_identifiers_left(spark):
-    import random
-    import string
-
     rnd = random.Random(12)
     stems = "customer order account number total line table index field record session request response handler buffer queue".split()
     name = lambda: rnd.choice(["_".join, lambda x: x[0] + "".join(w.title() for w in x[1:]), ".".join, "-".join])(rnd.sample(stems, rnd.randint(2, 3))) + rnd.choice(["", "", "_2", "3"])
@@ -105,9 +102,11 @@ def test_planted_keys_are_found_and_identifiers_left(spark):
 
 def test_a_key_around_a_fixed_span_is_found_whole(spark):
     key = "Zq7" + "0123456789abcdef" * 2 + "XkPw9TqLmB"
-    rows = [(i, f"quiet words about rivers {i} and token = {'0a1b2c3d4e5f' * 3} here") for i in range(50)] + [(99, f"look at {key} there")]
+    rnd = random.Random(3)
+    words = "neighbourhood understanding beautiful winterhouse customer_account session_record lightness gardening".split()
+    rows = [(i, f"{' '.join(rnd.sample(words, 4))} and token = {rnd.getrandbits(128):032x} here") for i in range(50)] + [(99, f"look at {key} there")]
     got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[99] == f"random:8:{8 + len(key)},hex:11:43"
+    assert got[99] == f"random:8:{8 + len(key)},hex:10:43"
 
 
 def test_columns_with_clashing_names_stay(spark):
