@@ -32,13 +32,17 @@ CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "01234567
 ALPHABET = "".join(CLASSES)
 #: Tokens of eight characters and more, with ``=`` only as padding; letters of other scripts are no borders.
 CANDIDATE = r"(?<![\p{L}\p{M}\p{N}+/_.-])[A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_-]={0,2}(?![\p{L}\p{M}\p{N}])"
+#: The same from two characters on: what the ordinary model learns from.
+TOKEN = CANDIDATE.replace("{7,}", "{1,}")
 #: How many characters the prior after each one is worth, and what every character's count is raised by.
 PRIOR, RARE = 10.0, 0.5
 #: How many documents a token counts for at most.
 MOST = 10
-#: Part of the different ordinary tokens, and of the random ones, held out of the fit, that the threshold may have on
-#: its wrong side where it can lie between; and how far above the ordinary ones it lies (nats a character) if it can't.
-ABOVE, BELOW, MARGIN = 0.0005, 0.05, 1.5
+#: How many different characters a random token has at least.
+DISTINCT = 5
+#: How much more error, in shares of each kind, any threshold may have that is as good as the best; and, where no random
+#: tokens are held out, how far the threshold lies above the ordinary ones (nats a character).
+AS_GOOD, MARGIN = 0.0005, 1.5
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -83,7 +87,7 @@ class Model(NamedTuple):
     least: float
 
 
-def _logs(counts: dict[str, int]) -> dict[str, float]:
+def _logs(counts: dict[str, float]) -> dict[str, float]:
     """Log probability of each second character after the first: counts raised by PRIOR times how often the second one
     occurs at all, so that a character which never occurs is unlikely after any."""
     ends = {b: sum(counts.get(a + b, 0) for a in ALPHABET) + RARE for b in ALPHABET}
@@ -95,7 +99,7 @@ def _logs(counts: dict[str, int]) -> dict[str, float]:
     return out
 
 
-def _random_logs(counts: dict[str, int]) -> dict[str, float]:
+def _random_logs(counts: dict[str, float]) -> dict[str, float]:
     """Half what the sample has, half uniform within the second character's class, classes following each other as the
     sample's do."""
     seen = _logs(counts)
@@ -110,8 +114,8 @@ def _random_logs(counts: dict[str, int]) -> dict[str, float]:
 def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> DataFrame:
     """``v, random, held, weight``: the different tokens of ``sample`` documents (those of least hashed id), labelled by
     the fixed patterns; a fifth, by hash, is held out of the counts.  An ordinary token
-    weighs as many as further documents hold it, up to MOST: identifiers are used again, and a key that no pattern
-    found, being in one document, does not teach the model that it is ordinary."""
+    weighs as many as documents hold it, up to MOST, but one that a single document holds only a hundredth: identifiers are
+    used again, and a key that no pattern found is not to teach the model that it is ordinary."""
     ids = docs.select(id_col).filter(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), id_col, "left_semi")
@@ -123,39 +127,42 @@ def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     for _, pattern, _, _ in KINDS[:2]:
         plain = F.regexp_replace(plain, pattern, " ")
     plain = F.regexp_replace(plain, "[0-9a-f]{24,}", " ")
-    ordinary = tokens.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(CANDIDATE), F.lit(0)))).alias("v"))
+    ordinary = tokens.select(F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)))).alias("v"))
     both = values.select("v", F.lit(True).alias("random")).unionByName(ordinary.select(F.regexp_replace("v", "=+$", "").alias("v"), F.lit(False).alias("random")))
     counted = both.filter(F.length("v") > 1).groupBy("v", "random").agg(F.count(F.lit(1)).alias("n"))
-    weighed = counted.select("v", "random", F.when(F.col("random"), 1).otherwise(F.least(F.col("n") - 1, F.lit(MOST))).alias("weight")).filter("weight > 0")
+    weighed = counted.select("v", "random", F.when(F.col("random"), 1.0).otherwise(F.least(F.col("n"), F.lit(MOST)) - 0.99).alias("weight"))
     return cut(weighed.withColumn("held", F.crc32(F.col("v").cast("binary")) % 5 == 0))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 2000) -> Model:
-    """Both models from the labelled tokens of ``sample`` documents, and the threshold: halfway between the ratio that
-    all but ABOVE of the ordinary tokens held out stay below and the one that all but BELOW of the random ones reach.
-    Only counts of two characters and of ratios in hundredths reach the driver."""
+    """Both models from the labelled tokens of ``sample`` documents, and the threshold that suits the tokens
+    held out.  Only counts of two characters and of ratios in hundredths reach the driver."""
     tokens = sampled(docs, id_col, text_col, sample)
     of = lambda kind: {r["pair"]: r["n"] for r in _bigrams(tokens.filter((F.col("random") == kind) & ~F.col("held")), "v").collect()}
     random, ordinary = _random_logs(of(True)), _logs(of(False))
     ratios = [0.0] * (SIZE * SIZE)
     for pair, value in random.items():
         ratios[(ord(pair[0]) - FIRST) * SIZE + ord(pair[1]) - FIRST] = round(value - ordinary[pair], 4)
-    held = tokens.filter(F.col("held") & F.col("v").rlike(r"^[A-Za-z0-9+/_.-]{8,}$"))
-    steps = held.select("random", F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("random", "r").agg(F.count(F.lit(1)).alias("n")).collect()
-    top = _passed(sorted(((r["r"], r["n"]) for r in steps if not r["random"]), reverse=True), ABOVE)
-    low = _passed(sorted((r["r"], r["n"]) for r in steps if r["random"]), BELOW)
-    top = 0.0 if top is None else top
-    return Model(ratios, (top + low) / 2 if low is not None and low > top else top + MARGIN)
-
-
-def _passed(steps: list[tuple[int, int]], share: float) -> float | None:
-    """The first of the ratios (in hundredths, with their counts) by which more than ``share`` of all have passed."""
-    over = share * sum(n for _, n in steps)
-    for r, n in steps:
-        over -= n
-        if over < 0:
-            return r / 100
-    return None
+    held = tokens.filter(F.col("held") & F.col("v").rlike(r"^(?=.*[A-Za-z])[A-Za-z0-9+/_.-]{8,}$"))
+    steps = held.select("random", "weight", F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("random", "r").agg(F.sum("weight").alias("n")).collect()
+    return Model(ratios, threshold({(r["random"], r["r"]): float(r["n"]) for r in steps}))
+
+
+def threshold(weights: dict[tuple[bool, int], float]) -> float:
+    """From the weights of held-out tokens by kind and ratio (hundredths): the middle of the ratios at which the share of
+    ordinary tokens above and that of random ones below are together least, or all but least.  Ordinary tokens may
+    so hold some keys that no pattern found."""
+    all_ = {kind: sum(w for (k, _), w in weights.items() if k == kind) or 1.0 for kind in (True, False)}
+    above, below, costs = 1.0 if any(not k for k, _ in weights) else 0.0, 0.0, {}
+    for r in sorted({0} | {r + 1 for _, r in weights} | {r for _, r in weights}):
+        # of tokens in hundredths up to r - 1 the ratio lies below r
+        above -= weights.get((False, r - 1), 0.0) / all_[False]
+        below += weights.get((True, r - 1), 0.0) / all_[True]
+        costs[r] = above + below
+    good = [r for r, cost in costs.items() if r >= 0 and cost <= min(costs.values()) + AS_GOOD]
+    if not any(kind for kind, _ in weights):
+        return good[0] / 100 + MARGIN
+    return (good[0] + good[-1]) / 200
 
 
 def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
@@ -179,7 +186,9 @@ def with_spans(docs: DataFrame, model: Model, text_col: str = "text", prefix: st
     names, random = [prefix + k for k, *_ in KINDS], prefix + "random"
     base = reserved(docs, *names, random).withColumns({prefix + k: c for k, c in base_spans(text).items()})
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
-    seen = base.withColumn(random, F.filter(tokens, lambda t: likelihood_ratio(t, model.ratios) >= model.least))
+    # numbers, and few characters that repeat, as in a ruler, are no keys
+    many = lambda t: t.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(t, ""))) >= DISTINCT)
+    seen = base.withColumn(random, F.filter(tokens, lambda t: (likelihood_ratio(t, model.ratios) >= model.least) & many(t)))
 
     def new(s: Column) -> Column:
         within = [F.exists(F.col(name), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) for name in names]
