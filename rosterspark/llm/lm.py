@@ -33,9 +33,9 @@ from .common import bucketed, cut, fold, slices, table, written
 DEPTH = 6
 #: Levels from this depth on are worked through within groups of equal contexts of this depth.
 STEM = 4
-#: Bytes of text in a block, and positions or keys handled at a time.
-BLOCK = 64 << 20
-WINDOW = 1 << 20
+#: Bytes of text in a block, positions handled at a time, and keys that wait to be merged.
+BLOCK = 56 << 20
+WINDOW, ROOM = 1 << 18, 1 << 20
 #: No byte of UTF-8: ends a text and stands before its first byte.
 END = 0xFF
 #: How the end sign is counted among the words; no word holds white space.
@@ -96,7 +96,7 @@ class Tally:
     """Different keys with their counts.  Raw keys are merged in whenever there are ``room``, in parts of the range of
     keys one after another, so that what is sorted at once stays small."""
 
-    def __init__(self, room: int = WINDOW, parts: int = 16):
+    def __init__(self, room: int = ROOM, parts: int = 16):
         self.room, self.raw, self.waiting = room, [], 0
         self.parts, self.bounds = parts, np.empty(0, np.int64)
         self.held = [(np.empty(0, np.int64), np.empty(0, np.int64))]
