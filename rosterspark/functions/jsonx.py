@@ -30,9 +30,9 @@ def _schema(df: DataFrame, column: str) -> T.DataType | None:
     return T._parse_datatype_string(found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING").replace(": VOID", ": STRING"))
 
 
-def flatten(df: DataFrame, column: str, most: int = 10, separator: str = "_", prefix: str = "") -> DataFrame:
+def flatten(df: DataFrame, column: str, most: int | None = 10, separator: str = "_", prefix: str = "") -> DataFrame:
     """``df`` with a column for each leaf of the JSON in ``column``: keys joined by ``separator``, list places as
-    numbers, at most ``most`` of a list (fewer if no list is as long).  Rows that cannot be read keep their text in
+    numbers, at most ``most`` of a list (fewer if no list is as long; with None all of the longest).  Rows that cannot be read keep their text in
     ``column`` and have null leaves; that column goes if every row could be read.
 
     The type is settled by one aggregation over all rows, the lengths of lists by another; then it is a projection."""

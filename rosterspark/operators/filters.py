@@ -47,9 +47,10 @@ def oldest_years(df: DataFrame, before: int = 1980) -> DataFrame:
 
 
 def drop_impossible(matches: DataFrame, records: DataFrame, persons: DataFrame, record: str = "citation", person: str = "nid", date: str = "receiveddate", death: str = "death_year") -> DataFrame:
-    """Without matches of a person who died in a year before that of the record; unknown years stay."""
-    years = records.select(record, F.year(date).alias("__year")).dropDuplicates([record])
-    deaths = persons.select(person, F.col(death).alias("__death")).dropDuplicates([person])
+    """Without matches of a person who died in a year before that of the record; unknown years stay.  Of a repeated
+    record the first year counts, of a repeated person the last."""
+    years = records.groupBy(record).agg(F.min(F.year(date)).alias("__year"))
+    deaths = persons.groupBy(person).agg(F.max(death).alias("__death"))
     joined = matches.join(years, record, "left").join(deaths, person, "left")
     return joined.filter("__death is null or __year is null or __death >= __year").select(*matches.columns)
 

@@ -12,18 +12,21 @@ from rosterspark.functions.dims import control, presidents
 from rosterspark.functions.text import first_year
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], before: Column, order: list[Column], columns: dict[str, str], left_time: str) -> DataFrame:
-    """``left`` with ``columns`` (old name to new) of its latest row of ``right``: same ``keys`` and ``before`` true;
-    of several the one that is least by ``order``.  Null keys match nothing and no row of ``left`` is lost.
-
-    Only the different (keys, time) of ``left`` take part, and the best row is a grouped minimum over (order, values):
-    combined before the shuffle, with no sort and no window."""
-    stamps = left.select(*keys, left_time).distinct()
-    renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(f"`{c}`").alias(f"__{c}") for c in right.columns if c not in keys])
-    on = reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__{k}") for k in keys))
-    rank = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(f"__{c}").alias(f"v{i}") for i, c in enumerate(columns)])
-    best = stamps.join(renamed, on & before).groupBy(*keys, left_time).agg(F.min(rank).alias("__best"))
-    found = best.select(*keys, left_time, *[F.col(f"__best.v{i}").alias(new) for i, new in enumerate(columns.values())])
+def asof_best(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: Column, rank: list[Column], columns: dict[str, str]) -> DataFrame:
+    """``left`` with ``columns`` (old name to new) of a row of ``right``: of those with equal ``keys`` and ``right_time``
+    up to ``left_time`` the least by ``rank`` (columns of ``right``).  Null keys and times match nothing, no row of
+    ``left`` is lost, and rows of equal rank are told apart by their values.
+
+    No pairs are made: both sides are put in one order by time within the key, the least so far is carried on, and a
+    key costs its number of rows.  Of ``left`` only the different (keys, time) take part, of ``right`` only the best
+    of each (keys, time), combined before the shuffle; rows without a key never meet."""
+    value = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    best = right.filter(known & right_time.isNotNull()).groupBy(*keys, right_time.alias("__t")).agg(F.min(value).alias("__v"))
+    stamps = left.filter(known & F.col(left_time).isNotNull()).select(*keys, F.col(left_time).alias("__t")).distinct()
+    every = best.withColumn("__asked", F.lit(False)).unionByName(stamps.withColumns({"__v": F.lit(None).cast(best.schema["__v"].dataType), "__asked": F.lit(True)}))
+    over = Window.partitionBy(*keys).orderBy("__t", "__asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = every.withColumn("__best", F.min("__v").over(over)).filter("__asked").select(*keys, F.col("__t").alias(left_time), *[F.col(f"__best.v{i}").alias(new) for i, new in enumerate(columns.values())])
     return left.join(found, [*keys, left_time], "left").select(*left.columns, *columns.values())
 
 
@@ -32,43 +35,29 @@ def _descending(c: Column) -> list[Column]:
     return [c.isNotNull(), -c]
 
 
+def _by_year(nominations: DataFrame, history: DataFrame, year: Column, rank: list[Column], columns: dict[str, str]) -> DataFrame:
+    """:func:`asof_best` up to the year of ``receiveddate``."""
+    dated = nominations.withColumn("__year", F.year("receiveddate"))
+    return asof_best(dated, history, ["nid"], "__year", year, rank, columns).drop("__year")
+
+
 def latest_education(nominations: DataFrame, education: DataFrame) -> DataFrame:
     """The last degree up to the year of ``receiveddate``: latest year, then highest sequence (an unknown one first)."""
-    return asof_join(
-        nominations,
-        education,
-        ["nid"],
-        F.col("__degree_year") <= F.year("receiveddate"),
-        [*_descending(F.col("__degree_year")), *_descending(F.col("__sequence"))],
-        {"degree": "degree", "school": "school", "degree_year": "degree_year", "sequence": "education_sequence"},
-        "receiveddate",
-    )
+    rank = [-F.col("degree_year"), *_descending(F.col("sequence"))]
+    return _by_year(nominations, education, F.col("degree_year").cast("int"), rank, {"degree": "degree", "school": "school", "degree_year": "degree_year", "sequence": "education_sequence"})
 
 
 def latest_career(nominations: DataFrame, career: DataFrame) -> DataFrame:
     """The career entry of the highest sequence (an unknown one first) that began by the year of ``receiveddate``."""
-    return asof_join(
-        nominations,
-        career,
-        ["nid"],
-        first_year(F.col("__professional_career")) <= F.year("receiveddate"),
-        _descending(F.col("__sequence")),
-        {"professional_career": "latest_career", "sequence": "career_sequence"},
-        "receiveddate",
-    )
+    columns = {"professional_career": "latest_career", "sequence": "career_sequence"}
+    return _by_year(nominations, career, first_year(F.col("professional_career")).cast("int"), _descending(F.col("sequence")), columns)
 
 
 def nearest_service(nominations: DataFrame, service: DataFrame, columns: list[str]) -> DataFrame:
     """The service whose nomination date is nearest before ``receiveddate``; then the lowest sequence (unknown last)."""
-    return asof_join(
-        nominations,
-        service,
-        ["nid"],
-        F.col("__nomination_date") <= F.col("receiveddate"),
-        [F.datediff("receiveddate", "__nomination_date"), F.col("__sequence").isNull(), F.col("__sequence")],
-        {c: f"fed_service_{c}" for c in columns},
-        "receiveddate",
-    )
+    day = F.col("nomination_date").cast("date")
+    rank = [-F.unix_date(day), F.col("sequence").isNull(), F.col("sequence")]
+    return asof_best(nominations, service, ["nid"], "receiveddate", day, rank, {c: f"fed_service_{c}" for c in columns})
 
 
 def interval_lookup(df: DataFrame, date: str, dim: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -140,28 +129,27 @@ def master_dataset(timeline: DataFrame, nominations: DataFrame | None = None) ->
 
 
 def priority_merge(tables: list[DataFrame], key: str) -> DataFrame:
-    """One row per key (one row per key in each table): the first value that is not null, tables in order."""
+    """One row per key: the first value that is not null, tables in order (within one table the least).  Rows without a
+    key stay as they are.  A union and one grouped aggregate, combined before the shuffle."""
     columns = list(dict.fromkeys(c for t in tables for c in t.columns if c != key))
-    out = None
-    for i, t in enumerate(tables):
-        one = t.select(F.col(key), *[F.col(c).alias(f"__{i}_{c}") for c in t.columns if c != key])
-        out = one if out is None else out.join(one, key, "full_outer")
-    return out.select(key, *[F.coalesce(*[F.col(f"__{i}_{c}") for i, t in enumerate(tables) if c in t.columns]).alias(c) for c in columns])
-
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t.withColumn("__at", F.lit(i)) for i, t in enumerate(tables)))
+    first = lambda c: F.min(F.when(F.col(f"`{c}`").isNotNull(), F.struct("__at", F.col(f"`{c}`").alias("v"))))
+    merged = every.filter(F.col(key).isNotNull()).groupBy(key).agg(*[first(c).getField("v").alias(c) for c in columns])
+    return merged.unionByName(every.filter(F.col(key).isNull()).select(key, *columns))
 
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: str, columns: dict[str, str], strict: bool = False) -> DataFrame:
     """``left`` with ``columns`` (old name to new) of the last row of ``right`` (by ``right_time``, then ``tie``) with
     equal ``keys`` up to ``left_time`` (before it if ``strict``).  No pairs are made: both sides are put in one order
-    within the key and the last row of ``right`` is carried on, so a key costs its number of rows."""
+    within the key and the last row of ``right`` is carried on, so a key costs its number of rows.  Rows of ``left``
+    without a key or time go by the side of the window: however many there are, none of them meet."""
     value = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
     kinds = right.select(value.alias("v")).schema["v"].dataType
     a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0 if strict else 2).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.lit(None).cast(kinds).alias("__v"), F.struct(*left.columns).alias("__row"))
     b = right.filter(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), value.alias("__v"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
-    over = Window.partitionBy(*keys).orderBy(F.col("__t").asc_nulls_first(), "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-    carried = a.unionByName(b).withColumn("__last", F.when(known, F.last("__v", ignorenulls=True).over(over)))
-    return carried.filter("__row is not null").select("__row.*", "__last.*")
+    over = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in [*keys, "__t"]))
+    carried = a.filter(known).unionByName(b.filter(known)).withColumn("__last", F.last("__v", ignorenulls=True).over(over)).filter("__row is not null")
+    rest = a.filter(~known).withColumn("__last", F.col("__v"))
+    return carried.unionByName(rest).select("__row.*", "__last.*")

@@ -25,8 +25,8 @@ def name_candidates(records: DataFrame, persons: DataFrame, record: str, person:
 
 def by_date(pairs: DataFrame, records: DataFrame, dates: DataFrame, record: str, person: str, date: str, window: int) -> DataFrame:
     """Of each record's persons the one with a date (long table ``person, nomination_date``) nearest to the record's
-    ``date``, at most ``window`` days away; of equal ones the least id."""
-    when = records.select(record, F.col(date).alias("__date")).dropDuplicates([record])
+    ``date`` (of a repeated record its first), at most ``window`` days away; of equal ones the least id."""
+    when = records.groupBy(record).agg(F.min(date).alias("__date"))
     gaps = pairs.select(record, person).join(when, record).join(dates.select(person, "nomination_date"), person)
     gaps = gaps.withColumn("gap", F.abs(F.datediff("nomination_date", "__date"))).filter(F.col("gap") <= window)
     best = gaps.groupBy(record).agg(F.min(F.struct("gap", person)).alias("x"))
@@ -72,12 +72,14 @@ def suffix_match(queries: DataFrame, query: str, names: DataFrame, name: str, va
     last by ``order``), else of the first by ``order`` whose name ends with the last token asked for.
 
     Ends are compared by equality first: a name that ends with a token T has a suffix T, and every suffix of its last
-    token is a key, so the join is an equality and no product of the tables.  Tokens with blanks cannot occur."""
+    token, down to the length of the shortest token asked for, is a key; so the join is an equality and no product of
+    the tables.  Tokens with blanks cannot occur."""
     asked = queries.select(query).filter(F.coalesce(F.col(query), F.lit("")) != "").distinct().withColumn("__token", last_token(F.col(query)))
     rows = names.select(F.col(name).alias("__name"), F.col(value).alias("__value"), F.col(order).alias("__order")).filter("__name != ''")
     exact = asked.join(rows, F.col(query) == F.col("__name")).groupBy(query).agg(F.max(F.struct("__order", "__value")).alias("x")).select(query, F.col("x.__value").alias("__exact"))
     token = last_token(F.col("__name"))
-    ends = rows.select("__value", "__order", F.explode(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.substring(token, i, F.length(token)))).alias("__token"))
+    least = F.greatest(F.length(token) - asked.agg(F.coalesce(F.min(F.length("__token")), F.lit(1)).alias("n")).first()["n"] + 1, F.lit(1))
+    ends = rows.filter(F.length(token) > 0).select("__value", "__order", F.explode(F.transform(F.sequence(F.lit(1), least), lambda i: F.substring(token, i, F.length(token)))).alias("__token"))
     firsts = ends.groupBy("__token").agg(F.min(F.struct("__order", "__value")).alias("x")).select("__token", F.col("x.__value").alias("__loose"))
     found = asked.join(exact, query, "left").join(firsts, "__token", "left")
     return found.select(query, F.coalesce("__exact", "__loose").alias(value))
@@ -86,24 +88,29 @@ def suffix_match(queries: DataFrame, query: str, names: DataFrame, name: str, va
 def crosswalk(nominations: DataFrame, timeline: DataFrame, judges: DataFrame, order: str = "nid") -> DataFrame:
     """Nominations with the seat that falls vacant: predecessor from the description, to a judge by
     :func:`suffix_match`, then to the timeline by the judge's seat if judges have one (``seat_id``), else, or where
-    that seat is unknown, by the judge.  ``seat_match_method`` is ``predecessor_name`` or ``unmatched``."""
-    noms = nominations.withColumn("predecessor_name", crosswalk_predecessor(F.col("description"))).withColumn("__row", F.monotonically_increasing_id())
+    that seat is unknown, by the judge.  ``seat_match_method`` is ``predecessor_name`` or ``unmatched``.
+
+    Each nomination has one key, its seat where the timeline has that, else its judge, and each row of the timeline is
+    found under both; so it is one join, and no row needs a number."""
+    noms = nominations.withColumn("predecessor_name", crosswalk_predecessor(F.col("description")))
     full = judges.withColumn("__full", F.concat_ws(" ", or_null(strip(F.col("first_name"))), or_null(strip(F.col("last_name")))))
     ids = suffix_match(noms, "predecessor_name", full, "__full", "nid", order).withColumnRenamed("nid", "predecessor_nid")
     out = noms.join(ids, "predecessor_name", "left")
     line = timeline.withColumnRenamed("nid", "timeline_nid")
     if "seat_id" in judges.columns:
         seats = judges.filter("seat_id is not null").groupBy(F.col("nid").alias("predecessor_nid")).agg(F.max("seat_id").alias("__seat"))
-        out = out.join(seats, "predecessor_nid", "left")
-        primary = out.join(line, F.col("__seat") == F.col("seat_id"), "inner")
-        rest = out.join(primary.select("__row").distinct(), "__row", "left_anti")
+        there = line.filter("seat_id is not null").select(F.col("seat_id").alias("__seat")).distinct().withColumn("__there", F.lit(True))
+        out = out.join(seats, "predecessor_nid", "left").join(there, "__seat", "left")
+        by_seat = F.col("__there")
     else:
-        out = out.withColumn("__seat", F.lit(None).cast("string"))
-        primary, rest = None, out
-    secondary = rest.join(line, F.col("predecessor_nid") == F.col("timeline_nid"), "left")
-    every = secondary if primary is None else primary.unionByName(secondary)
+        out, by_seat = out.withColumn("__seat", F.lit(None).cast("string")), F.lit(False)
+    own = F.when(by_seat, F.struct(F.lit("seat").alias("kind"), F.col("__seat").cast("string").alias("id"))).otherwise(F.struct(F.lit("judge").alias("kind"), F.col("predecessor_nid").cast("string").alias("id")))
+    keys = F.array(F.struct(F.lit("seat").alias("kind"), F.col("seat_id").cast("string").alias("id")), F.struct(F.lit("judge").alias("kind"), F.col("timeline_nid").cast("string").alias("id")))
+    keyed = line.withColumn("__key", F.explode(keys)).withColumns({"__kind": F.col("__key.kind"), "__id": F.col("__key.id")}).drop("__key")
+    asked = out.withColumn("__own", own).withColumns({"__own_kind": F.col("__own.kind"), "__own_id": F.col("__own.id")}).drop("__own", "__seat", "__there")
+    every = asked.join(keyed, (F.col("__own_kind") == F.col("__kind")) & (F.col("__own_id") == F.col("__id")), "left")
     method = F.when(F.col("timeline_nid").isNotNull(), "predecessor_name").otherwise("unmatched")
-    return every.withColumn("seat_match_method", method).drop("__row", "__seat")
+    return every.withColumn("seat_match_method", method).drop("__own_kind", "__own_id", "__kind", "__id")
 
 
 def candidate_ranks(pairs: DataFrame, record: str, order: list[Column]) -> DataFrame:

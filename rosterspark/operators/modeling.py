@@ -55,7 +55,7 @@ def with_missing_flags(df: DataFrame, numeric: list[str]) -> DataFrame:
 
 
 def boosted_trees(numeric: list[str], categorical: list[str], label: str, **parameters) -> Pipeline:
-    settings = {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "labelCol": label, "featuresCol": "features"} | parameters
+    settings = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "labelCol": label, "featuresCol": "features"} | parameters
     return Pipeline(stages=[*feature_stages(numeric, categorical), GBTRegressor(**settings)])
 
 
@@ -126,10 +126,10 @@ def quality_labels(metrics: DataFrame, mae: str = "mae", r2: str = "r2") -> Data
 
 
 def compare_models(metrics: DataFrame, name: str = "model", error: str = "test_mae", order: str = "position") -> DataFrame:
-    """Models by test error, ``best``, and how many percent better than the first of them."""
+    """Models by test error, ``best``, and how many percent better than the first of them (null if its error is 0)."""
     first = F.first(error).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     best = F.min(error).over(Window.partitionBy())
-    return metrics.withColumns({"improvement": F.round(100 * (first - F.col(error)) / first, 6), "best": F.col(error) == best})
+    return metrics.withColumns({"improvement": F.round(F.try_divide(100 * (first - F.col(error)), first), 6), "best": F.col(error) == best})
 
 
 def save_model(model: PipelineModel, path: str, columns: list[str], metadata: dict) -> None:

@@ -37,24 +37,38 @@ def validate_catalog(tables: dict[str, DataFrame], keys: tuple[str, ...] = ("nid
 
 
 def schema_comparison(new: DataFrame, old: DataFrame, critical: tuple[str, ...] = ()) -> dict[str, object]:
-    """Names in both, missing from the new, and extra; share of the old ones covered, in percent; and a score."""
+    """Names in both, missing from the new, and extra; share of the old ones covered, in percent; and a score, which
+    each critical column of the old table that the new one lacks lowers by a fifth."""
     a, b = set(new.columns), set(old.columns)
     covered = len(a & b) / len(b) if b else 0.0
     lacking = sum(c in b and c not in a for c in critical)
     return {"common": sorted(a & b), "missing": sorted(b - a), "extra": sorted(a - b), "coverage": round(100 * covered, 2), "score": round(100 * max(0.0, covered - 0.2 * lacking), 2)}
 
 
+def field_comparison(new: DataFrame, old: DataFrame, critical: tuple[str, ...] = (), warn_above: float = 50.0) -> DataFrame:
+    """A row for each column of either table: ``column, status`` (common, missing from the new, extra), ``critical``,
+    ``null_percent`` in the new table (null where it lacks the column) and ``mostly_null``.  One aggregation."""
+    profile = null_profile(new, warn_above)
+    old_names = old.columns
+    every = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(c in old_names).alias("was")) for c in dict.fromkeys([*new.columns, *old_names])]))
+    fields = new.sparkSession.range(1).select(every.alias("x")).select("x.*")
+    out = fields.join(profile, "column", "left")
+    status = F.when(F.col("nulls").isNull(), "missing").when(F.col("was"), "common").otherwise("extra")
+    wanted = F.col("column").isin(list(critical)) if critical else F.lit(False)
+    return out.select("column", status.alias("status"), wanted.alias("critical"), "null_percent", F.coalesce("mostly_null", F.lit(False)).alias("mostly_null"))
+
+
 def null_profile(df: DataFrame, warn_above: float = 50.0) -> DataFrame:
-    """``column, nulls, null_percent, mostly_null``: one aggregation."""
+    """``column, nulls, null_percent, mostly_null``: one aggregation.  Of no rows no share is null (0)."""
     profile = column_profile(df)
-    share = F.round(100 * (F.col("rows") - F.col("filled")) / F.col("rows"), 2)
+    share = F.round(F.coalesce(F.try_divide(100 * (F.col("rows") - F.col("filled")), F.col("rows")), F.lit(0.0)), 2)
     return profile.select("column", (F.col("rows") - F.col("filled")).alias("nulls"), share.alias("null_percent"), (share > warn_above).alias("mostly_null"))
 
 
 def fill_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column, filled, rate``: how often the columns have a value."""
+    """``column, filled, rate``: how often the columns have a value; without rows the rate is null."""
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"f_{c}") for c in columns])
-    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"f_{c}").alias("filled"), F.round(F.col(f"f_{c}") / F.col("n"), 6).alias("rate")) for c in columns])
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"f_{c}").alias("filled"), F.round(F.try_divide(f"f_{c}", "n"), 6).alias("rate")) for c in columns])
     return row.select(F.explode(each).alias("x")).select("x.*")
 
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterspark.sources.tables import settle
+
 
 def value_counts(df: DataFrame, column: str, k: int | None = None, share: bool = False) -> DataFrame:
     """``column, n`` (and ``share`` of all rows with a value), most frequent first, then by value."""
@@ -21,18 +23,26 @@ def bin_rare(df: DataFrame, source: str, into: str, keep: float = 0.8, other: st
     """``into``: the most frequent values of ``source`` whose shares together make up ``keep``, with the one that
     crosses it (the first at least); all others are ``other``, null stays null.  Equal counts go by value.
 
-    Counts are one row per value; the running sum over them is taken within blocks of equal count first, so no task
-    orders all values unless all are different in count."""
-    counts = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    Values are counted, and counts counted: of n rows at most the root of 2n different counts.  A running sum over
+    these gives the count at which the share is crossed; values of greater count stay, and only those of that very
+    count are put in order, in ranges, so that no task orders them all."""
+    counts = settle(df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("n")))
     levels = counts.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
     before = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = levels.withColumn("above", F.coalesce(F.sum(F.col("n") * F.col("m")).over(before), F.lit(0))).drop("m")
-    total = counts.agg(F.sum("n").alias("total"))
-    within = Window.partitionBy("n").orderBy(source)
-    placed = counts.withColumn("at", F.row_number().over(within) - 1).join(levels, "n").crossJoin(F.broadcast(total))
-    kept = placed.filter((F.col("above") + F.col("at") * F.col("n")) < keep * F.col("total")).select(F.col(source).alias("__v"))
-    first = placed.filter("above = 0 and at = 0").select(F.col(source).alias("__v"))
-    chosen = kept.unionByName(first).distinct().withColumn("__kept", F.lit(True))
+    levels = levels.withColumn("above", F.coalesce(F.sum(F.col("n") * F.col("m")).over(before), F.lit(0)))
+    total = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy())
+    # how many values of each count stay: none once the share is reached, but the first of all
+    quota = F.greatest(F.ceil((keep * total - F.col("above")) / F.col("n")), F.when(F.col("above") == 0, 1).otherwise(0))
+    part = levels.withColumn("quota", quota).filter("quota > 0 and quota < m").select("n", "quota").first()
+    least = levels.withColumn("quota", quota).filter("quota >= m").agg(F.min("n").alias("n")).first()["n"]
+    chosen = counts.filter(F.col("n") >= least) if least is not None else counts.filter("false")
+    if part is not None:
+        ranged = settle(counts.filter(F.col("n") == part["n"]).repartitionByRange(source).withColumn("__p", F.spark_partition_id()))
+        sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__m"))
+        offset = F.coalesce(F.sum("__m").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__p").orderBy(source))).join(sizes.select("__p", offset.alias("__o")), "__p")
+        chosen = chosen.unionByName(placed.filter(F.col("__o") + F.col("__at") <= part["quota"]).select(*counts.columns))
+    chosen = chosen.select(F.col(source).alias("__v"), F.lit(True).alias("__kept"))
     out = df.join(chosen, F.col(source) == F.col("__v"), "left")
     return out.withColumn(into, F.when(F.col(source).isNull(), None).when(F.col("__kept"), F.col(source).cast("string")).otherwise(F.lit(other))).drop("__v", "__kept")
 
@@ -52,14 +62,14 @@ def age_summary(df: DataFrame, column: str, days_per_year: float = 365.25) -> Da
 
 
 def duration_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, min, max, mean, median and the share of rows with a value."""
+    """One row: count, min, max, mean, median and the share of rows with a value (null without rows)."""
     return df.agg(
         F.count(column).alias("n"),
         F.min(column).alias("min"),
         F.max(column).alias("max"),
         F.round(F.avg(column), 6).alias("mean"),
         F.round(F.median(column).cast("double"), 6).alias("median"),
-        F.round(F.count(column) / F.count(F.lit(1)), 6).alias("share"),
+        F.round(F.try_divide(F.count(column), F.count(F.lit(1))), 6).alias("share"),
     )
 
 
@@ -85,7 +95,10 @@ def collapse_rare(df: DataFrame, column: str, least: int = 3, other: str = "Othe
 
 
 def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """One row: mean absolute error and R squared, to six places."""
+    """One row: mean absolute error and R squared, to six places.  R squared of a constant target is 1 if it is met
+    exactly and 0 if not; without rows both are null."""
     a, p = F.col(actual), F.col(predicted)
-    residual = F.sum((a - p) * (a - p))
-    return df.agg(F.round(F.avg(F.abs(a - p)), 6).alias("mae"), F.round(1 - residual / (F.var_pop(a) * F.count(a)), 6).alias("r2"))
+    residual, spread = F.sum((a - p) * (a - p)), F.var_pop(a) * F.count(a)
+    constant = F.when(residual == 0, 1.0).when(residual.isNotNull(), 0.0)
+    r2 = F.when(spread == 0, constant).otherwise(1 - F.try_divide(residual, spread))
+    return df.agg(F.round(F.avg(F.abs(a - p)), 6).alias("mae"), F.round(r2, 6).alias("r2"))

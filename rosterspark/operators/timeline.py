@@ -30,8 +30,9 @@ def dedupe_history(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def latest_report_per_seat(df: DataFrame, seat: str = "seat_id") -> DataFrame:
-    """The row of the newest report (``source_year, source_month``) of each seat."""
-    return keep_latest(df, [seat], [F.make_date("source_year", "source_month", F.lit(1)).desc_nulls_last()])
+    """The row of the newest report (``source_year, source_month``) of each seat; a month that is none comes last."""
+    sound = F.col("source_month").between(1, 12) & F.col("source_year").isNotNull()
+    return keep_latest(df, [seat], [F.when(sound, F.col("source_year") * 12 + F.col("source_month")).desc_nulls_last()])
 
 
 def seat_timeline(service: DataFrame, seat: str = "seat_id", strip_succession: bool = False) -> DataFrame:

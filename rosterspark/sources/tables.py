@@ -13,8 +13,13 @@ from rosterspark.functions.text import strip
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (``spark.checkpoint.dir``); a temporary one if it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-", dir="/tmp")
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``); where that is unset and Spark runs
+    on one machine, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-tables-", dir="/tmp")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,9 +41,10 @@ def column_names(columns: list[str]) -> list[str]:
     return [c.lower().replace(" ", "_") for c in columns]
 
 
-def read_csv(spark: SparkSession, path: str, date_columns: list[str] | None = None, normalise: bool = True, sep: str = ",") -> DataFrame:
-    """A CSV file with a header; columns named like dates (or those given) become dates, all others stay text."""
-    raw = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, date_columns: list[str] | None = None, normalise: bool = True, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """A CSV file with a header; columns named like dates (or those given) become dates, all others stay text.  Without
+    ``multi_line`` no field may hold a line break, and a file of any size is read by many tasks."""
+    raw = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=multi_line, escape='"')
     dates = set(date_columns) if date_columns is not None else {c for c in raw.columns if "date" in c.lower()}
     typed = raw.select(*[(parse_date(F.col(f"`{c}`")) if c in dates else F.col(f"`{c}`")).alias(c) for c in raw.columns])
     return typed.toDF(*column_names(typed.columns)) if normalise else typed

@@ -5,6 +5,11 @@ from __future__ import annotations
 import datetime
 import decimal
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -59,11 +64,19 @@ def test_entry_point():
 
 
 def test_entry_point_without_the_training_data_package(monkeypatch):
-    import importlib.util
-
     import __spark_entry__
 
-    found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("rosterspark.llm", "corpus_pipeline")) else found(name, *a))
+    for name in [n for n in sys.modules if n.startswith(("rosterspark.llm", "corpus_pipeline"))] + ["rosterspark.llm", "corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
     assert __spark_entry__.queries().keys() == QUERIES.keys()
     assert __spark_entry__.oracle_sql().keys() == SQL.keys()
+
+
+def test_entry_point_where_only_compiled_leftovers_are_there(tmp_path):
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "rosterspark", tmp_path / "rosterspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "rosterspark" / "llm" / "__pycache__").mkdir(parents=True)
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert done.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
