@@ -30,6 +30,10 @@ def _schema(df: DataFrame, column: str) -> T.DataType | None:
     return T._parse_datatype_string(found.replace("OBJECT<", "STRUCT<").replace("VARIANT", "STRING").replace(": VOID", ": STRING"))
 
 
+def _field(name: str):
+    return lambda x: x.getField(name)
+
+
 def flatten(df: DataFrame, column: str, most: int | None = 10, separator: str = "_", prefix: str = "") -> DataFrame:
     """``df`` with a column for each leaf of the JSON in ``column``: keys joined by ``separator``, list places as
     numbers, at most ``most`` of a list (fewer if no list is as long; with None all of the longest).  Rows that cannot be read keep their text in
@@ -40,33 +44,34 @@ def flatten(df: DataFrame, column: str, most: int | None = 10, separator: str =
     if kind is None:
         return df
     parsed = df.withColumn("__j", F.from_json(F.col(column), kind))
-    lists: list[Column] = []
+    lists: dict[str, Column] = {}
 
-    def measure(c: Column, t: T.DataType) -> None:
+    def measure(values: Column, t: T.DataType, path: str) -> None:
+        """The greatest length of each list, however deep; ``values`` has all values of a row at ``path``."""
         if isinstance(t, T.StructType):
             for f in t.fields:
-                measure(c.getField(f.name), f.dataType)
+                measure(F.transform(values, _field(f.name)), f.dataType, f"{path}.{f.name}")
         elif isinstance(t, T.ArrayType):
-            lists.append(F.max(F.size(c)))
+            lists[path] = F.max(F.array_max(F.transform(values, lambda x: F.size(x))))
+            measure(F.flatten(F.filter(values, lambda x: x.isNotNull())), t.elementType, path + "[]")
 
-    measure(F.col("__j"), kind)
+    measure(F.array(F.col("__j")), kind, "")
     unread = F.sum((F.col(column).isNotNull() & F.try_parse_json(F.col(column)).isNull()).cast("long"))
-    row = parsed.agg(F.coalesce(unread, F.lit(0)).alias("bad"), *[x.alias(f"n{i}") for i, x in enumerate(lists)]).first()
+    row = parsed.agg(F.coalesce(unread, F.lit(0)).alias("bad"), *[x.alias(f"n{i}") for i, x in enumerate(lists.values())]).first()
+    longest = {path: max(0, row[f"n{i}"] or 0) for i, path in enumerate(lists)}
     leaves: dict[str, Column] = {}
-    seen = iter(range(len(lists)))
 
-    def walk(c: Column, t: T.DataType, name: str, top: bool) -> None:
+    def walk(c: Column, t: T.DataType, name: str, path: str) -> None:
         if isinstance(t, T.StructType):
             for f in t.fields:
-                walk(c.getField(f.name), f.dataType, f"{name}{separator}{f.name}" if name else f.name, top)
+                walk(c.getField(f.name), f.dataType, f"{name}{separator}{f.name}" if name else f.name, f"{path}.{f.name}")
         elif isinstance(t, T.ArrayType):
-            length = most if not top else min(most, max(0, row[f"n{next(seen)}"] or 0))
-            for i in range(length):
-                walk(F.get(c, F.lit(i)), t.elementType, f"{name}{separator}{i}", False)
+            for i in range(longest[path] if most is None else min(most, longest[path])):
+                walk(F.get(c, F.lit(i)), t.elementType, f"{name}{separator}{i}", path + "[]")
         else:
             leaves[prefix + name] = c
 
-    walk(F.col("__j"), kind, "", True)
+    walk(F.col("__j"), kind, "", "")
     taken = set(df.columns)
     out = parsed.withColumns({(f"{n}{separator}json" if n in taken else n): c for n, c in leaves.items()}).drop("__j")
     return out if row["bad"] else out.drop(column)

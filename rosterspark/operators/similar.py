@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 METRICS = ("cosine", "euclidean", "manhattan")
 
@@ -24,10 +31,11 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
-def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing features become the mean over all rows (0 if none has a value): one aggregation, one row."""
-    means = df.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__m_{c}") for c in columns])
-    filled = df.crossJoin(F.broadcast(means)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"__m_{c}") for c in columns})
+def impute_mean(df: DataFrame, columns: list[str], by: DataFrame | None = None, suffix: str = "") -> DataFrame:
+    """Missing features become the mean over all rows of ``by`` (of ``df`` itself unless given; 0 if none has a value),
+    in columns of the old names and ``suffix``: one aggregation, one row."""
+    means = (df if by is None else by).agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"__m_{c}") for c in columns])
+    filled = df.crossJoin(F.broadcast(means)).withColumns({c + suffix: F.coalesce(F.col(c).cast("double"), f"__m_{c}") for c in columns})
     return filled.drop(*[f"__m_{c}" for c in columns])
 
 
@@ -46,7 +54,7 @@ def weighted_similarity(queries: DataFrame, reference: DataFrame, weights: list[
     r = reference.select(ref_id, scaled(F.col(features), weights).alias("__r")).withColumn("__nr", norm(F.col("__r")))
     blocks = -(-queries.count() // most)
     if blocks <= 1:
-        pairs = r.join(F.broadcast(q))
+        pairs = r.join(F.broadcast(q))  # at most `most` rows
     else:
         dealt = q.withColumn("__k", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
         pairs = r.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "__k")
@@ -54,18 +62,80 @@ def weighted_similarity(queries: DataFrame, reference: DataFrame, weights: list[
         bottom = F.col("__nq") * F.col("__nr")
         return pairs.select(query_id, ref_id, F.when(bottom > 0, dot(F.col("__q"), F.col("__r")) / bottom).otherwise(0.0).alias("similarity"))
     gaps = pairs.select(query_id, ref_id, distance(F.col("__q"), F.col("__r"), metric).alias("d"))
-    most = gaps.groupBy(query_id).agg(F.max("d").alias("most"))
-    return gaps.join(F.broadcast(most), query_id).select(query_id, ref_id, F.when(F.col("most") > 0, 1 - F.col("d") / F.col("most")).otherwise(1.0).alias("similarity"))
+    widest = gaps.groupBy(query_id).agg(F.max("d").alias("widest"))
+    return gaps.join(widest, query_id).select(query_id, ref_id, F.when(F.col("widest") > 0, 1 - F.col("d") / F.col("widest")).otherwise(1.0).alias("similarity"))
+
+
+def _measured(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """For each query and reference row the cosine, or the distance with its sign changed: greater is nearer."""
+    if metric == "cosine":
+        bottom = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
+        return np.divide(q @ r.T, bottom, out=np.zeros_like(bottom), where=bottom > 0)
+    if metric == "manhattan":
+        return -np.abs(q[:, None, :] - r[None, :, :]).sum(axis=2)
+    return -np.sqrt(((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2))
 
 
-def top_similar(queries: DataFrame, reference: DataFrame, weights: list[float], k: int = 1, metric: str = "cosine", query_id: str = "query_id", ref_id: str = "ref_id", features: str = "features") -> DataFrame:
-    """The ``k`` most similar rows of each query, ``rank`` from 1; equal ones by id.  Each block of the reference keeps
-    its own best first, so what meets for a query is a few rows per block."""
-    pairs = weighted_similarity(queries, reference, weights, metric, query_id, ref_id, features).withColumn("__block", F.pmod(F.xxhash64(ref_id), F.lit(64)))
-    order = (F.desc("similarity"), F.col(ref_id))
-    first = pairs.withColumn("__n", F.row_number().over(Window.partitionBy(query_id, "__block").orderBy(*order))).filter(F.col("__n") <= k)
-    best = first.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).filter(F.col("rank") <= k)
-    return best.select(query_id, ref_id, "similarity", "rank")
+def top_similar(queries: DataFrame, reference: DataFrame, weights: list[float], k: int = 1, metric: str = "cosine", query_id: str = "query_id", ref_id: str = "ref_id", features: str = "features", most: int = 5000) -> DataFrame:
+    """The ``k`` most similar rows of each query of a stated set, ``rank`` from 1; equal ones by id.
+
+    Queries go to the tasks in blocks of at most ``most``, one pass over the reference for each.  A task keeps the
+    ``k`` best of its rows for each query, and the greatest distance, before anything is shuffled; so what meets for a
+    query is ``k`` rows a task."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    spark = queries.sparkSession
+    root = np.sqrt(np.array(weights, float))
+    kinds = queries.schema[query_id].dataType, reference.schema[ref_id].dataType
+    schema = T.StructType([T.StructField(query_id, kinds[0]), T.StructField(ref_id, kinds[1]), T.StructField("near", T.DoubleType()), T.StructField("far", T.DoubleType())])
+    types = to_arrow_schema(schema)
+    size = queries.count()
+    blocks = max(1, -(-size // most))
+    rows = reference.select(ref_id, F.transform(features, lambda x: x.cast("double")).alias("__f"))
+    asked = queries.select(query_id, F.transform(features, lambda x: x.cast("double")).alias("__f"))
+
+    def block(n: int) -> DataFrame:
+        own = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).toArrow()  # about `most` rows
+        ids = own.column(query_id).combine_chunks()
+        sent = spark.sparkContext.broadcast((ids, _matrix(own.column("__f")) * root))
+
+        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            kept: list[list[tuple]] = [[] for _ in range(len(q))]
+            far = np.zeros(len(q))
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+                r = _matrix(batch.column("__f")) * root
+                names = batch.column(ref_id).to_pylist()
+                for at in range(0, len(q), 512):
+                    near = _measured(q[at : at + 512], r, metric)
+                    far[at : at + 512] = np.minimum(far[at : at + 512], near.min(axis=1))
+                    # ties at the k-th place are all candidates: ids settle them
+                    least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+                    for i, j in zip(*np.nonzero(near >= least[:, None])):
+                        kept[at + i].append((-near[i, j], names[j]))
+                for i, some in enumerate(kept):
+                    if len(some) > 4 * k:
+                        kept[i] = sorted(some)[:k]
+            cells = [(i, name, -gap, float(far[i])) for i, some in enumerate(kept) for gap, name in sorted(some)[:k]]
+            for at in range(0, len(cells), 10_000):
+                own, names, near, widest = zip(*cells[at : at + 10_000])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), *(pa.array(list(c), f.type) for c, f in zip((names, near, widest), list(types)[1:]))], schema.names)
+
+        return rows.mapInArrow(apply, schema)
+
+    best = reduce(lambda a, b: a.unionByName(b), map(block, range(blocks)))
+    order = (F.desc("near"), F.col(ref_id))
+    own = Window.partitionBy(query_id)
+    ranked = best.withColumn("far", F.min("far").over(own)).withColumn("rank", F.row_number().over(own.orderBy(*order))).filter(F.col("rank") <= k)
+    like = F.col("near") if metric == "cosine" else F.when(F.col("far") < 0, 1 - F.col("near") / F.col("far")).otherwise(1.0)
+    return ranked.select(query_id, ref_id, like.alias("similarity"), "rank")
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row for each list of numbers, all of one length; missing numbers are an error upstream, here they stay NaN."""
+    part = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = part.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(part), -1) if len(part) else np.empty((0, 0))
 
 
 def explanation(a: Column, b: Column, names: list[str], weights: list[float], most: int = 3) -> Column:
@@ -79,16 +149,24 @@ def explanation(a: Column, b: Column, names: list[str], weights: list[float], mo
     return F.array_join(F.transform(best, lambda x: F.concat(x["n"], F.lit(" ("), F.format_number(-x["s"], 3), F.lit(")"))), ", ")
 
 
-def most_similar_cases(queries: DataFrame, train: DataFrame, test: DataFrame, names: list[str], weights: list[float], target: str, k: int = 1, metric: str = "cosine", key: str = "id") -> DataFrame:
+def most_similar_cases(queries: DataFrame, train: DataFrame, test: DataFrame, names: list[str], weights: list[float] | DataFrame, target: str, k: int = 1, metric: str = "cosine", key: str = "id") -> DataFrame:
     """For each query row the ``k`` most similar of train and test (by ``key``, told apart by ``_dataset_source``),
-    with score, target and explanation.  A row is not similar to itself: rows of the query's own key are left out."""
+    with score, target and explanation.  A row is not similar to itself: rows of the query's own key are left out.
+
+    Missing features count as the mean over train and test, on both sides; the explanation is of the values as they
+    are, where a missing one counts one half.  ``weights`` may be a table of :func:`modeling.feature_importances`;
+    features it lacks weigh 0."""
     from .timeline import tagged_union
 
-    pool = impute_mean(tagged_union({"train": train, "test": test}), names)
-    vectors = pool.select(F.concat_ws(":", "_dataset_source", key).alias("ref_id"), key, "_dataset_source", target, F.array(*names).alias("features"))
-    asked = impute_mean(queries, names).select(F.col(key).alias("query_id"), F.array(*names).alias("features"))
+    if isinstance(weights, DataFrame):
+        found = {r["feature"]: r["importance"] for r in weights.filter(F.col("feature").isin(names)).collect()}
+        weights = [found.get(n, 0.0) for n in names]
+    pool = tagged_union({"train": train, "test": test})
+    raw, filled = F.array(*[F.col(n).cast("double") for n in names]), F.array(*[f"{n}__filled" for n in names])
+    vectors = impute_mean(pool, names, suffix="__filled").select(F.concat_ws(":", "_dataset_source", key).alias("ref_id"), key, "_dataset_source", target, filled.alias("features"), raw.alias("__ref"))
+    asked = impute_mean(queries, names, pool, "__filled").select(F.col(key).alias("query_id"), filled.alias("features"), raw.alias("__own"))
     best = top_similar(asked, vectors, weights, k + 1, metric)
-    joined = best.join(vectors.withColumnRenamed("features", "__ref"), "ref_id").join(asked.withColumnRenamed("features", "__own"), "query_id")
+    joined = best.join(vectors.drop("features"), "ref_id").join(asked.drop("features"), "query_id")
     others = joined.filter(F.col(key) != F.col("query_id"))
     ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id"))).filter(F.col("rank") <= k)
     return ranked.select("query_id", key, "_dataset_source", target, "similarity", "rank", explanation(F.col("__own"), F.col("__ref"), names, weights).alias("_explanation"))

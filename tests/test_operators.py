@@ -127,3 +127,59 @@ def test_search_in_two_stages(spark):
     model = modeling.two_stage_search(rows, ["x"], ["c"], "y", {"maxDepth": (1, 3), "stepSize": (0.05, 0.4)}, draws=(2, 1), folds=(2, 2))
     assert summary.regression_metrics(model.transform(rows), "y", "prediction").first()["mae"] < 8
     assert modeling.narrowed({"a": (0, 100), "b": (0.0, 1.0)}, {"a": 95, "b": 0.5}) == {"a": (82, 100), "b": (0.375, 0.625)}
+
+
+def test_flatten_keeps_all_items_where_no_most_is_given(spark):
+    from rosterspark.functions.jsonx import flatten
+
+    long = '{"a": [%s], "b": [{"c": [1, 2, 3]}, {"c": [4]}]}' % ", ".join(map(str, range(13)))
+    df = spark.createDataFrame([(1, long), (2, '{"a": [7]}')], "id int, j string")
+    ten, every = flatten(df, "j"), flatten(df, "j", most=None)
+    assert sum(c.startswith("a_") for c in ten.columns) == 10 and sum(c.startswith("a_") for c in every.columns) == 13
+    row = every.filter("id = 1").first()
+    assert [int(row[f"a_{i}"]) for i in range(13)] == list(range(13)) and int(row["b_0_c_2"]) == 3 and int(row["b_1_c_0"]) == 4
+    assert "b_0_c_3" not in every.columns
+
+
+def test_empty_and_constant_inputs(spark):
+    from rosterspark.operators import modeling, quality, summary, timeline
+
+    empty = spark.createDataFrame([], "x double, y double")
+    assert [(r["nulls"], r["null_percent"], r["mostly_null"]) for r in quality.null_profile(empty).collect()] == [(0, 0.0, False)] * 2
+    assert [r["rate"] for r in quality.fill_rates(empty, ["x"]).collect()] == [None]
+    assert summary.duration_summary(empty, "x").first()["share"] is None
+    assert tuple(summary.regression_metrics(empty, "x", "y").first()) == (None, None)
+    same = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0)], "x double, y double")
+    off = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "x double, y double")
+    assert tuple(summary.regression_metrics(same, "x", "y").first()) == (0.0, 1.0)
+    assert tuple(summary.regression_metrics(off, "x", "y").first()) == (0.5, 0.0)
+    models = spark.createDataFrame([("a", 0.0, 1), ("b", 2.0, 2)], "model string, test_mae double, position int")
+    assert [r["improvement"] for r in modeling.compare_models(models).collect()] == [None, None]
+    seats = spark.createDataFrame([("s", 2020, 13), ("s", 2019, 5), ("s", None, 4)], "seat_id string, source_year int, source_month int")
+    assert tuple(timeline.latest_report_per_seat(seats).first()) == ("s", 2019, 5)
+
+
+def test_missing_features_of_cases_count_as_the_mean_of_the_reference(spark):
+    from rosterspark.operators.similar import most_similar_cases, top_similar
+
+    train = spark.createDataFrame([(i, 100.0 + 9 * i, 1.0, float(i)) for i in range(10)], "id int, x double, z double, target double")
+    query = spark.createDataFrame([(99, None, 1.0, 0.0)], "id int, x double, z double, target double")
+    got = most_similar_cases(query, train, train.filter("false"), ["x", "z"], [1.0, 1.0], "target", metric="euclidean").first()
+    assert got["id"] == 4 and got["_explanation"] == "z (1.000), x (0.500)"  # 140.5 is the mean: 4 (136) and 5 (145) are as near
+    weights = spark.createDataFrame([("z", 0.25), ("other", 1.0)], "feature string, importance double")
+    assert most_similar_cases(query, train, train.filter("false"), ["x", "z"], weights, "target").first()["_explanation"] == "z (0.250), x (0.000)"
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "ref_id int, features array<double>").repartition(3)
+    asked = vectors.filter("ref_id < 11").withColumnRenamed("ref_id", "query_id")
+    for metric in ("cosine", "euclidean", "manhattan"):
+        one, many = (sorted(map(tuple, top_similar(asked, vectors, [1.0, 2.0], 4, metric, most=m).collect())) for m in (5000, 3))
+        assert [x[:2] + x[3:] for x in one] == [x[:2] + x[3:] for x in many] and len(one) == 44
+
+
+def test_crosswalk_joins_each_nomination_once(spark):
+    from rosterspark.operators.match import crosswalk
+
+    noms = spark.createDataFrame([("a", "X, vice Ann Moss, retired."), ("a", "X, vice Ann Moss, retired."), ("b", "X, vice Bo Reed."), ("c", "no one"), ("d", "X, vice Cy Dale.")], "citation string, description string")
+    judges = spark.createDataFrame([(1, "Ann", "Moss", "s1"), (2, "Bo", "Reed", "gone"), (3, "Cy", "Dale", None)], "nid int, first_name string, last_name string, seat_id string")
+    line = spark.createDataFrame([("s1", 7), ("s1", 8), ("s2", 2), ("s3", 1)], "seat_id string, nid int")
+    got = sorted(((r["citation"], r["seat_id"], r["timeline_nid"], r["seat_match_method"]) for r in crosswalk(noms, line, judges).collect()), key=str)
+    assert got == sorted([("a", "s1", 7, "predecessor_name"), ("a", "s1", 8, "predecessor_name")] * 2 + [("b", "s2", 2, "predecessor_name"), ("c", None, None, "unmatched"), ("d", None, None, "unmatched")], key=str)
