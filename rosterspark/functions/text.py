@@ -12,8 +12,8 @@ ACCENTS, PLAIN = "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN"
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without ASCII white space of any kind at either end."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def or_null(c: Column) -> Column:

@@ -134,22 +134,24 @@ def demographics_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     WITH
-    + """SELECT a.citation, a.person AS person_nominee, b.person AS person_nomination, a.state, b.court FROM (SELECT citation, person, state FROM noms) a LEFT JOIN (SELECT citation, 'x' || person AS person, court FROM noms WHERE o_orderkey % 2 = 0) b ON a.citation = b.citation"""
+    + """SELECT a.citation, a.person AS person_nominee, b.person AS person_nomination, a.state, b.court FROM (SELECT citation, person, state FROM noms) a LEFT JOIN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN citation ELSE 'no ' || citation END AS citation, 'x' || person AS person, court FROM noms) b ON a.citation = b.citation"""
 )
 def nominee_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nominees with nominations by citation; columns of the same name get suffixes."""
     noms = nominations(spark, sf_dir)
-    right = noms.filter("o_orderkey % 2 = 0").select("citation", F.concat(F.lit("x"), "person").alias("person"), "court")
+    key = F.when(F.col("o_orderkey") % 2 == 0, F.col("citation")).otherwise(F.concat(F.lit("no "), "citation"))
+    right = noms.select(key.alias("citation"), F.concat(F.lit("x"), "person").alias("person"), "court")
     return joins.nominees_with_nominations(noms.select("citation", "person", "state"), right)
 
 
-@query(WITH + "SELECT a.citation, a.url, b.person FROM (SELECT citation, 'http://n/' || CAST(o_orderkey AS STRING) AS url FROM noms) a LEFT JOIN (SELECT 'http://n/' || CAST(o_orderkey AS STRING) AS url, person FROM noms WHERE o_orderkey % 3 = 0) b ON a.url = b.url")
+@query(WITH + "SELECT a.citation, a.url, b.person FROM (SELECT citation, 'http://n/' || CAST(o_orderkey AS STRING) AS url FROM noms) a LEFT JOIN (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'http://n/' ELSE 'http://m/' END || CAST(o_orderkey AS STRING) AS url, person FROM noms) b ON a.url = b.url")
 def nominee_by_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nominations with nominees by the URL inside the nominee's request."""
     noms = nominations(spark, sf_dir)
     url = F.concat(F.lit("http://n/"), F.col("o_orderkey").cast("string"))
-    request = F.concat(F.lit("{'url': '"), url, F.lit("', 'format': 'json'}"))
-    return joins.nominees_onto_nominations(noms.select("citation", url.alias("url")), noms.filter("o_orderkey % 3 = 0").select("person", request.alias("request")), "url")
+    theirs = F.concat(F.when(F.col("o_orderkey") % 3 == 0, "http://n/").otherwise("http://m/"), F.col("o_orderkey").cast("string"))
+    request = F.concat(F.lit("{'url': '"), theirs, F.lit("', 'format': 'json'}"))
+    return joins.nominees_onto_nominations(noms.select("citation", url.alias("url")), noms.select("person", request.alias("request")), "url")
 
 
 @query(
@@ -203,16 +205,17 @@ def suffix_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     WITH
-    + """, j AS (SELECT 'Gale' AS f, o_orderkey AS nid, substr(former, 6, 50) AS l, o_orderkey + 1000000 AS seat FROM noms WHERE o_orderkey % 3 = 0)
+    + """, j AS (SELECT 'Gale' AS f, o_orderkey AS nid, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'of-' END || substr(former, 6, 50) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '-X' END AS l, o_orderkey + 1000000 AS seat FROM noms)
     SELECT noms.o_orderkey, noms.former AS predecessor_name, j.nid AS predecessor_nid, CASE WHEN j.nid IS NULL THEN 'unmatched' ELSE 'predecessor_name' END AS seat_match_method, seat AS seat_id
     FROM noms LEFT JOIN j ON noms.former = j.f || ' ' || j.l"""
 )
 def seat_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nominations to seats by the predecessor's name."""
     noms = nominations(spark, sf_dir)
-    some = noms.filter("o_orderkey % 3 = 0")
-    judges = some.select(F.lit("Gale").alias("first_name"), F.substring("former", 6, 50).alias("last_name"), F.col("o_orderkey").alias("nid"))
-    line = some.select(F.col("o_orderkey").alias("nid"), (F.col("o_orderkey") + 1000000).alias("seat_id"))
+    own = F.substring("former", 6, 50)
+    last = F.when(F.col("o_orderkey") % 3 == 0, own).otherwise(F.concat(F.lit("of-"), own, F.lit("-X")))
+    judges = noms.select(F.lit("Gale").alias("first_name"), last.alias("last_name"), F.col("o_orderkey").alias("nid"))
+    line = noms.select(F.col("o_orderkey").alias("nid"), (F.col("o_orderkey") + 1000000).alias("seat_id"))
     return match.crosswalk(noms.select("o_orderkey", "description"), line, judges).select("o_orderkey", "predecessor_name", "predecessor_nid", "seat_match_method", "seat_id")
 
 

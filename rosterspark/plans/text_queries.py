@@ -13,14 +13,38 @@ from rosterspark.sources import tables
 from .registry import WITH, nominations, query, table
 
 
+#: Sentences of every form, made from the parts of a nomination: input, the same for Spark and the oracle.
+FORMS = """CASE o_orderkey % 12
+    WHEN 0 THEN person || ', of the District of Columbia, to be an Associate Judge of the Superior Court of the District of Columbia for a term of fifteen years, vice ' || former || ', Jr., ' || reason || '.'
+    WHEN 1 THEN person || ', of ' || state || ', to be ' || title || ' for the ' || court || ' for a term of eight years.'
+    WHEN 2 THEN person || ', of ' || state || ', to the ' || title || ' for the ' || court || ' vice ' || former || ', ' || reason || '.'
+    WHEN 3 THEN person || ', of ' || state || ', to be ' || title || ' for the ' || court || '.'
+    WHEN 4 THEN person || ', of ' || state || ',to be ' || title || ' for the ' || court || ', vice ' || former || ', ' || reason
+    WHEN 5 THEN person || ', of ' || state || ', to be ' || title || ' for the ' || court || ', vice ' || former || '.'
+    WHEN 6 THEN person || ', of ' || state || ', to be an Associate Justice of the ' || court || ' for the term of ten years vice ' || former || ' retired.'
+    WHEN 7 THEN 'The following-named persons to be members of the Board for a term of six years: ' || person || ', of ' || state || '.'
+    WHEN 8 THEN 'Nothing of the kind, ' || person
+    WHEN 9 THEN '  '
+    WHEN 10 THEN person || ', of ' || state || ', to the ' || title || ' for the ' || court || '.'
+    ELSE description END"""
+
+
 @query(
     WITH
-    + """SELECT o_orderkey, person AS nominee_name, state AS nomination_of_or_from_location, title AS nomination_to_position_title, court AS nomination_to_court_name, NULL::STRING AS nomination_term_info,
-    former AS nomination_predecessor_name, reason AS nomination_vacancy_reason, false AS nomination_is_list_nomination, 'high' AS nomination_parsing_confidence, 0 AS nomination_multiple_nominees_count FROM noms"""
+    + """, f AS (SELECT *, o_orderkey % 12 AS k FROM noms)
+    SELECT o_orderkey, CASE WHEN k IN (7, 8, 9) THEN NULL ELSE person END AS nominee_name,
+    CASE WHEN k IN (7, 8, 9) THEN NULL WHEN k = 0 THEN 'District of Columbia' ELSE state END AS nomination_of_or_from_location,
+    CASE WHEN k IN (8, 9) THEN NULL WHEN k = 7 THEN 'members a term of six years: ' || person || ', of ' || state WHEN k = 0 THEN 'Associate Judge' WHEN k = 6 THEN 'Associate Justice' ELSE title END AS nomination_to_position_title,
+    CASE WHEN k IN (8, 9) THEN NULL WHEN k = 7 THEN 'Board' WHEN k = 0 THEN 'Superior Court of the District of Columbia' ELSE court END AS nomination_to_court_name,
+    CASE k WHEN 0 THEN 'fifteen years' WHEN 1 THEN 'eight years' WHEN 7 THEN 'six years: ' || person END AS nomination_term_info,
+    CASE WHEN k IN (1, 3, 7, 8, 9, 10) THEN NULL WHEN k = 0 THEN former || ', Jr.' ELSE former END AS nomination_predecessor_name,
+    CASE WHEN k IN (1, 3, 5, 7, 8, 9, 10) THEN NULL WHEN k = 6 THEN 'retired' ELSE reason END AS nomination_vacancy_reason,
+    k = 7 AS nomination_is_list_nomination, CASE WHEN k = 7 THEN 'medium' WHEN k IN (8, 9) THEN 'failed' ELSE 'high' END AS nomination_parsing_confidence, CASE WHEN k = 7 THEN 1 ELSE 0 END AS nomination_multiple_nominees_count FROM f"""
 )
 def parse_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptions taken apart again into what they were made of."""
-    return description.parse_descriptions(nominations(spark, sf_dir).select("o_orderkey", "description")).drop("description")
+    """Descriptions of eleven forms taken apart again into what they were made of."""
+    said = nominations(spark, sf_dir).withColumn("description", F.expr(FORMS))
+    return description.parse_descriptions(said.select("o_orderkey", "description")).drop("description")
 
 
 @query(
