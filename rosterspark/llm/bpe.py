@@ -8,7 +8,6 @@ a table hashed by pair gives the ranks, shifting left closes the gap, and rows w
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import collector_off
+
 NONE = np.int32(0x7FFFFFFF)
 #: Pieces above this many bytes are merged with a heap: a row of a matrix costs the square of its length.
 LONG = 192
@@ -211,14 +212,13 @@ class Encoder:
             for memory in (self.words, self.firsts):
                 if len(memory) > self.remember:
                     memory.clear()
-            gc.disable()  # very many short-lived lists, no cycles
-            cut = [t.split(" ") for t in texts[start:end]]
-            rest = set()
-            for words in cut:
-                rest.update(words[1:])
-            self._learn([w for w in {words[0] for words in cut} if w not in self.firsts], "", self.firsts)
-            self._learn([w for w in rest if w not in self.words], " ", self.words)
-            gc.enable()
+            with collector_off():
+                cut = [t.split(" ") for t in texts[start:end]]
+                rest = set()
+                for words in cut:
+                    rest.update(words[1:])
+                self._learn([w for w in {words[0] for words in cut} if w not in self.firsts], "", self.firsts)
+                self._learn([w for w in rest if w not in self.words], " ", self.words)
             for words, text in zip(cut, texts[start:end]):
                 ids = list(map(self.words.__getitem__, words[1:]))
                 ids.insert(0, self.firsts[words[0]])
@@ -291,6 +291,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded and decoded again.  Nulls count as empty, texts of any length are
+    encoded whole, repeated rows give repeated rows, an empty table an empty one; other columns are ignored."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

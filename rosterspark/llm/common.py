@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +54,18 @@ def slices(batches, rows: int = 512):
             yield batch.slice(at, rows)
 
 
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """Without the collector of cycles, for very many short-lived lists; an error leaves it on again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the decimal text of ``column`` modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

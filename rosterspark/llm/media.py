@@ -255,4 +255,5 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` stored as 8-bit samples and read back; see :func:`stored_texts`."""
     return stored_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -8,7 +8,6 @@ partitions and packed again, round by round, as long as sequences can still be s
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import unicodedata
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import collector_off, cut
 
 CAPACITY = 4096
 END = 1
@@ -106,13 +105,12 @@ class Words:
                 end += 1
             if len(self.known) > self.remember:
                 self.known.clear()
-            gc.disable()  # very many short-lived lists, no cycles
-            split = [t.encode("utf-8", "replace").lower().split() for t in texts[start:end]]
-            words = set()
-            for found in split:
-                words.update(found)
-            self._learn([w for w in words if w not in self.known])
-            gc.enable()
+            with collector_off():
+                split = [t.encode("utf-8", "replace").lower().split() for t in texts[start:end]]
+                words = set()
+                for found in split:
+                    words.update(found)
+                self._learn([w for w in words if w not in self.known])
             for found in split:
                 yield b"".join(map(self.known.__getitem__, found))
             start = end
@@ -262,6 +260,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of every document of ``documents`` stands in the packed sequences; see :func:`pack_documents`."""
     import public_tokenizers
 
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

@@ -161,11 +161,12 @@ def fit(rows: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.001
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Rules:
     """Rules from at most ``sample`` labelled documents outside the held-out fold, those of least hashed id.  Null
-    labels don't count; of several labels of a document the greatest does; of several rows of it one."""
+    labels don't count; of several labels of a document the greatest does, of several texts of it the least."""
     train = labels.filter(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).filter(fold(id_col) != 0)
     chosen = train.groupBy(id_col).agg(F.max("quality").cast("double").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     # `sample` bounds the broadcast side
-    some = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(chosen), id_col)
+    some = some.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max("label").alias("label"))
     dealt = some.repartition(4, id_col).sortWithinPartitions(id_col)
     return fit(cut(with_statistics(dealt, text_col).select("label", "stats")))
 
@@ -180,13 +181,15 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: in
     return scored.withColumn("held_out", fold(id_col) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("__stats")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``."""
-    rules = learn(docs, labels)
-    scored = with_statistics(docs, into="__stats").withColumn("__score", rules.score("__stats"))
-    return scored.filter(F.col("__score") >= threshold).drop("__stats", "__score")
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, as they are: columns of any name stay.  Every row is
+    judged by its own whole text, null as empty; an empty table gives an empty one."""
+    rules = learn(docs, labels, id_col=id_col, text_col=text_col)
+    held = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__t"))
+    return with_statistics(held, "__t", "__stats").filter(rules.score("__stats") >= threshold).select("__row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text of ``documents``; see :func:`score`.  Equal texts score alike."""
     scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")

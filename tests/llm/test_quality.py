@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import zlib
 
 import pytest
@@ -48,3 +49,31 @@ def test_statistics_of_odd_texts():
     assert quality.statistics(None) == quality.statistics("") == quality.statistics(" \n") == (0.0,) * len(quality.STATISTICS)
     s = dict(zip(quality.STATISTICS, quality.statistics("AB cd!! | 12.\n")))
     assert s["upper_word_share"] == 0.25 and s["lone_symbol_share"] == 0.25 and s["word_length"] == 2.5 and s["end_mark_share"] == 0.5
+
+
+def test_compiled_rules_are_those_evaluated_by_hand(scored, spark):
+    docs, labels, out = scored
+    rules = quality.learn(docs, labels)
+    assert rules.weights
+    number = {n: i for i, n in enumerate(quality.STATISTICS)}
+    assert len(number) == len(quality.STATISTICS)
+    texts = docs.select("doc_id", "text").limit(200).collect()
+    got = {r["doc_id"]: r["score"] for r in out.select("doc_id", "score").collect()}
+    for r in texts:
+        stats = quality.statistics(r["text"])
+        total = rules.base
+        for weight, tests in rules.weights:
+            if all(stats[i] <= bound if below else stats[i] > bound for i, below, bound in tests):
+                total += weight
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    rows = [(i, t, f"s{i}") for i in range(40) for t in (f"plain words of text number {i} are here.", f"!! {i} ## @@ {i}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __stats string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, two = (quality.learn(docs.repartition(n), labels) for n in (1, 3))
+    assert one.base == pytest.approx(two.base) and [t for _, t in one.weights] == [t for _, t in two.weights]
+    assert [w for w, _ in one.weights] == pytest.approx([w for w, _ in two.weights])
+    kept = quality.keep_good(docs, labels, threshold=0.0)
+    assert kept.columns == docs.columns and kept.count() == len(rows) and kept.filter("__stats is null").count() == 0

@@ -134,3 +134,64 @@ def test_near_copies_without_their_original_are_as_by_all_pairs(spark):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == {find(i) for i in range(len(rows))}
+
+
+def groups(texts):
+    """Brute force: rows by least row reachable over fingerprints of at most three differing bits and over texts that
+    resemble by 0.8 or more; and the pairs of different texts that do."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [fingerprint(t) & (1 << 64) - 1 for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    holders, common = {}, {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for own in holders.values():
+        for a in range(len(own)):
+            for b in range(a):
+                common[own[b], own[a]] = common.get((own[b], own[a]), 0) + 1
+    alike = [(i, j) for (i, j), n in common.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    close = [(j, i) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
+    for i, j in [*alike, *close]:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))], [(i, j) for i, j in alike if sets[i] != sets[j]]
+
+
+def test_recall_on_real_rows(spark):
+    """Of all pairs that resemble by 0.8 or more, at most one in ten stays; and what stays is as by all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    rnd = random.Random(17)
+    for i, text in rnd.sample([r for r in rows if r[1] and 80 < len(r[1].split()) < 2000], 60):
+        for _ in range(2):  # near copies, for the table itself has few
+            words = text.split()
+            for at in rnd.sample(range(len(words)), max(1, len(words) // 60)):
+                words[at] = f"edit{rnd.randint(0, 999)}"
+            rows.append((100_000 + len(rows), " ".join(words)))
+    rows.sort()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    group, alike = groups([t for _, t in rows])
+    kept = {r["doc_id"] for r in one_of_each(docs).select("doc_id").collect()}
+    assert len(alike) > 100
+    missed = sum(rows[i][0] in kept and rows[j][0] in kept for i, j in alike)
+    assert missed <= 0.1 * len(alike)
+    want = {rows[g][0] for g in group}
+    assert len(kept ^ want) <= 0.01 * len(want)
+
+
+def test_rows_with_one_id_and_different_texts_stay(spark):
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(900)]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(120))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "p"), (1, b, "q"), (2, b, "r"), (2, c, "s"), (3, c, "t"), (3, c, "t"), (4, d, "u"), (5, None, "v"), (6, "", "w"), (None, a, "x")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string, other string"))
+    got = sorted(((r["doc_id"], r["text"], r["other"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a, "p"), (1, b, "q"), (2, c, "s"), (4, d, "u"), (5, None, "v"), (None, a, "x")], key=str)
