@@ -169,10 +169,11 @@ def _band_keys(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``i, fp, sig, keys, size`` of each row: id, SimHash fingerprint, signature, hashes of its bands that aren't empty
-    and number of shingles."""
+    """``i, fp, sig, keys, size`` of each row: id, SimHash fingerprint, 15 bits of each bin of the signature (two bins
+    that differ look equal once in 30,000 times, which only has a pair more compared), hashes of its bands that aren't
+    empty, from all bits, and number of shingles."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
+    schema = T.StructType([T.StructField("i", kind), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.ShortType())), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -180,7 +181,8 @@ def _with_signature(docs: DataFrame, id_col: str, text_col: str, words: int) ->
             prints = np.fromiter((fingerprint(t, words) for t in texts), np.int64, len(texts))
             signed = [_signature(t) for t in texts]
             flat = np.concatenate([x for x, _ in signed]) if texts else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(flat))
+            short = np.where(flat == _EMPTY, _EMPTY, flat & 0x7FFF).astype(np.int16)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), pa.array(short))
             hashed, filled = _band_keys(flat)
             ends = np.concatenate([[0], filled.sum(axis=1).cumsum()]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed[filled]))
@@ -282,18 +284,16 @@ def open_pairs(rows: DataFrame, live: DataFrame, labels: DataFrame, block: int =
             if not len(xs) or not len(ys):
                 continue
             sig = np.stack(_lists(group.column("sig")))
-            hashed, _ = _band_keys(sig.ravel())
-            emitted = np.stack([np.isin(h, mine) for h, mine in zip(hashed, _lists(group.column("own")))])
+            own = _lists(group.column("own"))
             found_x, found_y = [], []
             for x in xs:
                 other = ys[(label[ys] != label[x]) & ((ys > x) | (p[0] != q[0]))]
                 equal = ((sig[other] == sig[x]) & (sig[x] != _EMPTY)).sum(axis=1)
                 filled = ((sig[other] != _EMPTY) | (sig[x] != _EMPTY)).sum(axis=1)
                 other = other[equal >= MAYBE * filled]
+                # a pair that meets by several bands is told at the least of these
+                other = np.array([y for y in other if np.intersect1d(own[x], own[y]).min() == key[0]], np.int64)
                 if len(other):
-                    # a pair that meets by several bands is told where it meets first
-                    both = (hashed[other] == hashed[x]) & emitted[other] & emitted[x]
-                    other = other[hashed[x][both.argmax(axis=1)] == key[0]]
                     found_x.append(np.full(len(other), x))
                     found_y.append(other)
             if found_x:
