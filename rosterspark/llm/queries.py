@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op6_byte_bpe
+from .divergence import ORACLE as DIVERGENCE
+from .divergence import op11_divergence
 from .html_extract import op1_html
 from .lm import op5_lm
 from .media import op10_media
@@ -26,8 +28,9 @@ QUERIES = {
         op8_packing,
         op9_fingerprints,
         op10_media,
+        op11_divergence,
     )
 }
 
-#: None of them can be said in SQL alone: they need XXH64, CRC-32, tokenizers or iteration.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be said in SQL alone: they need XXH64, CRC-32, tokenizers or iteration.
+ORACLE_SQL: dict[str, str] = {"op11_divergence": DIVERGENCE}
