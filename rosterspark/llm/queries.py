@@ -10,6 +10,7 @@ from .lm import op5_lm
 from .media import op10_media
 from .packing import op8_packing
 from .quality import op2_quality
+from .repetition import op12_repetition
 from .secrets import op7_secrets
 from .sharding import op4_sharding
 from .simhash import op3_simhash
@@ -29,6 +30,7 @@ QUERIES = {
         op9_fingerprints,
         op10_media,
         op11_divergence,
+        op12_repetition,
     )
 }
 
