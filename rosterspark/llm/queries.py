@@ -15,6 +15,7 @@ from .secrets import op7_secrets
 from .sharding import op4_sharding
 from .simhash import op3_simhash
 from .sketches import op9_fingerprints
+from .spelling import op13_spelling
 
 QUERIES = {
     f.__name__: f
@@ -31,6 +32,7 @@ QUERIES = {
         op10_media,
         op11_divergence,
         op12_repetition,
+        op13_spelling,
     )
 }
 
