@@ -5,6 +5,8 @@ strings explains better than one of ordinary words and identifiers, by the log-l
 models and the ratio from which a token counts are fitted on labelled samples: values that the fixed patterns find are
 random, all other tokens of the sampled documents (each different one once) are ordinary.  Random strings are also
 uniform within letters of one case, digits and signs, so that kinds of keys the sample does not hold are known too.
+Ordinary tokens are the same word in any case: their characters are modelled without it, and apart from them how they
+are written (in one case, with a capital in front, mixed), so a word in capitals is as ordinary as its small letters.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ DISTINCT = 5
 #: tokens are held out, how far the threshold lies above the ordinary ones (nats a character).
 AS_GOOD, MARGIN = 0.0005, 1.5
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Small letters only (or none), capitals only, one capital in front, mixed.
+WRITINGS = ("small", "large", "title", "mixed")
 
 
 def _spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 1, hint: str | None = None) -> Column:
@@ -71,34 +75,72 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {name: _spans(text, pattern, n, group, least, HINTS[name]) for n, (name, pattern, group, least) in enumerate(KINDS)}
 
 
+def writing(token: Column) -> Column:
+    """How a token is written: its place in WRITINGS."""
+    small, large = token.rlike("[a-z]"), token.rlike("[A-Z]")
+    return F.when(~large, 0).when(~small, 1).when(token.rlike("^[^A-Za-z]*[A-Z][^A-Z]*$"), 2).otherwise(3)
+
+
 def _bigrams(tokens: DataFrame, column: str) -> DataFrame:
-    """How often each two characters of the alphabet follow each other, tokens weighed by ``weight``: at most the square
-    of its size rows."""
+    """How often each two characters of the alphabet follow each other in tokens of each writing, tokens weighed by
+    ``weight``: at most the square of its size rows a writing."""
     pairs = F.expr(f"transform(sequence(1, length({column}) - 1), i -> substring({column}, i, 2))")
-    cells = tokens.filter(F.length(column) > 1).select("weight", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("weight").alias("n"))
+    cells = tokens.filter(F.length(column) > 1).select("weight", writing(F.col(column)).alias("w"), F.explode(pairs).alias("pair")).groupBy("w", "pair").agg(F.sum("weight").alias("n"))
     return cells.filter(F.col("pair").rlike(r"^[A-Za-z0-9+/_.-]{2}$"))
 
 
 class Model(NamedTuple):
-    """``ratios``: log-likelihood ratio of each two characters, by their codes; ``least``: the ratio a character from
-    which a token counts as random."""
+    """``ratios``: log-likelihood ratio of each two characters, by their codes, for tokens of one case or with a capital in
+    front; ``mixed``: for all others, where an ordinary token also pays for each change of case; ``written``: what an
+    ordinary token pays for each writing; ``least``: the ratio a character from which a token counts as random."""
 
     ratios: list[float]
+    mixed: list[float]
+    written: list[float]
     least: float
 
 
-def _logs(counts: dict[str, float]) -> dict[str, float]:
+def _logs(counts: dict[str, float], alphabet: str = ALPHABET) -> dict[str, float]:
     """Log probability of each second character after the first: counts raised by PRIOR times how often the second one
     occurs at all, so that a character which never occurs is unlikely after any."""
-    ends = {b: sum(counts.get(a + b, 0) for a in ALPHABET) + RARE for b in ALPHABET}
+    ends = {b: sum(counts.get(a + b, 0) for a in alphabet) + RARE for b in alphabet}
     all_ = sum(ends.values())
     out = {}
-    for a in ALPHABET:
-        row = [counts.get(a + b, 0) + PRIOR * ends[b] / all_ for b in ALPHABET]
-        out.update({a + b: math.log(n / sum(row)) for b, n in zip(ALPHABET, row)})
+    for a in alphabet:
+        row = [counts.get(a + b, 0) + PRIOR * ends[b] / all_ for b in alphabet]
+        out.update({a + b: math.log(n / sum(row)) for b, n in zip(alphabet, row)})
+    return out
+
+
+def _without_case(counts: dict[tuple[int, str], float]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for (_, pair), n in counts.items():
+        out[pair.lower()] = out.get(pair.lower(), 0.0) + n
     return out
 
 
+def _case_steps(counts: dict[tuple[int, str], float]) -> dict[str, float]:
+    """Log probability that a letter is large or small (U, L) after one that is, in ordinary tokens of mixed case."""
+    seen = {a + b: 1.0 for a in "UL" for b in "UL"}
+    for (w, pair), n in counts.items():
+        if w == 3 and pair.isalpha():
+            seen["".join("U" if c.isupper() else "L" for c in pair)] += n
+    return {k: math.log(n / (seen[k[0] + "U"] + seen[k[0] + "L"])) for k, n in seen.items()}
+
+
+def _tables(random: dict[str, float], counts: dict[tuple[int, str], float], written: dict[int, float]) -> tuple[list[float], list[float], list[float]]:
+    """The two tables of ratios, and what each writing costs."""
+    ordinary, steps = _logs(_without_case(counts), "".join(CLASSES[1:])), _case_steps(counts)
+    plain, mixed = [0.0] * (SIZE * SIZE), [0.0] * (SIZE * SIZE)
+    for pair, value in random.items():
+        at = (ord(pair[0]) - FIRST) * SIZE + ord(pair[1]) - FIRST
+        ratio = value - ordinary[pair.lower()]
+        case = steps["".join("U" if c.isupper() else "L" for c in pair)] if pair.isalpha() else 0.0
+        plain[at], mixed[at] = round(ratio, 4), round(ratio - case, 4)
+    every = sum(written.values()) + len(WRITINGS)
+    return plain, mixed, [round(-math.log((written.get(w, 0.0) + 1) / every), 4) for w in range(len(WRITINGS))]
+
+
 def _random_logs(counts: dict[str, float]) -> dict[str, float]:
     """Half what the sample has, half uniform within the second character's class, classes following each other as the
     sample's do."""
@@ -138,14 +180,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """Both models from the labelled tokens of ``sample`` documents, and the threshold that suits the tokens
     held out.  Only counts of two characters and of ratios in hundredths reach the driver."""
     tokens = sampled(docs, id_col, text_col, sample)
-    of = lambda kind: {r["pair"]: r["n"] for r in _bigrams(tokens.filter((F.col("random") == kind) & ~F.col("held")), "v").collect()}
-    random, ordinary = _random_logs(of(True)), _logs(of(False))
-    ratios = [0.0] * (SIZE * SIZE)
-    for pair, value in random.items():
-        ratios[(ord(pair[0]) - FIRST) * SIZE + ord(pair[1]) - FIRST] = round(value - ordinary[pair], 4)
+    of = lambda kind: {(r["w"], r["pair"]): r["n"] for r in _bigrams(tokens.filter((F.col("random") == kind) & ~F.col("held")), "v").collect()}
+    keys: dict[str, float] = {}
+    for (_, pair), n in of(True).items():
+        keys[pair] = keys.get(pair, 0.0) + n
+    plain = tokens.filter(~F.col("random") & ~F.col("held") & F.col("v").rlike("[A-Za-z]"))
+    written = {r["w"]: r["n"] for r in plain.groupBy(writing(F.col("v")).alias("w")).agg(F.sum("weight").alias("n")).collect()}
+    model = Model(*_tables(_random_logs(keys), of(False), written), 0.0)
     held = tokens.filter(F.col("held") & F.col("v").rlike(r"^(?=.*[A-Za-z])[A-Za-z0-9+/_.-]{8,}$"))
-    steps = held.select("random", "weight", F.ceil(likelihood_ratio(F.col("v"), ratios) * 100).alias("r")).groupBy("random", "r").agg(F.sum("weight").alias("n")).collect()
-    return Model(ratios, threshold({(r["random"], r["r"]): float(r["n"]) for r in steps}))
+    steps = held.select("random", "weight", F.ceil(likelihood_ratio(F.col("v"), model) * 100).alias("r")).groupBy("random", "r").agg(F.sum("weight").alias("n")).collect()
+    return model._replace(least=threshold({(r["random"], r["r"]): float(r["n"]) for r in steps}))
 
 
 def threshold(weights: dict[tuple[bool, int], float]) -> float:
@@ -165,14 +209,17 @@ def threshold(weights: dict[tuple[bool, int], float]) -> float:
     return (good[0] + good[-1]) / 200
 
 
-def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
-    """Log-likelihood ratio of the token's neighbouring characters, a character; trailing ``=`` is no part of it."""
-    known = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+def likelihood_ratio(token: Column, model: Model) -> Column:
+    """Log-likelihood ratio of the token's neighbouring characters, and of how it is written, a character; trailing ``=``
+    is no part of it."""
     bare = F.rtrim(token, F.lit("="))
     code = lambda i: F.ascii(F.substring(bare, i, F.lit(1))) - FIRST
     steps = F.sequence(F.lit(1), F.length(bare) - 1)
-    total = F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(known, code(i) * SIZE + code(i + 1)))
-    return total / (F.length(bare) - 1)
+    listed = lambda values: F.from_json(F.lit(json.dumps(values)), "array<double>")
+    total = lambda values: F.aggregate(steps, F.lit(0.0), lambda s, i: s + F.get(listed(values), code(i) * SIZE + code(i + 1)))
+    way = writing(bare)
+    sums = F.when(way == 3, total(model.mixed)).otherwise(total(model.ratios))
+    return (sums + F.get(listed(model.written), way)) / (F.length(bare) - 1)
 
 
 def with_spans(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
@@ -188,7 +235,7 @@ def with_spans(docs: DataFrame, model: Model, text_col: str = "text", prefix: st
     tokens = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)))
     # numbers, and few characters that repeat, as in a ruler, are no keys
     many = lambda t: t.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(t, ""))) >= DISTINCT)
-    seen = base.withColumn(random, F.filter(tokens, lambda t: (likelihood_ratio(t, model.ratios) >= model.least) & many(t)))
+    seen = base.withColumn(random, F.filter(tokens, lambda t: (likelihood_ratio(t, model) >= model.least) & many(t)))
 
     def new(s: Column) -> Column:
         within = [F.exists(F.col(name), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])) for name in names]

@@ -5,6 +5,8 @@ import random
 import re
 import string
 
+import pytest
+
 from rosterspark.llm import secrets
 
 PATTERNS = [
@@ -56,7 +58,10 @@ def test_random_strings_are_told_from_identifiers(spark):
 
 def ratio(token, model):
     bare = token.rstrip("=")
-    return sum(model.ratios[(ord(a) - 43) * 80 + ord(b) - 43] for a, b in zip(bare, bare[1:])) / (len(bare) - 1)
+    letters = re.sub("[^A-Za-z]", "", bare)
+    way = 0 if not re.search("[A-Z]", bare) else 1 if not re.search("[a-z]", bare) else 2 if re.fullmatch("[A-Z][a-z]+", letters) else 3
+    steps = model.mixed if way == 3 else model.ratios
+    return (sum(steps[(ord(a) - 43) * 80 + ord(b) - 43] for a, b in zip(bare, bare[1:])) + model.written[way]) / (len(bare) - 1)
 
 
 def test_planted_keys_are_found_and_identifiers_left(spark):
@@ -100,6 +105,31 @@ def test_planted_keys_are_found_and_identifiers_left(spark):
     assert right >= 0.9 * len(planted) and right >= 0.9 * (right + wrong)
 
 
+def test_words_in_capitals_are_ordinary_with_and_without_random_samples(spark):
+    rnd = random.Random(21)
+    parts = "an er ion tre mont sol bel ique ou lly eau nd the ing ress".split()
+    word = lambda: "".join(rnd.choices(parts, k=rnd.randint(2, 5)))
+    words = [word() for _ in range(300)]
+    cased = [str, str, str, str.title]
+    rows = [(i, " ".join(rnd.choice(cased)(rnd.choice(words)) for _ in range(150))) for i in range(200)]
+    rows += [(1000 + i, " ".join(f"{word().upper()}!!" for _ in range(60))) for i in range(20)]
+    keys = [(2000 + i, "x password = " + "".join(rnd.choices(string.ascii_letters + string.digits, k=20))) for i in range(60)]
+    for some in (rows, rows + keys):
+        got = secrets.find_secrets(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert not [r for r in got if "random" in r["spans"]]
+    found = secrets.find_secrets(spark.createDataFrame([*rows, *keys, (1, "see QWZKXJVBPTRLMXZQ9K7W and qW8zKx1JvB2pTr")], "doc_id long, text string"))
+    assert found.filter("doc_id = 1 AND spans LIKE '%random:4:24%random:29:43%'").count() == 1
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_given_documents_hold_no_other_keys(spark, folder):
+    """Of the documents' tokens beside fixed spans all are words, in whatever case: none is a key."""
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    found = secrets.find_secrets(docs).filter("spans LIKE '%random%'").join(docs, "doc_id").collect()
+    spans = [r["text"][int(a) : int(b)] for r in found for k, a, b in (x.split(":") for x in r["spans"].split(",")) if k == "random"]
+    assert spans == []
+
+
 def test_a_key_around_a_fixed_span_is_found_whole(spark):
     key = "Zq7" + "0123456789abcdef" * 2 + "XkPw9TqLmB"
     rnd = random.Random(3)
