@@ -4,30 +4,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterspark.functions import calendar
 from rosterspark.functions.dims import control, presidents
 from rosterspark.functions.text import first_year
 
+from .ordered import ROWS, known, scanned
 
-def asof_best(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: Column, rank: list[Column], columns: dict[str, str]) -> DataFrame:
+
+def _joined_back(left: DataFrame, found: DataFrame, keys: list[str], time: str, columns: list[str]) -> DataFrame:
+    """``left`` with ``columns`` of ``found``, which has a row for each of its (keys, time).  Rows whose key or time is null
+    match nothing and are dealt out by number, so that they don't meet."""
+    alone = F.when(known([*keys, time]), 0).otherwise(1 + F.monotonically_increasing_id() % 4096)
+    # 0 for all, but no constant, which the join would not be dealt by
+    there = found.withColumn("__alone", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    return left.withColumn("__alone", alone).join(there, [*keys, time, "__alone"], "left").select(*left.columns, *columns)
+
+
+def _every(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    return left.select(*keys).unionAll(right.select(*keys))
+
+
+def asof_best(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: Column, rank: list[Column], columns: dict[str, str], rows_each: int = ROWS) -> DataFrame:
     """``left`` with ``columns`` (old name to new) of a row of ``right``: of those with equal ``keys`` and ``right_time``
     up to ``left_time`` the least by ``rank`` (columns of ``right``).  Null keys and times match nothing, no row of
     ``left`` is lost, and rows of equal rank are told apart by their values.
 
     No pairs are made: both sides are put in one order by time within the key, the least so far is carried on, and a
-    key costs its number of rows.  Of ``left`` only the different (keys, time) take part, of ``right`` only the best
-    of each (keys, time), combined before the shuffle; rows without a key never meet."""
+    key costs its number of rows, in ranges of time where it has over ``rows_each``.  Of ``left`` only the different
+    (keys, time) take part, of ``right`` only the best of each (keys, time), combined before the shuffle; what is found
+    is joined back by (keys, time)."""
     value = F.struct(*[r.alias(f"r{i}") for i, r in enumerate(rank)], *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
-    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-    best = right.filter(known & right_time.isNotNull()).groupBy(*keys, right_time.alias("__t")).agg(F.min(value).alias("__v"))
-    stamps = left.filter(known & F.col(left_time).isNotNull()).select(*keys, F.col(left_time).alias("__t")).distinct()
+    best = right.filter(known(keys) & right_time.isNotNull()).groupBy(*keys, right_time.alias("__t")).agg(F.min(value).alias("__v"))
+    stamps = left.filter(known([*keys, left_time])).select(*keys, F.col(left_time).alias("__t")).distinct()
     every = best.withColumn("__asked", F.lit(False)).unionByName(stamps.withColumns({"__v": F.lit(None).cast(best.schema["__v"].dataType), "__asked": F.lit(True)}))
-    over = Window.partitionBy(*keys).orderBy("__t", "__asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = every.withColumn("__best", F.min("__v").over(over)).filter("__asked").select(*keys, F.col("__t").alias(left_time), *[F.col(f"__best.v{i}").alias(new) for i, new in enumerate(columns.values())])
-    return left.join(found, [*keys, left_time], "left").select(*left.columns, *columns.values())
+    carried = scanned(every, keys, [F.col("__t"), F.col("__asked")], least={"__best": F.col("__v")}, rows_each=rows_each, rows_of=_every(left, right, keys))
+    found = carried.filter("__asked").select(*keys, F.col("__t").alias(left_time), *[F.col(f"__best.v{i}").alias(new) for i, new in enumerate(columns.values())])
+    return _joined_back(left, found, keys, left_time, list(columns.values()))
 
 
 def _descending(c: Column) -> list[Column]:
@@ -138,18 +153,15 @@ def priority_merge(tables: list[DataFrame], key: str) -> DataFrame:
     return merged.unionByName(every.filter(F.col(key).isNull()).select(key, *columns))
 
 
-
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: str, columns: dict[str, str], strict: bool = False) -> DataFrame:
-    """``left`` with ``columns`` (old name to new) of the last row of ``right`` (by ``right_time``, then ``tie``) with
-    equal ``keys`` up to ``left_time`` (before it if ``strict``).  No pairs are made: both sides are put in one order
-    within the key and the last row of ``right`` is carried on, so a key costs its number of rows.  Rows of ``left``
-    without a key or time go by the side of the window: however many there are, none of them meet."""
-    value = F.struct(*[F.col(c).alias(n) for c, n in columns.items()])
-    kinds = right.select(value.alias("v")).schema["v"].dataType
-    a = left.select(*keys, F.col(left_time).alias("__t"), F.lit(0 if strict else 2).alias("__side"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.lit(None).cast(kinds).alias("__v"), F.struct(*left.columns).alias("__row"))
-    b = right.filter(F.col(right_time).isNotNull()).select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__side"), F.col(tie).alias("__tie"), value.alias("__v"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
-    over = Window.partitionBy(*keys).orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in [*keys, "__t"]))
-    carried = a.filter(known).unionByName(b.filter(known)).withColumn("__last", F.last("__v", ignorenulls=True).over(over)).filter("__row is not null")
-    rest = a.filter(~known).withColumn("__last", F.col("__v"))
-    return carried.unionByName(rest).select("__row.*", "__last.*")
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tie: str, columns: dict[str, str], strict: bool = False, rows_each: int = ROWS) -> DataFrame:
+    """``left`` with ``columns`` (old name to new) of the last row of ``right`` (by ``right_time``, then ``tie``, then these
+    columns) with equal ``keys`` up to ``left_time`` (before it if ``strict``).  As :func:`asof_best`, but the last row is
+    carried on and not the least."""
+    value = F.struct(F.col(f"`{tie}`").alias("r"), *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(columns)])
+    best = right.filter(known([*keys, right_time])).groupBy(*keys, F.col(right_time).alias("__t")).agg(F.max(value).alias("__v"))
+    stamps = left.filter(known([*keys, left_time])).select(*keys, F.col(left_time).alias("__t")).distinct()
+    asked = stamps.withColumns({"__v": F.lit(None).cast(best.schema["__v"].dataType), "__side": F.lit(0 if strict else 2)})
+    every = best.withColumn("__side", F.lit(1)).unionByName(asked)
+    carried = scanned(every, keys, [F.col("__t"), F.col("__side")], last={"__last": F.col("__v")}, rows_each=rows_each, rows_of=_every(left, right, keys))
+    found = carried.filter("__side != 1").select(*keys, F.col("__t").alias(left_time), *[F.col(f"__last.v{i}").alias(new) for i, new in enumerate(columns.values())])
+    return _joined_back(left, found, keys, left_time, list(columns.values()))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ROWS, scanned
+
 
 def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by ``order`` (give an order without ties); null keys are a key."""
@@ -15,13 +17,27 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 
 
 def latest_payloads(df: DataFrame, payload: str) -> DataFrame:
-    """The newest retrieval of each payload and request (an unknown date counts as newest)."""
-    return keep_latest(df, [payload, "request"], [F.col("retrieval_date").desc_nulls_first()])
+    """The newest retrieval of each payload and request (an unknown date counts as newest); of one date the first by all
+    columns."""
+    return keep_latest(df, [payload, "request"], [F.col("retrieval_date").desc_nulls_first(), *_rest(df, payload, "request", "retrieval_date")])
+
+
+def _rest(df: DataFrame, *but: str) -> list[Column]:
+    """All other columns, to order rows that are equal so far."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in but]
 
 
 def duplicate_report(df: DataFrame, keys: list[str], order: list[Column], most: int = 20) -> DataFrame:
-    """Rows after the first of each key, sorted, at most ``most``."""
-    numbered = df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Rows after the first of each key, sorted by key, ``order`` and all columns, at most ``most``; null keys are a key.
+
+    Keys that repeat are counted, and the first ``most`` of them are enough.  Of their rows the first ``2 most + 1`` in
+    order hold at least ``most`` that are not the first of their key: each task keeps so many, and no key meets in one."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").orderBy(*keys).limit(most).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+    own = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
+    rows = df.join(F.broadcast(again), own, "left_semi")  # at most `most` keys
+    order = [*order, *_rest(df, *keys)]
+    head = rows.orderBy(*keys, *order).limit(2 * most + 1)
+    numbered = head.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return numbered.filter("__n > 1").orderBy(*keys, "__n").limit(most).drop("__n")
 
 
@@ -30,34 +46,37 @@ def dedupe_history(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def latest_report_per_seat(df: DataFrame, seat: str = "seat_id") -> DataFrame:
-    """The row of the newest report (``source_year, source_month``) of each seat; a month that is none comes last."""
+    """The row of the newest report (``source_year, source_month``) of each seat; a month that is none comes last.  Of one
+    month the first by all columns."""
     sound = F.col("source_month").between(1, 12) & F.col("source_year").isNotNull()
-    return keep_latest(df, [seat], [F.when(sound, F.col("source_year") * 12 + F.col("source_month")).desc_nulls_last()])
+    return keep_latest(df, [seat], [F.when(sound, F.col("source_year") * 12 + F.col("source_month")).desc_nulls_last(), *_rest(df, seat)])
 
 
-def seat_timeline(service: DataFrame, seat: str = "seat_id", strip_succession: bool = False) -> DataFrame:
+def seat_timeline(service: DataFrame, seat: str = "seat_id", strip_succession: bool = False, rows_each: int = ROWS) -> DataFrame:
     """``service`` with ``vacancy_date``: the termination, or the successor's commission where that comes first.
 
     Rows of a seat are ordered by commission (unknown last).  With ``strip_succession`` seats are told apart without
-    the last two digits of their id.  Rows without a seat have no successor."""
+    the last two digits of their id.  Rows without a seat have no successor and don't meet; a seat of over ``rows_each``
+    rows is scanned in ranges."""
     missing = [c for c in (seat, "commission_date", "termination_date") if c not in service.columns]
     if missing:
         raise ValueError(f"no such columns: {missing}")
     key = F.regexp_replace(F.col(seat).cast("string"), r"\d{2}$", "") if strip_succession else F.col(seat)
-    over = Window.partitionBy("__seat").orderBy(F.col("commission_date").asc_nulls_last(), *[c for c in service.columns if c not in (seat, "commission_date")])
-    following = F.when(F.col("__seat").isNotNull(), F.lead("commission_date").over(over))
+    order = [F.col("commission_date").isNull(), F.col("commission_date"), *_rest(service, seat, "commission_date")]
+    rows = scanned(service.withColumn("__seat", key), ["__seat"], order, after={"__next": F.col("commission_date")}, rows_each=rows_each)
     vacancy = F.when(F.col("termination_date") > F.col("__next"), F.col("__next")).otherwise(F.col("termination_date"))
-    return service.withColumn("__seat", key).withColumn("__next", following).withColumn("vacancy_date", vacancy).drop("__seat", "__next")
+    return rows.withColumn("vacancy_date", vacancy).drop("__seat", "__next")
 
 
 def predecessors(timeline: DataFrame) -> DataFrame:
     return timeline.filter("vacancy_date is not null").select("seat_id", F.col("nid").alias("predecessor_nid"), "vacancy_date")
 
 
-def succession(service: DataFrame, seat: str, start: str, end: str, tie: list[str], overlap: int = -30, gap: int = 1460) -> DataFrame:
-    """Days between the previous row's end and this one's start within a seat, and whether that is an overlap or gap."""
-    over = Window.partitionBy(seat).orderBy(start, *tie)
-    out = service.withColumn("gap_days", F.datediff(F.col(start), F.lag(end).over(over)))
+def succession(service: DataFrame, seat: str, start: str, end: str, tie: list[str], overlap: int = -30, gap: int = 1460, rows_each: int = ROWS) -> DataFrame:
+    """Days between the previous row's end and this one's start within a seat, and whether that is an overlap or gap.  The
+    first of a seat and rows without a seat have no such days and are regular."""
+    rows = scanned(service, [seat], [F.col(start), *[F.col(c) for c in tie]], before={"__end": F.col(end)}, rows_each=rows_each)
+    out = rows.withColumn("gap_days", F.datediff(F.col(start), F.col("__end"))).drop("__end")
     return out.withColumn("succession", F.when(F.col("gap_days") < overlap, "overlap").when(F.col("gap_days") > gap, "gap").otherwise("regular"))
 
 

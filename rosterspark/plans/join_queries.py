@@ -15,44 +15,53 @@ _CTRL = "ctrl(s, e, house, senate) AS (VALUES " + ", ".join(f"(DATE '{a}', DATE
 _DIMS = f"WITH {_PRES}, {_CTRL} "
 
 
+#: Customers of whom some are unknown and one has very many orders.
+_KEY = "CASE WHEN o_custkey % 11 = 1 THEN NULL WHEN o_custkey % 7 = 0 THEN 7 ELSE o_custkey END"
+_DATED = f"SELECT o_orderkey, {_KEY} AS o_custkey, CAST(o_orderdate AS DATE) AS order_date FROM {{orders}}"
+
+
+def _dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_DATED, orders=table(spark, sf_dir, "orders"))
+
+
 @query(
-    """SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS order_date, prev_orderkey, prev_date FROM orders o LEFT JOIN LATERAL (
-    SELECT p.o_orderkey AS prev_orderkey, CAST(p.o_orderdate AS DATE) AS prev_date FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderdate < o.o_orderdate
-    ORDER BY p.o_orderdate DESC, p.o_orderkey DESC LIMIT 1) x ON true"""
+    f"""WITH o AS ({_DATED.format(orders='orders')}), d AS (SELECT DISTINCT o_custkey, order_date FROM o WHERE o_custkey IS NOT NULL),
+    b AS (SELECT d.o_custkey, d.order_date, max(struct_pack(a := p.order_date, b := p.o_orderkey)) AS m FROM d JOIN o p ON p.o_custkey = d.o_custkey AND p.order_date < d.order_date GROUP BY 1, 2)
+    SELECT o.o_orderkey, o.o_custkey, o.order_date, m.b AS prev_orderkey, m.a AS prev_date FROM o LEFT JOIN b ON o.o_custkey = b.o_custkey AND o.order_date = b.order_date"""
 )
 def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order with the customer's latest order before it."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
+    orders = _dated(spark, sf_dir)
     return joins.asof_backward(orders, orders, ["o_custkey"], "order_date", "order_date", "o_orderkey", {"o_orderkey": "prev_orderkey", "order_date": "prev_date"}, strict=True)
 
 
 @query(
-    """WITH x AS (SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS ship_date, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+    f"""WITH o AS ({_DATED.format(orders='orders')}), x AS (SELECT l.l_orderkey, l.l_linenumber, CAST(l.l_shipdate AS DATE) AS ship_date, o.o_custkey FROM lineitem l JOIN o ON l.l_orderkey = o.o_orderkey),
     d AS (SELECT DISTINCT o_custkey, ship_date FROM x),
-    b AS (SELECT d.o_custkey, d.ship_date, max(struct_pack(a := CAST(o.o_orderdate AS DATE), b := o.o_orderkey)) AS m FROM d JOIN orders o ON o.o_custkey = d.o_custkey AND CAST(o.o_orderdate AS DATE) <= d.ship_date GROUP BY 1, 2)
+    b AS (SELECT d.o_custkey, d.ship_date, max(struct_pack(a := o.order_date, b := o.o_orderkey)) AS m FROM d JOIN o ON o.o_custkey = d.o_custkey AND o.order_date <= d.ship_date GROUP BY 1, 2)
     SELECT x.l_orderkey, x.l_linenumber, x.ship_date, m.b AS nearest_orderkey, date_diff('day', m.a, x.ship_date) AS gap_days FROM x LEFT JOIN b USING (o_custkey, ship_date)"""
 )
 def asof_nearest_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each shipment with the customer's order nearest before it."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("order_date"))
+    orders = _dated(spark, sf_dir)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("ship_date"))
     ships = lines.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
     found = joins.asof_backward(ships, orders, ["o_custkey"], "ship_date", "order_date", "o_orderkey", {"o_orderkey": "nearest_orderkey", "order_date": "__d"})
     return found.select("l_orderkey", "l_linenumber", "ship_date", "nearest_orderkey", F.datediff("ship_date", "__d").cast("bigint").alias("gap_days"))
 
 
-_HISTORY = "SELECT o_custkey AS nid, o_orderstatus AS degree, o_orderpriority AS school, year(o_orderdate) AS degree_year, o_orderkey AS sequence, CAST(o_orderdate AS DATE) AS nomination_date, 'Judge, ' || CAST(year(o_orderdate) AS STRING) || '-' AS professional_career FROM {orders}"
+_HISTORY = f"SELECT {_KEY} AS nid, o_orderstatus AS degree, o_orderpriority AS school, year(o_orderdate) AS degree_year, o_orderkey AS sequence, CAST(o_orderdate AS DATE) AS nomination_date, 'Judge, ' || CAST(year(o_orderdate) AS STRING) || '-' AS professional_career FROM {{orders}}"
 
 
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    noms = nominations(spark, sf_dir).select("o_orderkey", F.col("o_custkey").alias("nid"), "receiveddate")
+    noms = nominations(spark, sf_dir).select("o_orderkey", F.expr(_KEY).alias("nid"), "receiveddate")
     return noms, spark.sql(_HISTORY, orders=table(spark, sf_dir, "orders"))
 
 
 def _asof_sql(condition: str, order: str, columns: str) -> str:
     names = ", ".join(columns.split(" AS ")[i].split(",")[0].strip() for i in range(1, len(columns.split(" AS "))))
-    return f"""{WITH}, h AS ({_HISTORY.format(orders='orders')}), best AS (SELECT o_orderkey, {columns} FROM noms JOIN h ON noms.o_custkey = h.nid AND {condition}
-    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY {order}) = 1) SELECT noms.o_orderkey, noms.o_custkey AS nid, receiveddate, {names} FROM noms LEFT JOIN best USING (o_orderkey)"""
+    return f"""{WITH}, n AS (SELECT o_orderkey, {_KEY} AS nid, receiveddate FROM noms), h AS ({_HISTORY.format(orders='orders')}), best AS (SELECT o_orderkey, {columns} FROM n JOIN h ON n.nid = h.nid AND {condition}
+    QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY {order}) = 1) SELECT n.o_orderkey, n.nid, receiveddate, {names} FROM n LEFT JOIN best USING (o_orderkey)"""
 
 
 @query(_asof_sql("h.degree_year <= year(receiveddate)", "h.degree_year DESC, h.sequence DESC", "h.degree AS degree, h.school AS school, h.degree_year AS degree_year, h.sequence AS education_sequence"))

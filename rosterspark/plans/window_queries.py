@@ -12,7 +12,8 @@ from rosterspark.operators import joins, timeline
 from .registry import WITH, nominations, query, table
 
 _PRES = "pres(number, s, e) AS (VALUES " + ", ".join(f"({n}, DATE '{a}', DATE '{b}')" for n, a, b, _, _ in PRESIDENTS) + ")"
-_LINES = "SELECT l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS commission_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS termination_date FROM {lineitem}"
+#: Seats of which some are unknown and one has very many rows.
+_LINES = "SELECT CASE WHEN l_suppkey % 10 = 3 THEN NULL WHEN l_suppkey % 7 = 0 THEN 7 ELSE l_suppkey END AS l_suppkey, l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS commission_date, CAST(l_shipdate AS DATE) + CAST(l_quantity AS INT) AS termination_date FROM {lineitem}"
 _ORDER = "commission_date, l_linenumber, l_orderkey, termination_date"
 
 
@@ -23,7 +24,7 @@ def _service(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TIMELINE = f"""SELECT l_suppkey AS seat_id, l_orderkey AS nid, l_linenumber, commission_date, termination_date,
   CASE WHEN termination_date > nx THEN nx ELSE termination_date END AS vacancy_date
-  FROM (SELECT *, lead(commission_date) OVER (PARTITION BY l_suppkey ORDER BY commission_date, l_orderkey, l_linenumber, termination_date) AS nx FROM ({_LINES.format(lineitem='lineitem')}))"""
+  FROM (SELECT *, CASE WHEN l_suppkey IS NOT NULL THEN lead(commission_date) OVER (PARTITION BY l_suppkey ORDER BY commission_date, l_orderkey, l_linenumber, termination_date) END AS nx FROM ({_LINES.format(lineitem='lineitem')}))"""
 
 
 @query(_TIMELINE)
@@ -39,7 +40,7 @@ def seat_predecessors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT seat_id, nid, l_linenumber, gap_days, CASE WHEN gap_days < -30 THEN 'overlap' WHEN gap_days > 2 THEN 'gap' ELSE 'regular' END AS succession FROM (
-    SELECT l_suppkey AS seat_id, l_orderkey AS nid, l_linenumber, date_diff('day', lag(termination_date) OVER (PARTITION BY l_suppkey ORDER BY commission_date, l_orderkey, l_linenumber), commission_date) AS gap_days FROM ({_LINES.format(lineitem='lineitem')}))"""
+    SELECT l_suppkey AS seat_id, l_orderkey AS nid, l_linenumber, CASE WHEN l_suppkey IS NOT NULL THEN date_diff('day', lag(termination_date) OVER (PARTITION BY l_suppkey ORDER BY commission_date, l_orderkey, l_linenumber), commission_date) END AS gap_days FROM ({_LINES.format(lineitem='lineitem')}))"""
 )
 def succession_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = timeline.succession(_service(spark, sf_dir), "seat_id", "commission_date", "termination_date", ["nid", "l_linenumber"], gap=2)
