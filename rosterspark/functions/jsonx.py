@@ -2,19 +2,84 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Pieces of a literal: an escape, a quote, or what is between.  No piece repeats a group, so a text of any length is cut up
+#: in one pass.
+_PIECE = r"""\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\[0-7]{1,3}|\\[\s\S]|['"]|[^\\'"]+|\\"""
+#: Pieces that are written one after the other before they are put together.
+_TOGETHER = 64
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _between(piece: Column) -> Column:
+    """What is outside of quotes, as JSON has it: round brackets as square ones, no comma before a closing bracket, no mark
+    before a quoted text, and Python's words."""
+    out = F.regexp_replace(F.translate(F.regexp_replace(piece, r"\b[uU]$", ""), "()", "[]"), r",(\s*[\]}])", "$1")
+    for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
+        out = F.regexp_replace(out, rf"\b{word}\b", json)
+    return out
+
+
+def _quoted(piece: Column) -> Column:
+    """What is inside of quotes: escapes that JSON lacks are written as code points, a backslash that escapes nothing stays
+    one, double quotes and tabs are escaped."""
+    code = lambda digits: F.concat(F.lit("\\u"), F.lpad(digits, 4, "0"))
+    rest = F.substring(piece, 2, 9)
+    return (
+        F.when(piece == '"', '\\"')
+        .when(~piece.startswith("\\"), F.replace(piece, F.lit("\t"), F.lit("\\t")))
+        .when(piece == "\\'", "'")
+        .when(piece == "\\\n", "")
+        .when(piece.rlike(r"^\\x.."), code(F.substring(piece, 3, 2)))
+        .when(piece.rlike(r"^\\[0-7]+$"), code(F.conv(rest, 8, 16)))
+        .when(piece == "\\a", "\\u0007")
+        .when(piece == "\\v", "\\u000b")
+        .when(piece.rlike(r'^\\(["\\bfnrt]|u.{4})$'), piece)
+        .otherwise(F.concat(F.lit("\\"), piece))
+    )
+
+
+def from_literal(c: Column) -> Column:
+    """JSON text from a Python literal of objects, lists, tuples, texts in either quotes, numbers, True, False and None.  A
+    scan over pieces that knows in what quotes it is; it costs about as much as the text is long.  What is no literal comes
+    out as no JSON.  A single value in round brackets counts as a list of one."""
+    def cut(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _TOGETHER).cast("int")), lambda i: F.slice(pieces, i * _TOGETHER + 1, _TOGETHER))
+
+    def step(s: Column, piece: Column) -> Column:
+        outside, opens = s["mode"] == "", piece.isin("'", '"')
+        closes = piece == s["mode"]
+        text = F.when(outside & opens | ~outside & closes, '"').when(outside, _between(piece)).otherwise(_quoted(piece))
+        mode = F.when(outside & opens, piece).when(~outside & closes, "").otherwise(s["mode"])
+        return F.struct(mode.alias("mode"), F.concat(s["text"], text).alias("text"))
+
+    def part(s: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(s["mode"].alias("mode"), F.lit("").alias("text")), step)
+        return _let(done, lambda d: F.struct(d["mode"].alias("mode"), F.array_append(s["texts"], d["text"]).alias("texts")))
+
+    start = F.struct(F.lit("").alias("mode"), F.array().cast("array<string>").alias("texts"))
+    read = lambda pieces: F.aggregate(cut(pieces), start, part, lambda s: F.array_join(s["texts"], ""))
+    return F.when(c != "", _let(F.regexp_extract_all(c, F.lit(_PIECE), F.lit(0)), read))
+
+
 def lenient(c: Column) -> Column:
-    """JSON text from text that may be written with single quotes and bare True, False and None: first as it is, then
-    with these words replaced and as single-quoted; an empty object if neither can be read."""
-    words = c
+    """JSON text from text that may be a Python literal: as it is, as :func:`from_literal` reads it, or with all single
+    quotes doubled and Python's words replaced; an empty object if none of these can be read."""
+    blunt = F.replace(c, F.lit("'"), F.lit('"'))
     for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
-        words = F.regexp_replace(words, rf"(?<=[:\[,]\s?){word}(?=\s*[,\]\}}])", json)
-    quoted = F.regexp_replace(words, r"'((?:[^'\\]|\\.)*)'(?=\s*[:,\]\}])", '"$1"')
-    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in (c, words, quoted)], F.lit("{}"))
+        blunt = F.replace(blunt, F.lit(word), F.lit(json))
+    sound = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    return F.coalesce(*[_let(x, sound) for x in (c, from_literal(c), blunt)], F.lit("{}"))
 
 
 def at_path(c: Column, path: str) -> Column:

@@ -231,13 +231,25 @@ def nominee_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonx.nominee_urls(table(spark, sf_dir, "orders").select(doc.alias("nomination")))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract(props, '$.k') AS STRING) END AS k, CASE WHEN event_id % 2 = 1 THEN 'true' END AS flag FROM events""")
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS STRING) END AS k, CASE WHEN event_id % 4 = 1 THEN 'true' END AS flag,
+    CASE WHEN event_id % 4 = 2 THEN 'he said "hi" to ' || event_type END AS said, CASE WHEN event_id % 4 = 2 THEN event_id END AS third,
+    CASE WHEN event_id % 4 = 3 THEN 'it''s {' || event_type || '}, None' END AS odd, CASE WHEN event_id % 4 = 3 THEN 'y\\z' || event_type END AS deep FROM events"""
+)
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict JSON and Python-like text alike."""
+    """Strict JSON and Python-like text alike: quotes within quotes, escapes, tuples, nested."""
     e = table(spark, sf_dir, "events")
-    odd = F.concat(F.lit("{'flag': True, 'other': None, 't': '"), "event_type", F.lit("'}"))
-    j = jsonx.lenient(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(odd))
-    return e.select("event_id", j.alias("j")).select("event_id", F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.flag").alias("flag"))
+    texts = [
+        F.col("props"),
+        F.concat(F.lit("{'flag': True, 'other': None, 't': '"), "event_type", F.lit("'}")),
+        F.concat(F.lit("""{'said': 'he said "hi" to """), "event_type", F.lit("', 'n': (1, 2, "), F.col("event_id").cast("string"), F.lit(")}")),
+        F.concat(F.lit(r"{u'odd': 'it\'s {"), "event_type", F.lit(r"""}, None', 'deep': {'a': [{'b': ("x", 'y\\z"""), "event_type", F.lit("')}, False, ], }}")),
+    ]
+    kind = F.col("event_id") % 4
+    j = jsonx.lenient(F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).when(kind == 2, texts[2]).otherwise(texts[3]))
+    paths = {"k": "$.k", "flag": "$.flag", "said": "$.said", "third": "$.n[2]", "odd": "$.odd", "deep": "$.deep.a[0].b[1]"}
+    found = e.select("event_id", j.alias("j")).select("event_id", *[F.get_json_object("j", path).alias(n) for n, path in paths.items()])
+    return found.withColumn("third", F.col("third").cast("bigint"))
 
 
 @query("SELECT o_orderkey, 1 AS slot, CAST(o_orderdate AS DATE) AS nomination_date FROM orders UNION ALL SELECT o_orderkey, 2, CAST(o_orderdate AS DATE) + 10 FROM orders WHERE o_orderkey % 2 = 0")
