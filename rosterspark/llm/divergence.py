@@ -23,9 +23,10 @@ from .common import slices, table, written
 WHOLE, RAISE = 1_000_000_000, 5
 #: In how many documents of its language a term occurs to be kept, and how many terms of a group are listed.
 LEAST, TERMS = 30, 50
-#: Different (group, term) a task counts before it hands them on; postings of a block on average; rows of accumulators
-#: that are held at a time.
-HELD, POSTINGS, ROWS = 400_000, 500_000, 1024
+#: Different (group, term) a task counts before it hands them on; rows of accumulators that are held at a time.
+HELD, ROWS = 400_000, 1024
+#: Postings of a block on average: as many as its accumulators have places, but within these bounds.
+FEW, MANY = 1 << 15, 1 << 22
 
 UPPER = bytes(range(65, 91))
 #: By bytes of UTF-8: what can't be in a term becomes a blank, A-Z the lower letter, all else stays.
@@ -153,7 +154,8 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     listed = above.withColumn("rank", F.row_number().over(order("term"))).filter(F.col("rank") <= terms)
     of_terms = listed.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value", "rank")
 
-    blocks = max(1, -(-index.count() // POSTINGS))
+    peers = groups.agg(F.max("peers")).first()[0] or 0
+    blocks = max(1, -(-index.count() // min(max(FEW, peers**2), MANY)))
     rows = F.expr(f"sequence(0, int((peers - 1) div {ROWS}))")
     postings = held.select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"), F.explode(rows).alias("rows"), "term", "who", "p")
     everyone = groups.withColumn("rows_", F.explode(rows)).select(F.col("lang").alias("lang_"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block_"), "rows_", F.col("who").alias("peer"), "absent")
