@@ -237,14 +237,14 @@ def near_words(words: DataFrame, sample: int = SAMPLE, cell: int = CELL) -> Data
     """``word, n_near, top, top_n`` of those of ``words`` (``word, n``) that have near words: how many, and the most
     frequent (of equally frequent ones the first in code-point order) with its count.
 
-    The planes by which words of one length are dealt to tasks come from the ``sample`` words of least hash; words of a
-    length that the sample lacks are one cell.  Letters alone place a word: words of equal letter counts share a leaf,
+    The planes by which words of one length are dealt to tasks come from a sample by hash of about ``sample`` words; words
+    of a length that the sample lacks are one cell.  Letters alone place a word: words of equal letter counts share a leaf,
     however many they are, and are compared in parts."""
-    sampled = words.select("word", F.xxhash64("word").alias("h")).orderBy("h", "word").limit(sample)
+    sizes = {r["length"]: r["count"] for r in words.groupBy(F.length("word").alias("length")).count().collect()}
+    parts = -(-sum(sizes.values()) // sample) or 1
     per_length: dict[int, list[str]] = {}
-    for r in sampled.collect():  # `sample` bounds it
+    for r in words.select("word").filter(F.pmod(F.xxhash64("word"), F.lit(parts)) == 0).collect():  # about `sample`
         per_length.setdefault(len(r["word"]), []).append(r["word"])
-    sizes = {r["length"]: r["count"] for r in words.groupBy(F.length("word").alias("length")).count().collect()}
     trees: dict[int, Node] = {}
     for length, some in per_length.items():
         trees[length] = planes(numbers(some).counts, -(-sizes[length] // cell))[0]
