@@ -8,49 +8,74 @@ from pyspark.sql import functions as F
 from rosterspark.functions.names import split_name
 from rosterspark.functions.text import crosswalk_predecessor, or_null, strip
 
+from .ordered import ROWS, scanned
+
 
 def with_split_names(df: DataFrame, column: str) -> DataFrame:
     return df.withColumns(split_name(F.col(column)))
 
 
-def name_candidates(records: DataFrame, persons: DataFrame, record: str, person: str) -> DataFrame:
-    """Pairs with equal, non-empty last and first names (columns ``first, last, mi`` on both sides), and how many
-    persons each record has."""
-    a = records.select(record, "first", "last", F.col("mi").alias("mi")).filter("first != '' and last != ''")
-    b = persons.select(person, "first", "last", F.col("mi").alias("mi_person")).filter("first != '' and last != ''")
-    pairs = a.join(b, ["last", "first"]).select(record, person, "mi", "mi_person").distinct()
-    counts = pairs.groupBy(record).agg(F.count_distinct(person).alias("n_candidates"))
-    return pairs.join(counts, record)
-
+def _named(df: DataFrame) -> DataFrame:
+    """Rows with a first and a last name that are not empty."""
+    return df.filter("first != '' and last != ''")
 
-def by_date(pairs: DataFrame, records: DataFrame, dates: DataFrame, record: str, person: str, date: str, window: int) -> DataFrame:
-    """Of each record's persons the one with a date (long table ``person, nomination_date``) nearest to the record's
-    ``date`` (of a repeated record its first), at most ``window`` days away; of equal ones the least id."""
-    when = records.groupBy(record).agg(F.min(date).alias("__date"))
-    gaps = pairs.select(record, person).join(when, record).join(dates.select(person, "nomination_date"), person)
-    gaps = gaps.withColumn("gap", F.abs(F.datediff("nomination_date", "__date"))).filter(F.col("gap") <= window)
-    best = gaps.groupBy(record).agg(F.min(F.struct("gap", person)).alias("x"))
-    return best.select(record, F.col(f"x.{person}").alias(person))
 
+def name_profile(persons: DataFrame, person: str) -> DataFrame:
+    """``last, first, least, most``: of each name the least and the greatest id of its persons; they are equal for a name
+    of one person."""
+    return _named(persons).groupBy("last", "first").agg(F.min(person).alias("least"), F.max(person).alias("most"))
 
-def by_middle_initial(pairs: DataFrame, record: str, person: str) -> DataFrame:
-    """Of each record's persons the one with the same, known middle initial; of several the least id."""
-    same = pairs.filter("mi != '' and mi = mi_person")
-    return same.groupBy(record).agg(F.min(person).alias(person))
 
-
-def match_by_name_and_date(records: DataFrame, persons: DataFrame, dates: DataFrame, record: str = "citation", person: str = "nid", date: str = "receiveddate", window: int = 730) -> DataFrame:
+def name_candidates(records: DataFrame, persons: DataFrame, record: str, person: str) -> DataFrame:
+    """``record, least, most``: of all persons with a name of the record (columns ``first, last`` on both sides) the least
+    and the greatest id.  A record meets one row for each of its names, however many persons have them."""
+    names = _named(records).select(record, "last", "first").distinct()
+    return names.join(name_profile(persons, person), ["last", "first"]).groupBy(record).agg(F.min("least").alias("least"), F.max("most").alias("most"))
+
+
+def by_date(records: DataFrame, persons: DataFrame, dates: DataFrame, record: str, person: str, date: str, window: int, rows_each: int = ROWS) -> DataFrame:
+    """Of the persons with a name of the record the one with a date (long table ``person, nomination_date``) nearest to the
+    record's ``date`` (of a repeated record its first), at most ``window`` days away; of equal ones the least id.
+
+    Dates of persons and records of one name are put in one order; the last one before and the first one after are
+    carried to each record.  So a name costs its persons' dates and its records, and no pairs are made."""
+    when = _named(records).groupBy(record).agg(F.min(F.col(date).cast("date")).alias("__day"))
+    asked = _named(records).select(record, "last", "first").distinct().join(when.filter("__day IS NOT NULL"), record)
+    known_dates = dates.select(person, F.col("nomination_date").cast("date").alias("__day")).filter("__day IS NOT NULL")
+    own = _named(persons).select(person, "last", "first").distinct().join(known_dates, person)
+    held = own.groupBy("last", "first", "__day").agg(F.min(person).alias("__who"))
+    kind = held.schema["__who"].dataType
+    stamps = asked.select("last", "first", "__day").distinct().withColumns({"__who": F.lit(None).cast(kind), "__asked": F.lit(True)})
+    every = held.withColumn("__asked", F.lit(False)).unionByName(stamps).withColumn("__n", F.unix_date("__day"))
+    one = F.when(F.col("__who").isNotNull(), F.struct("__n", "__who"))
+    names = asked.select("last", "first").unionAll(own.select("last", "first"))
+    both = scanned(every, ["last", "first"], [F.col("__n"), F.col("__asked")], last={"__before": one}, coming={"__after": one}, rows_each=rows_each, rows_of=names)
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__n") - F.col(f"{c}.__n")).alias("gap"), F.col(f"{c}.__who").alias("who")))
+    nearest = both.filter("__asked").select("last", "first", "__day", F.least(gap("__before"), gap("__after")).alias("__x")).filter(F.col("__x.gap") <= window)
+    return asked.join(nearest, ["last", "first", "__day"]).groupBy(record).agg(F.min("__x").alias("x")).select(record, F.col("x.who").alias(person))
+
+
+def by_middle_initial(records: DataFrame, persons: DataFrame, record: str, person: str) -> DataFrame:
+    """Of the persons with a name of the record the one with the same, known middle initial; of several the least id."""
+    columns = ["last", "first", "mi"]
+    held = _named(persons).filter("mi != ''").groupBy(*columns).agg(F.min(person).alias("__who"))
+    asked = _named(records).filter("mi != ''").select(record, *columns).distinct()
+    return asked.join(held, columns).groupBy(record).agg(F.min("__who").alias(person))
+
+
+def match_by_name_and_date(records: DataFrame, persons: DataFrame, dates: DataFrame, record: str = "citation", person: str = "nid", date: str = "receiveddate", window: int = 730, rows_each: int = ROWS) -> DataFrame:
     """``records`` with ``person`` and ``match_confidence``: ``high_unambiguous`` for a single candidate of the name,
     ``high_date_resolved`` for the nearest of several by date, ``medium_mi_resolved`` by middle initial, ``no_match``.
 
-    ``records`` and ``persons`` carry ``first, last, mi``; the first tier that has an answer holds."""
-    pairs = name_candidates(records, persons, record, person)
-    single = pairs.filter("n_candidates = 1").select(record, person)
-    many = pairs.filter("n_candidates > 1")
-    dated = by_date(many, records, dates, record, person, date, window)
-    initial = by_middle_initial(many, record, person)
-    tiers = [(single, 1, "high_unambiguous"), (dated, 2, "high_date_resolved"), (initial, 3, "medium_mi_resolved")]
-    best = first_tier([(t, n, label) for t, n, label in tiers], record, person)
+    ``records`` and ``persons`` carry ``first, last, mi``; the first tier that has an answer holds.  Null ids of persons
+    are no candidates; a record without an id or a name has no match."""
+    persons, ids = persons.filter(F.col(person).isNotNull()), records.filter(F.col(record).isNotNull())
+    found = name_candidates(ids, persons, record, person)
+    single = found.filter("least = most").select(record, F.col("least").alias(person))
+    many = ids.join(found.filter("least != most").select(record), record, "left_semi")
+    dated = by_date(many, persons, dates, record, person, date, window, rows_each)
+    initial = by_middle_initial(many, persons, record, person)
+    best = first_tier([(single, 1, "high_unambiguous"), (dated, 2, "high_date_resolved"), (initial, 3, "medium_mi_resolved")], record, person)
     return records.join(best, record, "left").withColumn("match_confidence", F.coalesce("match_confidence", F.lit("no_match")))
 
 

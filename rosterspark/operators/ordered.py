@@ -49,13 +49,14 @@ def scanned(
     after: dict[str, Column] | None = None,
     least: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
+    coming: dict[str, Column] | None = None,
     rows_each: int = ROWS,
     rows_of: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` with new columns by ``order`` (ascending, nulls first) within ``keys``: ``before`` and ``after`` have a
     value of the previous and of the next row, ``least`` the least value up to and with the row, ``last`` the last one up
-    to it that is not null.  A row with a null key is alone.  Rows that ``order`` does not tell apart come in any order."""
-    before, after, least, last = before or {}, after or {}, least or {}, last or {}
+    to it and ``coming`` the first one from it on that is not null.  A row with a null key is alone.  Rows that ``order`` does not tell apart come in any order."""
+    before, after, least, last, coming = before or {}, after or {}, least or {}, last or {}, coming or {}
     ranged = in_ranges(df, keys, order, rows_each, rows_of)
     one = ranged is None
     rows = df.withColumns({"__place": F.monotonically_increasing_id(), "__range": F.lit(0)}) if one else ranged
@@ -63,9 +64,10 @@ def scanned(
     rows = rows.withColumn("__alone", F.when(known(keys), -1).otherwise(F.col("__place")))
     own = [*keys, "__alone", "__range"]
     by = Window.partitionBy(*own).orderBy(*order, *([] if one else ["__place"]))
-    so_far = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far, from_here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     added = {n: F.lag(c).over(by) for n, c in before.items()} | {n: F.lead(c).over(by) for n, c in after.items()}
     added |= {n: F.min(c).over(so_far) for n, c in least.items()} | {n: F.last(c, ignorenulls=True).over(so_far) for n, c in last.items()}
+    added |= {n: F.first(c, ignorenulls=True).over(from_here) for n, c in coming.items()}
     if one:
         return rows.withColumns(added).drop("__place", "__range", "__alone")
     added |= {"__first": F.lag(F.lit(True)).over(by).isNull(), "__final": F.lead(F.lit(True)).over(by).isNull()}
@@ -74,17 +76,18 @@ def scanned(
     at = F.struct(*order, F.col("__place"))
     ends = [F.max_by(c, at).alias(f"__{n}") for n, c in before.items()] + [F.min_by(c, at).alias(f"__{n}") for n, c in after.items()]
     ends += [F.min(c).alias(f"__{n}") for n, c in least.items()]
-    ends += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__{n}") for n, c in last.items()]
+    ends += [F.max_by(c, F.when(c.isNotNull(), at)).alias(f"__{n}") for n, c in last.items()] + [F.min_by(c, F.when(c.isNotNull(), at)).alias(f"__{n}") for n, c in coming.items()]
     sums = rows.filter(F.col("__range") > 0).groupBy(*keys, "__range").agg(*ends)
     # as many rows as there are ranges
     along = Window.partitionBy(*keys).orderBy("__range")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    earlier, later = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
     carried = {f"__{n}": F.lag(f"__{n}").over(along) for n in before} | {f"__{n}": F.lead(f"__{n}").over(along) for n in after}
     carried |= {f"__{n}": F.min(f"__{n}").over(earlier) for n in least} | {f"__{n}": F.last(f"__{n}", ignorenulls=True).over(earlier) for n in last}
+    carried |= {f"__{n}": F.first(f"__{n}", ignorenulls=True).over(later) for n in coming}
     carry = sums.withColumns(carried)
     both = local.join(carry, [*keys, "__range"], "left")
     mended = {n: F.when(F.col("__first"), F.col(f"__{n}")).otherwise(F.col(n)) for n in before}
     mended |= {n: F.when(F.col("__final"), F.col(f"__{n}")).otherwise(F.col(n)) for n in after}
     smaller = lambda a, b: F.when(a.isNull() | (b < a), b).otherwise(a)
-    mended |= {n: smaller(F.col(n), F.col(f"__{n}")) for n in least} | {n: F.coalesce(n, f"__{n}") for n in last}
-    return both.withColumns(mended).select(*df.columns, *before, *after, *least, *last)
+    mended |= {n: smaller(F.col(n), F.col(f"__{n}")) for n in least} | {n: F.coalesce(n, f"__{n}") for n in [*last, *coming]}
+    return both.withColumns(mended).select(*df.columns, *before, *after, *least, *last, *coming)

@@ -21,7 +21,7 @@ def rows_of(rnd, n=600):
 
 
 def scan(rows, order):
-    """Row, previous, next, least so far, last so far for each row with a key, in order; others alone."""
+    """Row, previous, next, least so far, last so far, first to come for each row with a key, in order; others alone."""
     out = []
     for k in {r[1] for r in rows}:
         own = sorted((r for r in rows if r[1] == k), key=order)
@@ -31,7 +31,8 @@ def scan(rows, order):
                 v = r[3]
                 least = v if least is None or (v is not None and v < least) else least
                 last = v if v is not None else last
-                out.append((*r, one[i - 1][3] if i else None, one[i + 1][3] if i + 1 < len(one) else None, least, last))
+                coming = next((x[3] for x in one[i:] if x[3] is not None), None)
+                out.append((*r, one[i - 1][3] if i else None, one[i + 1][3] if i + 1 < len(one) else None, least, last, coming))
     return sorted(out, key=repr)
 
 
@@ -40,8 +41,8 @@ def test_scans(spark, each):
     rows = rows_of(random.Random(each))
     df = spark.createDataFrame(rows, "id int, k string, t int, v int").repartition(5)
     v = F.col("v")
-    got = ordered.scanned(df, ["k"], [F.col("t"), F.col("id")], {"prev": v}, {"next": v}, {"least": v}, {"last": v}, rows_each=each)
-    assert got.columns == ["id", "k", "t", "v", "prev", "next", "least", "last"]
+    got = ordered.scanned(df, ["k"], [F.col("t"), F.col("id")], {"prev": v}, {"next": v}, {"least": v}, {"last": v}, {"coming": v}, rows_each=each)
+    assert got.columns == ["id", "k", "t", "v", "prev", "next", "least", "last", "coming"]
     assert sorted(map(tuple, got.collect()), key=repr) == scan(rows, lambda r: (r[2] is not None, r[2] or 0, r[0]))
 
 
