@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rosterspark.sources.tables import settle
+
 METRICS = ("cosine", "euclidean", "manhattan")
 
 
@@ -66,73 +68,185 @@ def weighted_similarity(queries: DataFrame, reference: DataFrame, weights: list[
     return gaps.join(widest, query_id).select(query_id, ref_id, F.when(F.col("widest") > 0, 1 - F.col("d") / F.col("widest")).otherwise(1.0).alias("similarity"))
 
 
-def _measured(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+def _nearness(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     """For each query and reference row the cosine, or the distance with its sign changed: greater is nearer."""
     if metric == "cosine":
         bottom = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((r * r).sum(axis=1))[None, :]
         return np.divide(q @ r.T, bottom, out=np.zeros_like(bottom), where=bottom > 0)
-    if metric == "manhattan":
-        return -np.abs(q[:, None, :] - r[None, :, :]).sum(axis=2)
-    return -np.sqrt(((q[:, None, :] - r[None, :, :]) ** 2).sum(axis=2))
-
+    gaps = np.zeros((len(q), len(r)))
+    for i in range(q.shape[1]):
+        one = q[:, i, None] - r[None, :, i]
+        gaps += np.abs(one) if metric == "manhattan" else one * one
+    return -gaps if metric == "manhattan" else -np.sqrt(gaps)
 
-def top_similar(queries: DataFrame, reference: DataFrame, weights: list[float], k: int = 1, metric: str = "cosine", query_id: str = "query_id", ref_id: str = "ref_id", features: str = "features", most: int = 5000) -> DataFrame:
-    """The ``k`` most similar rows of each query of a stated set, ``rank`` from 1; equal ones by id.
 
-    Queries go to the tasks in blocks of at most ``most``, one pass over the reference for each.  A task keeps the
-    ``k`` best of its rows for each query, and the greatest distance, before anything is shuffled; so what meets for a
-    query is ``k`` rows a task."""
+def _exactly(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
+    """The same row by row, to PLACES: equal rows have equal values, wherever they are."""
+    if metric == "cosine":
+        bottom = np.sqrt((q * q).sum(axis=1)) * np.sqrt((r * r).sum(axis=1))
+        return np.divide((q * r).sum(axis=1), bottom, out=np.zeros_like(bottom), where=bottom > 0).round(PLACES)
+    return -(np.abs(q - r).sum(axis=1) if metric == "manhattan" else np.sqrt(((q - r) ** 2).sum(axis=1))).round(PLACES)
+
+
+def _apart(points: np.ndarray, pivots: np.ndarray, metric: str) -> np.ndarray:
+    """Distances for which the triangle inequality holds; for the cosine those of unit vectors."""
+    if metric != "cosine":
+        return -_nearness(points, pivots, metric)
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * _nearness(points, pivots, metric)))
+
+
+#: Pivots, rows of a block of the reference and of the queries, how much distances may be off by rounding, and to how many
+#: places rows are equally near.
+PIVOTS, ROWS, ASKED, SLACK, PLACES = 64, 8192, 8192, 1e-6, 12
+
+
+def _nearest_of_block(q: np.ndarray, r: np.ndarray, names: list, k: int, metric: str) -> Iterator[tuple[int, list[tuple], float]]:
+    """Of each query its place, the ``k`` nearest rows (nearness with its sign changed, id) and the least nearness."""
+    for at in range(0, len(q), 256):
+        near = _nearness(q[at : at + 256], r, metric)
+        # ties at the k-th place are all candidates: ids settle them
+        least = np.partition(near, -k, axis=1)[:, -k] - SLACK if near.shape[1] > k else np.full(len(near), -np.inf)
+        rows, places = np.nonzero(near >= least[:, None])
+        exact = -_exactly(q[at + rows], r[places], metric)
+        begins = np.searchsorted(rows, np.arange(len(near) + 1))
+        for i in range(len(near)):
+            own = slice(begins[i], begins[i + 1])
+            some = sorted(zip(exact[own].tolist(), [names[j] for j in places[own]]))[:k]
+            yield at + i, some, float(near[i].min())
+
+
+def top_similar(queries: DataFrame, reference: DataFrame, weights: list[float], k: int = 1, metric: str = "cosine", query_id: str = "query_id", ref_id: str = "ref_id", features: str = "features", pivots: int = PIVOTS) -> DataFrame:
+    """The ``k`` most similar rows of each query of a stated set, ``rank`` from 1; equal ones by id.  With fewer rows all
+    of them; without rows none.
+
+    The reference is cut into cells around ``pivots`` of its rows (chosen by hash), and cells into blocks of ``ROWS``; the
+    range of distances in a cell bounds how near and how far its rows can be.  A query first meets one block of its own
+    cell, which gives a k-th place to beat, then only blocks of cells that can hold a nearer row (or, where the
+    similarity needs the greatest distance, a farther one than any so far).  Queries meet blocks in a join by cell and
+    block of queries: nothing of either side goes through the driver but the pivots and a row for each cell, and a task
+    holds one block of each.  Zero vectors have cosine 0 with all: of these the ``k`` least ids stand for all."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    spark = queries.sparkSession
-    root = np.sqrt(np.array(weights, float))
+    return _merged(*_met(queries, reference, weights, k, metric, query_id, ref_id, features, pivots)[:2], k, metric, query_id, ref_id)
+
+
+def skipped_share(queries: DataFrame, reference: DataFrame, weights: list[float], k: int = 1, metric: str = "cosine", query_id: str = "query_id", ref_id: str = "ref_id", features: str = "features", pivots: int = PIVOTS) -> DataFrame:
+    """``pairs, compared, skipped``: pairs of the search of :func:`top_similar`, how many of them are compared, and the share
+    that is not."""
+    _, _, needs, sizes = _met(queries, reference, weights, k, metric, query_id, ref_id, features, pivots)
+    of_cell = F.get(F.array(*[F.lit(int(n)) for n in sizes]), F.col("cell"))
+    done = needs.agg(F.coalesce(F.sum(of_cell), F.lit(0)).cast("long").alias("compared"))
+    total = queries.count() * reference.count()
+    return done.select(F.lit(total).alias("pairs"), "compared", F.try_divide(F.lit(total) - F.col("compared"), F.lit(total)).alias("skipped"))
+
+
+def _met(queries: DataFrame, reference: DataFrame, weights: list[float], k: int, metric: str, query_id: str, ref_id: str, features: str, pivots: int) -> tuple[DataFrame, DataFrame | None, DataFrame, list[int]]:
+    """What each query found in each block it met, what all queries find among zero vectors, the cells each met, and the
+    rows of each cell."""
     kinds = queries.schema[query_id].dataType, reference.schema[ref_id].dataType
-    schema = T.StructType([T.StructField(query_id, kinds[0]), T.StructField(ref_id, kinds[1]), T.StructField("near", T.DoubleType()), T.StructField("far", T.DoubleType())])
-    types = to_arrow_schema(schema)
-    size = queries.count()
-    blocks = max(1, -(-size // most))
-    rows = reference.select(ref_id, F.transform(features, lambda x: x.cast("double")).alias("__f"))
-    asked = queries.select(query_id, F.transform(features, lambda x: x.cast("double")).alias("__f"))
-
-    def block(n: int) -> DataFrame:
-        own = asked.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == n).toArrow()  # about `most` rows
-        ids = own.column(query_id).combine_chunks()
-        sent = spark.sparkContext.broadcast((ids, _matrix(own.column("__f")) * root))
-
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
-            kept: list[list[tuple]] = [[] for _ in range(len(q))]
-            far = np.zeros(len(q))
-            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-                r = _matrix(batch.column("__f")) * root
-                names = batch.column(ref_id).to_pylist()
-                for at in range(0, len(q), 512):
-                    near = _measured(q[at : at + 512], r, metric)
-                    far[at : at + 512] = np.minimum(far[at : at + 512], near.min(axis=1))
-                    # ties at the k-th place are all candidates: ids settle them
-                    least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
-                    for i, j in zip(*np.nonzero(near >= least[:, None])):
-                        kept[at + i].append((-near[i, j], names[j]))
-                for i, some in enumerate(kept):
-                    if len(some) > 4 * k:
-                        kept[i] = sorted(some)[:k]
-            cells = [(i, name, -gap, float(far[i])) for i, some in enumerate(kept) for gap, name in sorted(some)[:k]]
-            for at in range(0, len(cells), 10_000):
-                own, names, near, widest = zip(*cells[at : at + 10_000])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), *(pa.array(list(c), f.type) for c, f in zip((names, near, widest), list(types)[1:]))], schema.names)
-
-        return rows.mapInArrow(apply, schema)
-
-    best = reduce(lambda a, b: a.unionByName(b), map(block, range(blocks)))
-    order = (F.desc("near"), F.col(ref_id))
-    own = Window.partitionBy(query_id)
-    ranked = best.withColumn("far", F.min("far").over(own)).withColumn("rank", F.row_number().over(own.orderBy(*order))).filter(F.col("rank") <= k)
-    like = F.col("near") if metric == "cosine" else F.when(F.col("far") < 0, 1 - F.col("near") / F.col("far")).otherwise(1.0)
-    return ranked.select(query_id, ref_id, like.alias("similarity"), "rank")
-
-
-def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    vector = scaled(F.col(features), weights)
+    zero = ~F.exists("__v", lambda x: x != 0) if metric == "cosine" else F.lit(False)
+    asked = queries.select(F.col(query_id).alias("__q"), vector.alias("__v"))
+    rows = reference.select(F.col(ref_id).alias("__r"), vector.alias("__v"))
+    whole = rows.count()
+    share = F.pmod(F.xxhash64("__r"), F.lit(max(1, whole // (16 * pivots)))) == 0
+    points = _matrix(rows.filter(share & ~zero).orderBy(F.xxhash64("__r"), "__r").limit(pivots).select("__v").toPandas()["__v"])
+    n = len(points)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            away = _apart(_matrix(batch.column("__v")), points, metric)
+            cell = away.argmin(axis=1)
+            own = away[np.arange(len(cell)), cell]
+            kth = np.partition(away, k - 1, axis=1)[:, k - 1] if n >= k else np.full(len(cell), np.inf)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(own), pa.array(kth), pa.array(away.max(axis=1))], [*batch.schema.names, "cell", "away", "kth", "far"])
+
+    own = [T.StructField("__v", T.ArrayType(T.DoubleType())), T.StructField("cell", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("away", "kth", "far")]]
+    held = T.StructType([T.StructField("__r", kinds[1]), *own])
+    sought = T.StructType([T.StructField("__q", kinds[0]), *own])
+    found_as = T.StructType([T.StructField("__q", kinds[0]), T.StructField("__r", kinds[1]), T.StructField("near", T.DoubleType()), T.StructField("far", T.DoubleType())])
+    spark = queries.sparkSession
+    if not n:  # nothing to search, or zero vectors only
+        none = spark.createDataFrame([], found_as)
+        return none, _zeros(asked, rows, k, zero, metric), spark.createDataFrame([], "cell int"), [0]
+    placed_rows = settle(rows.filter(~zero).mapInArrow(placed, held).drop("kth", "far"))
+    placed_queries = settle(asked.filter(~zero).mapInArrow(placed, sought))
+    cells = {r["cell"]: r for r in placed_rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("away").alias("a"), F.max("away").alias("b")).collect()}  # one for each pivot
+    of_cell = lambda name, none: [cells[c][name] if c in cells else none for c in range(n)]
+    sizes, nearest, farthest = of_cell("n", 0), np.array(of_cell("a", np.inf), float), np.array(of_cell("b", -np.inf), float)
+    asks = {r["cell"]: r["count"] for r in placed_queries.groupBy("cell").count().collect()}
+    blocks = F.array(*[F.lit(max(1, -(-c // ROWS))) for c in sizes])
+    parts = F.array(*[F.lit(max(1, -(-asks.get(c, 0) // ASKED))) for c in range(n)])
+    by_block = placed_rows.withColumn("block", F.pmod(F.xxhash64("__r"), F.get(blocks, F.col("cell"))).cast("int")).select("__r", "__v", "cell", "block")
+    by_part = placed_queries.withColumns({"home": F.col("cell"), "part": F.pmod(F.xxhash64("__q"), F.get(parts, F.col("cell"))).cast("int")})
+    types = to_arrow_schema(found_as)
+
+    def meet(some: DataFrame) -> DataFrame:
+        """``some``: queries with the cell and block that each is to meet."""
+        pairs = some.select("cell", "block", "home", "part").distinct()
+        theirs = by_block.join(pairs, ["cell", "block"])
+
+        def compare(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return types.empty_table()
+            r, q, names, ids = _matrix(left["__v"]), _matrix(right["__v"]), left["__r"].to_pylist(), right["__q"].to_pylist()
+            out = [(ids[i], name, -gap, far) for i, best, far in _nearest_of_block(q, r, names, k, metric) for gap, name in best]
+            columns = zip(*out) if out else [()] * 4
+            return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, types)], schema=types)
+
+        keys = ["cell", "block", "home", "part"]
+        right = some.select("__q", "__v", *[F.col(c).alias(f"{c}_") for c in keys])
+        return theirs.groupBy(*keys).cogroup(right.groupBy(*[f"{c}_" for c in keys])).applyInArrow(compare, found_as)
+
+    first = meet(by_part.withColumn("block", F.pmod(F.xxhash64("__q"), F.get(blocks, F.col("cell"))).cast("int")))
+    distance = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("near"))) if metric == "cosine" else -F.col("near")
+    best = first.groupBy("__q").agg(F.when(F.count(F.lit(1)) >= k, F.max(distance)).alias("__kth"), F.max(-F.col("far")).alias("__far"))
+    bounded = by_part.join(best, "__q", "left")
+    bounded = bounded.withColumns({"kth": F.least("kth", "__kth"), "far": F.greatest("far", "__far")}).drop("__kth", "__far", "cell", "away")
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+            away = _apart(_matrix(batch.column("__v")), points, metric)
+            kth, far = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] for c in ("kth", "far"))
+            may = np.maximum(away - farthest, nearest - away) <= kth * (1 + SLACK) + SLACK
+            if metric != "cosine":
+                may |= away + farthest >= far * (1 - SLACK) - SLACK
+            at, cell = np.nonzero(may & np.isfinite(nearest))
+            rest = batch.take(pa.array(at)).select(["__q", "__v", "home", "part"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(cell, pa.int32())], [*rest.schema.names, "cell"])
+
+    asking = T.StructType([sought["__q"], sought["__v"], T.StructField("home", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("cell", T.IntegerType())])
+    needs = settle(bounded.mapInArrow(needed, asking))
+    every = needs.withColumn("block", F.explode(F.sequence(F.lit(0), F.get(blocks, F.col("cell")) - 1)))
+    return meet(every), _zeros(asked, rows, k, zero, metric), needs.select("cell"), sizes
+
+
+def _zeros(asked: DataFrame, rows: DataFrame, k: int, zero: Column, metric: str) -> DataFrame | None:
+    """For the cosine: what queries find among zero vectors, and zero queries among all rows; ``k`` rows each."""
+    if metric != "cosine":
+        return None
+    least = lambda some: F.broadcast(some.select("__r").orderBy("__r").limit(k))  # noqa: E731  k rows
+    pairs = asked.filter(~zero).select("__q").join(least(rows.filter(zero))).unionByName(asked.filter(zero).select("__q").join(least(rows)))
+    return pairs.withColumns({"near": F.lit(0.0), "far": F.lit(0.0)})
+
+
+def _merged(found: DataFrame, zeros: DataFrame | None, k: int, metric: str, query_id: str, ref_id: str) -> DataFrame:
+    """Of what each query found in all blocks the ``k`` best."""
+    every = found if zeros is None else found.unionByName(zeros)
+    own = Window.partitionBy("__q")
+    first = every.withColumn("rank", F.row_number().over(own.orderBy(F.desc("near"), "__r"))).filter(F.col("rank") <= k)
+    near = F.col("near")
+    if metric != "cosine":
+        widest = every.groupBy(F.col("__q").alias("__of")).agg(F.min("far").alias("far"))
+        first = first.drop("far").join(widest, F.col("__q").eqNullSafe(F.col("__of")))
+        near = F.when(F.col("far") < 0, 1 - F.col("near") / F.col("far")).otherwise(1.0)
+    return first.select(F.col("__q").alias(query_id), F.col("__r").alias(ref_id), near.alias("similarity"), "rank")
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray | pd.Series) -> np.ndarray:
     """A row for each list of numbers, all of one length; missing numbers are an error upstream, here they stay NaN."""
+    if isinstance(lists, pd.Series):
+        return np.array(lists.tolist(), float)
     part = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     flat = part.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(part), -1) if len(part) else np.empty((0, 0))
@@ -165,7 +279,8 @@ def most_similar_cases(queries: DataFrame, train: DataFrame, test: DataFrame, na
     raw, filled = F.array(*[F.col(n).cast("double") for n in names]), F.array(*[f"{n}__filled" for n in names])
     vectors = impute_mean(pool, names, suffix="__filled").select(F.concat_ws(":", "_dataset_source", key).alias("ref_id"), key, "_dataset_source", target, filled.alias("features"), raw.alias("__ref"))
     asked = impute_mean(queries, names, pool, "__filled").select(F.col(key).alias("query_id"), filled.alias("features"), raw.alias("__own"))
-    best = top_similar(asked, vectors, weights, k + 1, metric)
+    # a query's own key may be in train and in test
+    best = top_similar(asked, vectors, weights, k + 2, metric)
     joined = best.join(vectors.drop("features"), "ref_id").join(asked.drop("features"), "query_id")
     others = joined.filter(F.col(key) != F.col("query_id"))
     ranked = others.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "ref_id"))).filter(F.col("rank") <= k)
