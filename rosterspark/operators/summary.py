@@ -47,28 +47,80 @@ def bin_rare(df: DataFrame, source: str, into: str, keep: float = 0.8, other: st
     return out.withColumn(into, F.when(F.col(source).isNull(), None).when(F.col("__kept"), F.col(source).cast("string")).otherwise(F.lit(other))).drop("__v", "__kept")
 
 
-def _six(c: str, factor: float = 1.0) -> dict[str, Column]:
-    x = F.col(c) / F.lit(factor) if factor != 1.0 else F.col(c)
-    return {"min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": F.median(x), "std": F.stddev_samp(x)}
+#: How near, in shares of all rows, the values around the middle are bracketed at a time, and how many different values
+#: reach the driver at last.
+NARROW, FEW = 0.001, 10_000
+
+
+def exact_quantiles(df: DataFrame, value: Column, ranks: list[int], narrow: float = NARROW, few: int = FEW) -> list[float]:
+    """The values of ``ranks`` (from 1, ascending) among those that are not null, as doubles; NaN is the greatest.
+
+    Each is bracketed by approximate quantiles, whose error has a bound, and rows strictly between are taken again,
+    until these hold no more than ``few`` different values.  A pass is one aggregate with a buffer of fixed size; nothing
+    is sorted or shuffled as a whole, and a value that very many rows share is met as a bracket's end."""
+    rows = df.select(value.cast("double").alias("v")).filter("v IS NOT NULL")
+    low = high = None  # strictly between these
+    below, found = 0, {}
+    wanted = sorted(set(ranks))
+    while wanted:
+        inside = rows if low is None else rows.filter((F.col("v") > low) & (F.col("v") < high))
+        head = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy("v").limit(few + 1) if low is not None else None
+        counts = head.collect() if head is not None else None  # at most `few` + 1 rows
+        if counts is not None and len(counts) <= few:
+            for r in counts:
+                found |= {rank: r["v"] for rank in wanted if below < rank <= below + r["n"]}
+                below += r["n"]
+            return [found[r] for r in ranks]
+        n = inside.count()
+        share = [max(0.0, (wanted[0] - below) / n - narrow), min(1.0, (wanted[-1] - below) / n + narrow)]
+        ends = inside.agg(F.percentile_approx("v", F.array(*map(F.lit, share)), int(4 / narrow)).alias("q")).first()["q"]
+        a, b = F.lit(ends[0]), F.lit(ends[1])
+        v = F.col("v")
+        at = inside.agg(*[F.count(F.when(c, 1)).alias(name) for name, c in {"under": v < a, "first": v == a, "between": (v > a) & (v < b), "last": (v == b) & (v > a)}.items()]).first()
+        start = below + at["under"]
+        for rank in wanted:
+            if start < rank <= start + at["first"]:
+                found[rank] = ends[0]
+            elif start + at["first"] + at["between"] < rank <= start + at["first"] + at["between"] + at["last"]:
+                found[rank] = ends[1]
+        wanted = [r for r in wanted if r not in found]
+        if wanted and not start < wanted[0] <= wanted[-1] <= start + at["first"] + at["between"] + at["last"]:
+            raise ArithmeticError("a quantile lies out of its bracket")
+        below, low, high = start + at["first"], a, b
+    return [found[r] for r in ranks]
+
+
+def exact_median(df: DataFrame, value: Column, n: int) -> float | None:
+    """The mean of the two middle ones of ``n`` values that are not null; None without values."""
+    if not n:
+        return None
+    first, second = exact_quantiles(df, value, [(n + 1) // 2, n // 2 + 1])
+    return (first + second) / 2
 
 
 def age_summary(df: DataFrame, column: str, days_per_year: float = 365.25) -> DataFrame:
-    """One row: count, and min, max, mean, median and sample deviation in days and years, to six places."""
+    """One row: count, and min, max, mean, median and sample deviation in days and years, to six places.  The median is
+    exact, by :func:`exact_quantiles`; without values all but the count are null."""
     if column not in df.columns:
         raise ValueError(f"no column {column}")
-    days = {f"{k}_days": F.round(v.cast("double"), 6) for k, v in _six(column).items()}
-    years = {f"{k}_years": F.round(v.cast("double"), 6) for k, v in _six(column, days_per_year).items()}
+    x, n = F.col(column), df.agg(F.count(column)).first()[0]
+    median = F.lit(exact_median(df, x, n)).cast("double")
+    whole = lambda v, m: {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": m, "std": F.stddev_samp(v)}
+    in_years = F.lit(days_per_year)
+    days = {f"{k}_days": F.round(v.cast("double"), 6) for k, v in whole(x, median).items()}
+    years = {f"{k}_years": F.round(v.cast("double"), 6) for k, v in whole(x / in_years, median / in_years).items()}
     return df.agg(F.count(column).alias("n"), *[v.alias(k) for k, v in {**days, **years}.items()])
 
 
 def duration_summary(df: DataFrame, column: str) -> DataFrame:
-    """One row: count, min, max, mean, median and the share of rows with a value (null without rows)."""
+    """One row: count, min, max, mean, exact median and the share of rows with a value (null without rows)."""
+    n = df.agg(F.count(column)).first()[0]
     return df.agg(
         F.count(column).alias("n"),
         F.min(column).alias("min"),
         F.max(column).alias("max"),
         F.round(F.avg(column), 6).alias("mean"),
-        F.round(F.median(column).cast("double"), 6).alias("median"),
+        F.round(F.lit(exact_median(df, F.col(column), n)).cast("double"), 6).alias("median"),
         F.round(F.try_divide(F.count(column), F.count(F.lit(1))), 6).alias("share"),
     )
 
