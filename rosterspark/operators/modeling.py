@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rosterspark.sources.tables import checkpoints, settle
+
 from .columns import fill_categories
 
 
@@ -37,56 +43,157 @@ def stratified_split(df: DataFrame, stratum: str, key: str, test: float = 0.2, s
     return joined.withColumn("split", F.when(chosen, "test").otherwise("train")).select(*df.columns, "split")
 
 
+class _Vocabularies(Params):
+    """What the encoder and its fitted form share."""
+
+    inputCols = Param(Params._dummy(), "inputCols", "categories", TypeConverters.toListString)
+    outputCols = Param(Params._dummy(), "outputCols", "vectors", TypeConverters.toListString)
+    vocabularies = Param(Params._dummy(), "vocabularies", "categories of each column, in order", TypeConverters.toString)
+
+    def _pairs(self) -> list[tuple[str, str]]:
+        return list(zip(self.getOrDefault(self.inputCols), self.getOrDefault(self.outputCols)))
+
+
+class FirstDropped(Estimator, _Vocabularies, DefaultParamsReadable, DefaultParamsWritable):
+    """One-hot categories in the order of their names, without the first: it, unknown and missing ones are all zeros."""
+
+    def __init__(self, inputCols: list[str] | None = None, outputCols: list[str] | None = None):
+        super().__init__()
+        self._set(inputCols=inputCols or [], outputCols=outputCols or [])
+
+    def _fit(self, dataset: DataFrame) -> FirstDroppedModel:
+        names = self.getOrDefault(self.inputCols)
+        # a column of the matrix for each: as many as the model can have
+        row = dataset.agg(*[F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        model = FirstDroppedModel()
+        model._set(inputCols=names, outputCols=self.getOrDefault(self.outputCols), vocabularies=json.dumps([list(x) for x in row]))
+        return self._copyValues(model)
+
+
+class FirstDroppedModel(Model, _Vocabularies, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted :class:`FirstDropped`."""
+
+    def categories(self) -> dict[str, list[str]]:
+        return dict(zip(self.getOrDefault(self.inputCols), json.loads(self.getOrDefault(self.vocabularies))))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        out = dataset
+        for (c, into), words in zip(self._pairs(), self.categories().values()):
+            place = F.array_position(F.from_json(F.lit(json.dumps(words)), "array<string>"), F.col(c).cast("string")) - 1
+            zeros = F.array_repeat(F.lit(0.0), max(0, len(words) - 1))
+            hot = F.when(place > 0, F.transform(zeros, lambda x, i: F.when(i + 1 == place, 1.0).otherwise(x))).otherwise(zeros)
+            flags = [{"idx": i, "name": w} for i, w in enumerate(words[1:])]
+            known = {"num_attrs": len(flags)} | ({"attrs": {"binary": flags}} if flags else {})
+            out = out.withColumn(into, array_to_vector(hot).alias(into, metadata={"ml_attr": known}))
+        return out
+
+
 def feature_stages(numeric: list[str], categorical: list[str]) -> list:
-    """Mean for missing numbers, scaling; one-hot categories, unknown ones apart.  Missing numbers also get a flag
-    column of their own by :func:`with_missing_flags`."""
-    filled = [f"{c}__filled" for c in numeric]
+    """Mean for missing numbers, scaling; one-hot categories without the first, unknown ones all zeros.  Missing numbers
+    also get a flag column of their own by :func:`with_missing_flags`."""
+    filled, hot = [f"{c}__filled" for c in numeric], [f"{c}__hot" for c in categorical]
     stages = [Imputer(inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__num")]
-    stages.append(StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True))
-    parts = ["__scaled"]
-    for c in categorical:
-        stages += [StringIndexer(inputCol=c, outputCol=f"{c}__ix", handleInvalid="keep"), OneHotEncoder(inputCol=f"{c}__ix", outputCol=f"{c}__hot", dropLast=True)]
-        parts.append(f"{c}__hot")
-    return [*stages, VectorAssembler(inputCols=parts, outputCol="features")]
+    stages += [StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True), FirstDropped(categorical, hot)]
+    return [*stages, VectorAssembler(inputCols=["__scaled", *hot], outputCol="features")]
+
+
+def feature_matrix(df: DataFrame, train: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
+    """``df`` with ``features``: the row of the matrix that models see, as an array; fitted on ``train``."""
+    stages = Pipeline(stages=feature_stages(numeric, categorical)).fit(train)
+    scratch = [c for c in stages.transform(df.limit(0)).columns if c not in df.columns]
+    return stages.transform(df).withColumn("features", vector_to_array("features")).drop(*[c for c in scratch if c != "features"])
 
 
 def with_missing_flags(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.withColumns({f"{c}__missing": F.col(c).isNull().cast("double") for c in numeric})
 
 
+#: Of how many rows one is held out to tell when further trees don't help, and the share of its error that they must save.
+HELD_OUT, TOLERANCE = 5, 0.01
+#: How a parameter is narrowed around its best value, with its bounds.
+REFINED: dict[str, tuple[str, float, float, float]] = {
+    "stepSize": ("continuous", 0.02, 0.001, 0.5),
+    "subsamplingRate": ("continuous", 0.05, 0.5, 1.0),
+    "minInfoGain": ("continuous", 0.1, 0.0, 2.0),
+    "maxIter": ("whole", 1000, 100, 10000),
+    "maxDepth": ("whole", 1, 3, 15),
+    "minInstancesPerNode": ("whole", 2, 1, 20),
+    "regParam": ("factors", 0.0, 0.0, float("inf")),
+}
+#: Factors of a parameter that acts by its order of size, and what is tried where its best value is 0.
+FACTORS, FROM_ZERO = (0.5, 0.8, 1.0, 1.2, 2.0), (0.0, 0.01, 0.05, 0.1, 0.2)
+
+
 def boosted_trees(numeric: list[str], categorical: list[str], label: str, **parameters) -> Pipeline:
-    settings = {"maxIter": 50, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "labelCol": label, "featuresCol": "features"} | parameters
+    """Up to 500 trees of depth 6.  Where the rows have a boolean column HELD (see :func:`with_held_out`), boosting stops
+    once the error of the held-out rows no longer falls by TOLERANCE.  Lineage is cut every ten trees."""
+    settings = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.1, "seed": 42, "labelCol": label, "featuresCol": "features", "checkpointInterval": 10, "validationTol": TOLERANCE} | parameters
     return Pipeline(stages=[*feature_stages(numeric, categorical), GBTRegressor(**settings)])
 
 
-def draw_parameters(regressor: GBTRegressor, ranges: dict[str, tuple], n: int, seed: int = 42) -> list[dict]:
-    """``n`` random parameter maps; a range is (least, most), whole numbers for whole bounds."""
+HELD = "__held_out"
+
+
+def with_held_out(df: DataFrame, key: str, one_in: int = HELD_OUT) -> DataFrame:
+    """``df`` with HELD: one in ``one_in`` rows, by a hash of ``key``."""
+    return df.withColumn(HELD, F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(one_in)) == 0)
+
+
+def fit_trees(df: DataFrame, numeric: list[str], categorical: list[str], label: str, key: str, **parameters) -> PipelineModel:
+    """:func:`boosted_trees` fitted with early stopping on rows held out by ``key``."""
+    checkpoints(df.sparkSession)
+    columns = dict.fromkeys([*numeric, *categorical, label, key])
+    rows = settle(with_held_out(df.select(*columns), key))  # each tree reads them again
+    return boosted_trees(numeric, categorical, label, validationIndicatorCol=HELD, **parameters).fit(rows)
+
+
+def draw_parameters(regressor: GBTRegressor, ranges: dict[str, tuple | list], n: int, seed: int = 42) -> list[dict]:
+    """``n`` random parameter maps.  A list is what to choose from; a pair is (least, most), whole numbers for whole
+    bounds."""
     rnd = random.Random(seed)
-    pick = lambda r: rnd.randint(*r) if all(isinstance(x, int) for x in r) else rnd.uniform(*r)
-    return [{regressor.getParam(k): pick(r) for k, r in ranges.items()} for _ in range(n)]
 
+    def pick(r: tuple | list) -> float:
+        if isinstance(r, list):
+            return rnd.choice(r)
+        return rnd.randint(*r) if all(isinstance(x, int) for x in r) else rnd.uniform(*r)
 
-def narrowed(ranges: dict[str, tuple], best: dict[str, float], share: float = 0.25) -> dict[str, tuple]:
-    """Ranges around the best values, within the old ones."""
-    out = {}
-    for k, (low, high) in ranges.items():
-        step = (high - low) * share / 2
-        a, b = max(low, best[k] - step), min(high, best[k] + step)
-        out[k] = (int(a), max(int(a), int(round(b)))) if isinstance(low, int) and isinstance(high, int) else (a, b)
-    return out
+    return [{regressor.getParam(k): pick(r) for k, r in ranges.items()} for _ in range(n)]
 
 
-def two_stage_search(df: DataFrame, numeric: list[str], categorical: list[str], label: str, ranges: dict[str, tuple], draws: tuple[int, int] = (60, 100), folds: tuple[int, int] = (3, 5), parallelism: int = 2) -> PipelineModel:
-    """Random search over wide ranges, then around the best, each by cross-validated mean absolute error."""
+def refined(name: str, best: float, points: int = 5) -> list[float]:
+    """Values of a parameter to try around its best one, ascending and without repeats: steps of a fixed width, which add up
+    to the parameter's reach on either side, within its bounds; whole steps for whole numbers; factors for one that acts by
+    its order of size.  A parameter that is not in REFINED keeps its value."""
+    if name not in REFINED:
+        return [best]
+    kind, reach, low, high = REFINED[name]
+    if kind == "factors":
+        return list(FROM_ZERO[:points]) if best == 0 else sorted({max(low, best * f) for f in FACTORS})[:points]
+    half = points // 2
+    step = (reach / half if half else reach) if kind == "continuous" else max(1, reach // half) if half else reach
+    around = [best + i * step for i in range(-half, half + 1)]
+    clamped = [min(high, max(low, round(x, 4) if kind == "continuous" else int(x))) for x in around]
+    return sorted(set(clamped))
+
+
+def two_stage_search(df: DataFrame, numeric: list[str], categorical: list[str], label: str, ranges: dict[str, tuple | list], draws: tuple[int, int] = (60, 100), folds: tuple[int, int] = (3, 5), parallelism: int = 2, key: str | None = None, **parameters) -> PipelineModel:
+    """Random search over wide ranges, then among refined values around the best, each by cross-validated mean absolute
+    error; the second stage draws no more than there are combinations; ``parameters`` hold for all.  Folds are dealt by hash (of ``key``, or of the whole
+    row) and written once for all draws of a stage."""
+    checkpoints(df.sparkSession)
+    dealt_by = F.xxhash64(*([key] if key else df.columns), F.lit(11))
     model = None
     for n, k in zip(draws, folds):
-        pipeline = boosted_trees(numeric, categorical, label)
+        rows = settle(df.withColumn("__fold", F.pmod(dealt_by, F.lit(k)).cast("int")))
+        pipeline = boosted_trees(numeric, categorical, label, **parameters)
         regressor = pipeline.getStages()[-1]
+        if all(isinstance(r, list) for r in ranges.values()):
+            n = min(n, math.prod(map(len, ranges.values())))
         maps = draw_parameters(regressor, ranges, n)
-        search = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=k, parallelism=parallelism, seed=42, evaluator=RegressionEvaluator(labelCol=label, metricName="mae"))
-        found = search.fit(df)
+        search = CrossValidator(estimator=pipeline, estimatorParamMaps=maps, numFolds=k, parallelism=parallelism, foldCol="__fold", evaluator=RegressionEvaluator(labelCol=label, metricName="mae"))
+        found = search.fit(rows)
         best = maps[min(range(n), key=lambda i: found.avgMetrics[i])]
-        ranges = narrowed(ranges, {p.name: v for p, v in best.items()})
+        ranges = {p.name: refined(p.name, v) for p, v in best.items()}
         model = found.bestModel
     return model
 

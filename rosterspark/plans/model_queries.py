@@ -83,12 +83,35 @@ def compare_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modeling.compare_models(metrics, order="model")
 
 
+_HOT = "[CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END]"
+
+
+@query(
+    f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS q, CASE WHEN l_orderkey % 6 <> 0 THEN l_discount::DOUBLE END AS d, CASE WHEN l_orderkey % 5 <> 0 THEN l_returnflag WHEN l_orderkey % 10 = 0 THEN 'new' END AS l_returnflag FROM lineitem),
+    t AS (SELECT * FROM x WHERE l_orderkey % 5 <> 0), m AS (SELECT avg(q) AS mq, avg(d) AS md FROM t), s AS (SELECT stddev_samp(q) AS sq, stddev_samp(coalesce(d, md)) AS sd FROM t, m)
+    SELECT l_orderkey, l_linenumber, list_transform(list_concat([(q - mq) / sq, (coalesce(d, md) - md) / sd], {_HOT}), lambda v: round(v, 6)) AS features FROM x, m, s"""
+)
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model of prices sees of each line: scaled numbers, missing ones by the mean, flags of categories without the
+    first; categories that the training rows lack are all zeros."""
+    known = F.col("l_orderkey") % 5 != 0
+    l = table(spark, sf_dir, "lineitem").select(  # noqa: E741
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_quantity").cast("double").alias("quantity"),
+        F.when(F.col("l_orderkey") % 6 != 0, F.col("l_discount").cast("double")).alias("discount"),
+        F.when(known, F.col("l_returnflag")).when(F.col("l_orderkey") % 10 == 0, "new").alias("flag"),
+    )
+    rows = modeling.feature_matrix(l, l.filter(known), ["quantity", "discount"], ["flag"])
+    return rows.select("l_orderkey", "l_linenumber", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
 @query()
 def gbt_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A boosted model of prices, its error on train and test, and labels."""
     l = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_returnflag", F.col("l_extendedprice").alias("target"))  # noqa: E741
     split = modeling.stratified_split(l, "l_returnflag", "id")
-    fitted = modeling.boosted_trees(["l_quantity", "l_discount"], ["l_returnflag"], "target", maxIter=5, maxDepth=4).fit(split.filter("split = 'train'"))
+    fitted = modeling.fit_trees(split.filter("split = 'train'"), ["l_quantity", "l_discount"], ["l_returnflag"], "target", "id")
     scored = modeling.batch_score(split, fitted, ["l_quantity", "l_discount", "l_returnflag"])
     parts = [summary.regression_metrics(scored.filter(F.col("split") == p), "target", "prediction").withColumn("part", F.lit(p)) for p in ("train", "test")]
     return modeling.quality_labels(parts[0].unionByName(parts[1]))
@@ -97,8 +120,8 @@ def gbt_train_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a boosted model of prices looks at."""
-    l = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_returnflag", F.col("l_extendedprice").alias("target"))  # noqa: E741
-    model = modeling.boosted_trees(["l_quantity", "l_discount"], ["l_returnflag"], "target", maxIter=3, maxDepth=3).fit(l)
+    l = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), "l_quantity", "l_discount", "l_returnflag", F.col("l_extendedprice").alias("target"))  # noqa: E741
+    model = modeling.fit_trees(l, ["l_quantity", "l_discount"], ["l_returnflag"], "target", "id")
     return modeling.feature_importances(model, model.transform(l))
 
 
@@ -106,7 +129,7 @@ def model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scenario_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar part of every hundredth one beside what a boosted model says of it."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), "p_type", F.col("p_retailprice").alias("target"))
-    model = modeling.boosted_trees(["size"], ["p_type"], "target", maxIter=3, maxDepth=3).fit(p)
+    model = modeling.fit_trees(p, ["size"], ["p_type"], "target", "id")
     asked = p.filter("id % 100 = 0")
     cases = similar.most_similar_cases(asked, p.filter("id % 5 != 0"), p.filter("id % 5 = 0"), ["size"], [1.0], "target")
     return similar.scenario_report(cases, model.transform(asked))

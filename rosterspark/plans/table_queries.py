@@ -131,7 +131,7 @@ def scenario_of_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions of a boosted model before it is saved and after it is loaded, with what is kept beside it."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), "p_type", F.col("p_retailprice").alias("target"))
-    model = modeling.boosted_trees(["size"], ["p_type"], "target", maxIter=5, maxDepth=3).fit(p)
+    model = modeling.fit_trees(p, ["size"], ["p_type"], "target", "id")
     folder = tables.scratch(spark, "model")
     modeling.save_model(model, folder, ["size", "p_type"], {"about": "price of parts"})
     again, about = modeling.load_model(folder)
@@ -144,11 +144,11 @@ def saved_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def searched_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boosted model of a two-stage random search (few draws, shallow trees): its parameters, and errors of parts."""
+    """The boosted model of a two-stage random search (few draws and trees): its parameters, and errors of parts."""
     from rosterspark.operators.summary import regression_metrics
 
     p = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("size"), "p_type", F.col("p_retailprice").alias("target"))
-    model = modeling.two_stage_search(p, ["size"], ["p_type"], "target", {"maxDepth": (2, 4), "stepSize": (0.05, 0.3), "maxIter": (3, 6)}, draws=(2, 1), folds=(2, 2))
+    model = modeling.two_stage_search(p, ["size"], ["p_type"], "target", {"maxDepth": [3, 4], "stepSize": [0.1, 0.3], "subsamplingRate": [0.8, 1.0]}, draws=(2, 1), folds=(2, 2), maxIter=5)
     last = model.stages[-1]
     found = {n: last.getOrDefault(last.getParam(n)) for n in ("maxDepth", "stepSize", "maxIter")}
     return regression_metrics(model.transform(p), "target", "prediction").withColumns({n: F.lit(v) for n, v in found.items()})

@@ -23,6 +23,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Where lineage is cut by the libraries themselves: in the shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(scratch(spark, "checkpoints"))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, and safe from lost executors."""
     path = scratch(df.sparkSession, "settled")
