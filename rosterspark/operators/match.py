@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions.names import split_name
 from rosterspark.functions.text import crosswalk_predecessor, or_null, strip
+from rosterspark.sources.tables import settle
 
 from .ordered import ROWS, scanned
 
@@ -49,7 +50,7 @@ def by_date(records: DataFrame, persons: DataFrame, dates: DataFrame, record: st
     every = held.withColumn("__asked", F.lit(False)).unionByName(stamps).withColumn("__n", F.unix_date("__day"))
     one = F.when(F.col("__who").isNotNull(), F.struct("__n", "__who"))
     names = asked.select("last", "first").unionAll(own.select("last", "first"))
-    both = scanned(every, ["last", "first"], [F.col("__n"), F.col("__asked")], last={"__before": one}, coming={"__after": one}, rows_each=rows_each, rows_of=names)
+    both = scanned(every, ["last", "first"], [F.col("__n"), F.col("__asked")], last={"__before": one}, coming={"__after": one}, rows_each=rows_each, rows_of=names, at_most=records.count() + dates.count())
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("__n") - F.col(f"{c}.__n")).alias("gap"), F.col(f"{c}.__who").alias("who")))
     nearest = both.filter("__asked").select("last", "first", "__day", F.least(gap("__before"), gap("__after")).alias("__x")).filter(F.col("__x.gap") <= window)
     return asked.join(nearest, ["last", "first", "__day"]).groupBy(record).agg(F.min("__x").alias("x")).select(record, F.col("x.who").alias(person))
@@ -70,7 +71,7 @@ def match_by_name_and_date(records: DataFrame, persons: DataFrame, dates: DataFr
     ``records`` and ``persons`` carry ``first, last, mi``; the first tier that has an answer holds.  Null ids of persons
     are no candidates; a record without an id or a name has no match."""
     persons, ids = persons.filter(F.col(person).isNotNull()), records.filter(F.col(record).isNotNull())
-    found = name_candidates(ids, persons, record, person)
+    found = settle(name_candidates(ids, persons, record, person))  # every tier asks it
     single = found.filter("least = most").select(record, F.col("least").alias(person))
     many = ids.join(found.filter("least != most").select(record), record, "left_semi")
     dated = by_date(many, persons, dates, record, person, date, window, rows_each)

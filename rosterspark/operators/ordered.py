@@ -22,13 +22,17 @@ def known(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
 
 
-def in_ranges(df: DataFrame, keys: list[str], order: list[Column], rows_each: int = ROWS, rows_of: DataFrame | None = None) -> DataFrame | None:
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column], rows_each: int = ROWS, rows_of: DataFrame | None = None, at_most: int | None = None) -> DataFrame | None:
     """``df`` with ``__range``, numbers that ascend with ``order`` within each key of over ``rows_each`` rows (0 for the
     others), and ``__place``, which tells equal rows apart; None if no key has so many rows.  Keys that are null are not
-    cut.  ``rows_of`` has the same keys with as many rows or more, where these are cheaper to count.
+    cut.  ``rows_of`` has the same keys with as many rows or more, where these are cheaper to count, and ``at_most`` is what
+    no key's rows exceed; with few rows in all, keys are not counted.
 
     Only rows of such keys are dealt out by ranges.  They are settled then, so that a lost executor does not deal anew."""
-    counts = (df if rows_of is None else rows_of).filter(known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    of = df if rows_of is None else rows_of
+    if (of.count() if at_most is None else at_most) <= rows_each:
+        return None
+    counts = of.filter(known(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     ranges = F.sum(F.when(F.col("__rows") > rows_each, F.ceil(F.col("__rows") / rows_each)))
     total = counts.agg(ranges).first()[0]
     if not total:
@@ -52,12 +56,13 @@ def scanned(
     coming: dict[str, Column] | None = None,
     rows_each: int = ROWS,
     rows_of: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """``df`` with new columns by ``order`` (ascending, nulls first) within ``keys``: ``before`` and ``after`` have a
     value of the previous and of the next row, ``least`` the least value up to and with the row, ``last`` the last one up
     to it and ``coming`` the first one from it on that is not null.  A row with a null key is alone.  Rows that ``order`` does not tell apart come in any order."""
     before, after, least, last, coming = before or {}, after or {}, least or {}, last or {}, coming or {}
-    ranged = in_ranges(df, keys, order, rows_each, rows_of)
+    ranged = in_ranges(df, keys, order, rows_each, rows_of, at_most)
     one = ranged is None
     rows = df.withColumns({"__place": F.monotonically_increasing_id(), "__range": F.lit(0)}) if one else ranged
     # a row without a key has the number of its own for one

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rosterspark.functions import calendar, description, text
 from rosterspark.operators import columns, filters, joins
-from rosterspark.sources.tables import settle
+from rosterspark.sources.tables import settle, spread
 
 from .join_queries import _CTRL, _PRES
 from .registry import DESCRIBED, nominations, query, table
@@ -96,7 +96,7 @@ _SQL = f"""WITH {_PRES}, {_CTRL}, noms AS ({DESCRIBED.format(orders="orders")}),
 @query(_SQL)
 def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of records made from orders and customers."""
-    noms = nominations(spark, sf_dir).select(
+    noms = spread(nominations(spark, sf_dir)).select(
         "citation",
         F.col("o_custkey").alias("nid"),
         "description",

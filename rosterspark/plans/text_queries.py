@@ -43,7 +43,7 @@ FORMS = """CASE o_orderkey % 12
 )
 def parse_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions of eleven forms taken apart again into what they were made of."""
-    said = nominations(spark, sf_dir).withColumn("description", F.expr(FORMS))
+    said = tables.spread(nominations(spark, sf_dir)).withColumn("description", F.expr(FORMS))
     return description.parse_descriptions(said.select("o_orderkey", "description")).drop("description")
 
 

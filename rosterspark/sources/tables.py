@@ -36,6 +36,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in more partitions, where it has fewer than there are cores, for work that is dear by the row: a file is cut by
+    its size, and a small one has many rows.  ``df`` is a table as read, without joins."""
+    have = df.rdd.getNumPartitions()
+    want = min(df.sparkSession.sparkContext.defaultParallelism, 8 * have)
+    return df.repartition(want) if have < want else df
+
+
 def parse_date(c: Column) -> Column:
     """``yyyy-m-d`` or ``m/d/yyyy``, also before 1900; null for anything else."""
     t = strip(c.cast("string"))
