@@ -8,6 +8,7 @@ partitions and packed again, round by round, as long as sequences can still be s
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import unicodedata
@@ -221,15 +222,17 @@ def _pack(items: DataFrame, capacity: int) -> DataFrame:
     return items.select(*names).groupBy("part").applyInPandas(apply, schema)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = 16_384, rounds: int = 3) -> DataFrame:
-    """``items`` (key, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
+def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = 16_384) -> DataFrame:
+    """``items`` (key, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``, and the certificate of the
+    partition that packed them: how many sequences it filled, and that it could not have done with fewer than ``bound``.
 
-    ``per_part`` is how many pieces a partition packs on average, whatever the size of the input."""
+    ``per_part`` is how many pieces a partition packs on average, whatever the size of the input.  Partitions above their
+    bound exchange pieces, and go on as long as a round saves a sequence."""
     total = items.count()
     parts = max(1, -(-total // per_part))
     todo, done, base = _deal(items, parts, 0), None, 0
     packed = cut(_pack(todo, capacity))
-    for salt in range(1, rounds + 1):
+    for salt in itertools.count(1):
         loose = (F.col("bins") > F.col("bound")) | F.col("open")
         moving = packed.filter(loose)
         before = moving.select("part", "bin").distinct().count()
@@ -246,17 +249,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = 16_384, rou
         packed, parts, base = again, fewer, base + 1
     rest = packed.withColumn("round", F.lit(base))
     done = rest if done is None else done.unionByName(rest)
-    numbered = F.shiftleft(F.col("round").cast("long"), 58) + F.shiftleft(F.col("part").cast("long"), 26) + F.col("bin")
-    return done.select(*items.columns, numbered.alias("sequence_id"), "offset")
+    numbered = F.shiftleft(F.col("round").cast("long"), 52) + F.shiftleft(F.col("part").cast("long"), 26) + F.col("bin")
+    return done.select(*items.columns, numbered.alias("sequence_id"), "offset", F.col("bins").alias("n_sequences"), "bound")
 
 
-def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, per_part: int = 16_384, rounds: int = 3) -> DataFrame:
-    """Tokenise ``docs`` and pack them: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+def certificates(packed: DataFrame) -> DataFrame:
+    """``part, n_sequences, bound`` for each partition that packed some of the pieces."""
+    return packed.select(F.shiftright("sequence_id", 26).alias("part"), "n_sequences", "bound").distinct()
+
+
+def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, per_part: int = 16_384) -> DataFrame:
+    """Tokenise ``docs`` and pack them: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the certificate of
+    :func:`pack`.  Pieces of equal length go by their ids' checksum and their number.
 
     Each row of ``docs`` is packed, also repeated ones, those with null ids and null or empty texts (one token); other
     columns are ignored.  Only documents above ``capacity`` are cut.  An empty table gives an empty one."""
     found = cut(pieces(docs, path, id_col, text_col, capacity).withColumnRenamed(id_col, "key"))
-    return pack(found, capacity, per_part, rounds).withColumnRenamed("key", id_col)
+    return pack(found, capacity, per_part).withColumnRenamed("key", id_col)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

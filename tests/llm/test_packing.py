@@ -70,8 +70,19 @@ def test_bounds_and_bins():
 def test_exchange_saves_sequences(spark):
     rnd = random.Random(6)
     items = spark.createDataFrame([(i, 0, 0, rnd.randint(1, 2100), i) for i in range(1500)], "key long, piece int, start long, length long, ids_crc32 long")
-    alone = check(packing.pack(items, 4096, per_part=60, rounds=0).collect(), 4096)
-    out = packing.pack(items, 4096, per_part=60, rounds=3).collect()
+    alone = packing._pack(packing._deal(items, 25, 0), 4096).select("part", "bin").distinct().count()
+    packed = packing.pack(items, 4096, per_part=60).cache()
+    out = packed.collect()
     assert len(out) == 1500
     total = sum(r["length"] for r in out)
     assert -(-total // 4096) <= check(out, 4096) <= alone
+    told = packing.certificates(packed).collect()
+    assert all(r["n_sequences"] >= r["bound"] > 0 for r in told)
+    # a partition above its bound is one that no further round could mend: there is a last one only
+    assert sum(r["n_sequences"] > r["bound"] for r in told) <= sum(r["part"] >> 26 == max(x["part"] >> 26 for x in told) for r in told)
+
+
+def test_a_single_partition_is_certified(spark):
+    items = spark.createDataFrame([(i, 0, 0, 1365, i) for i in range(90)], "key long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(items, 4096).collect()
+    assert check(packed, 4096) == 30 and {(r["n_sequences"], r["bound"]) for r in packed} == {(30, 30)}
