@@ -104,9 +104,12 @@ def suffix_match(queries: DataFrame, query: str, names: DataFrame, name: str, va
     rows = names.select(F.col(name).alias("__name"), F.col(value).alias("__value"), F.col(order).alias("__order")).filter("__name != ''")
     exact = asked.join(rows, F.col(query) == F.col("__name")).groupBy(query).agg(F.max(F.struct("__order", "__value")).alias("x")).select(query, F.col("x.__value").alias("__exact"))
     token = last_token(F.col("__name"))
-    least = F.greatest(F.length(token) - asked.agg(F.coalesce(F.min(F.length("__token")), F.lit(1)).alias("n")).first()["n"] + 1, F.lit(1))
-    ends = rows.filter(F.length(token) > 0).select("__value", "__order", F.explode(F.transform(F.sequence(F.lit(1), least), lambda i: F.substring(token, i, F.length(token)))).alias("__token"))
-    firsts = ends.groupBy("__token").agg(F.min(F.struct("__order", "__value")).alias("x")).select("__token", F.col("x.__value").alias("__loose"))
+    least = F.greatest(F.length("__last") - asked.agg(F.coalesce(F.min(F.length("__token")), F.lit(1)).alias("n")).first()["n"] + 1, F.lit(1))
+    # different last tokens are far fewer than rows
+    tokens = rows.filter(F.length(token) > 0).groupBy(token.alias("__last")).agg(F.min(F.struct("__order", "__value")).alias("x"))
+    last = F.col("__last")
+    ends = tokens.select("x", F.explode(F.transform(F.sequence(F.lit(1), least), lambda i: F.substring(last, i, F.length(last)))).alias("__token"))
+    firsts = ends.groupBy("__token").agg(F.min("x").alias("x")).select("__token", F.col("x.__value").alias("__loose"))
     found = asked.join(exact, query, "left").join(firsts, "__token", "left")
     return found.select(query, F.coalesce("__exact", "__loose").alias(value))
 
