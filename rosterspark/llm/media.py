@@ -226,7 +226,9 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Each text stored as sound under a type that often is declared wrongly, found by sniffing, carved and read back.
 
     ``feature`` says the declared and the found type, offset and length of the medium, the number of media inside it
-    and their types.  Equal texts give equal rows but for the id; repeated rows and null ids do no harm."""
+    and their types.  Equal texts give equal rows but for the id; repeated rows and null ids do no harm; null texts count as
+    empty (64 zero bytes); a text of any length is stored whole, at about four times its size in memory; an empty table
+    gives an empty one; other columns, whatever their names, are ignored."""
     kind = docs.schema[id_col].dataType
     longs = ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")
     names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
