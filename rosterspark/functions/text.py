@@ -91,6 +91,11 @@ def latest_action(action: Column) -> dict[str, Column]:
 
 #: The comma before a reason, and stems of reasons.
 REASON = r"(?i)\s*,\s*(retir|elevat|deceas|withdraw|no senate vote|reject|resign)"
+#: What a stem is called (any other by itself), and what is after "vice".
+REASONS = {"retir": "Retirement", "elevat": "Elevated", "deceas": "Death", "resign": "Resignation", "withdraw": "Withdrawal", "reject": "Rejection"}
+AFTER_VICE = r"(?i)\bvice\s+([^,.]+?)(?=[,.]|$)"
+#: Words before a predecessor's name.
+BEFORE_NAME = ("vice", "succeeding")
 
 
 def predecessor(description: Column) -> Column:
@@ -105,23 +110,16 @@ def predecessor(description: Column) -> Column:
 
 def vacancy_reason(description: Column) -> Column:
     """Why the seat is empty; null without "vice" and a reason."""
-    who = F.lower(F.regexp_extract(description, r"(?i)\bvice\s+([^,.]+?)(?=[,.]|$)", 1))
+    who = F.lower(F.regexp_extract(description, AFTER_VICE, 1))
     stem = F.lower(F.regexp_extract(description, REASON, 1))
-    of = (
-        F.when(stem == "retir", "Retirement")
-        .when(stem == "elevat", "Elevated")
-        .when(stem == "deceas", "Death")
-        .when(stem == "resign", "Resignation")
-        .when(stem == "withdraw", "Withdrawal")
-        .when(stem == "reject", "Rejection")
-        .when(stem != "", F.concat(F.upper(F.substring(stem, 1, 1)), F.substring(stem, 2, 100)))
-    )
+    named = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair]), lambda k, v: k == stem)), F.lit(0))
+    of = F.coalesce(named, F.when(stem != "", F.concat(F.upper(F.substring(stem, 1, 1)), F.substring(stem, 2, 100))))
     return F.when(who.contains("new position"), "New Position").when(who != "", of)
 
 
 def crosswalk_predecessor(description: Column) -> Column:
     """The name after "vice", else after "succeeding", up to a period or comma."""
-    return F.coalesce(*[or_null(strip(F.regexp_extract(description, rf"(?i){w}\s+([^.,]+)", 1))) for w in ("vice", "succeeding")])
+    return F.coalesce(*[or_null(strip(F.regexp_extract(description, rf"(?i){w}\s+([^.,]+)", 1))) for w in BEFORE_NAME])
 
 
 def fill_from(target: Column, found: Column, blank_too: bool = True) -> Column:
