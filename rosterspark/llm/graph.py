@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges up to which rounds take FEW partitions and send the minima (a row a node, 6 MB) to all tasks, whatever the session's number
+#: of shuffle partitions: else nearly every task and shuffle file of a round holds nothing.
+SMALL, FEW = 200_000, 8
+
 
 def _weigh(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(
@@ -16,12 +20,16 @@ def _weigh(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"])
 
 
-def _to_minimum(arcs: DataFrame, keep) -> DataFrame:
+def _dealt(rows: DataFrame, small: bool) -> DataFrame:
+    return rows.coalesce(FEW) if small else rows
+
+
+def _to_minimum(arcs: DataFrame, keep, small: bool = False) -> DataFrame:
     """Each neighbour of ``a`` that ``keep`` admits is tied to the least of ``a`` and its neighbours."""
-    least = arcs.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("hub"), F.least("hub", "low").alias("low"))
-    tied = arcs.join(least, F.col("a") == F.col("hub")).filter(keep).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    least = _dealt(arcs.groupBy("a").agg(F.min("b").alias("low")), small).select(F.col("a").alias("hub"), F.least("a", "low").alias("low"))
+    tied = arcs.join(F.broadcast(least) if small else least, F.col("a") == F.col("hub")).filter(keep).select(F.col("b").alias("a"), F.col("low").alias("b"))
     own = least.filter("hub > low").select(F.col("hub").alias("a"), F.col("low").alias("b"))
-    return tied.unionByName(own).filter("a != b").distinct()
+    return _dealt(tied.unionByName(own).filter("a != b").distinct(), small)
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -36,12 +44,14 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         .distinct()
     )
     before = _weigh(now)
+    small = before[0] <= SMALL  # steps never add nodes
+    now = _dealt(now, small)
     for _ in range(rounds):
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _to_minimum(both, F.col("b") > F.col("a"))
-        now = cut(_to_minimum(large, F.lit(True)))
+        large = _to_minimum(both, F.col("b") > F.col("a"), small)
+        now = cut(_to_minimum(large, F.lit(True), small))
         after = _weigh(now)
         if after == before:
             break
@@ -49,4 +59,4 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     labels = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    return labels.unionByName(_dealt(labels.select(F.col("label").alias("node"), "label").distinct(), small))

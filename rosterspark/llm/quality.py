@@ -168,7 +168,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col: str
     some = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).join(F.broadcast(chosen), id_col)
     some = some.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max("label").alias("label"))
     dealt = some.repartition(4, id_col).sortWithinPartitions(id_col)
-    return fit(cut(with_statistics(dealt, text_col).select("label", "stats")))
+    # the sample is small: each pass of the fits over it takes four tasks, though the session may deal it to more
+    return fit(cut(with_statistics(dealt, text_col).select("label", "stats")).coalesce(4))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
