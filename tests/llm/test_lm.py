@@ -132,6 +132,17 @@ def test_tally_and_lookup():
     assert (lm.Lookup(keys, counts)(asked) == [want[int(k)] for k in asked]).all()
 
 
+def test_words_are_cut_as_by_split():
+    rnd = np.random.default_rng(5)
+    marks = [" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c", "\x1c", "\x00", "\x85", "\xa0", "\u2003", "a", "Bc", "é", "日本", "."]
+    texts = [b"", b" ", b"\n\t ", b"one", *("".join(rnd.choice(marks, 30)).encode().lower() for _ in range(200)), b""]
+    keys, which, n = lm.words_of(texts)
+    want = [w for t in texts for w in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts] and len(keys) == len(set(want))
+    assert (keys[which] == lm.word_keys(want)).all()
+    assert [len(x) for x in lm.words_of([b"", b" "])] == [0, 0, 2]
+
+
 def test_log_kt():
     for a, b in ((0, 0), (3, 1), (100, 2), (5000, 70000)):
         want = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
