@@ -113,6 +113,19 @@ def test_timelines_in_ranges_are_the_same(spark):
     assert own[0].filter("seat_id IS NULL AND (gap_days IS NOT NULL OR succession != 'regular')").count() == 0
 
 
+@pytest.mark.parametrize("each", [10**6, 2])
+def test_ties_of_succession_go_by_all_columns(spark, each):
+    day = lambda n: None if n is None else DAY + datetime.timedelta(n)
+    # of one seat, start and number: the earlier end is first; unknown numbers, ends and starts are last
+    rows = [("S", 1, 5, 15), ("S", 1, 5, 8), ("S", 1, 5, None), ("S", None, 5, 40), ("S", 2, 5, 20), ("S", 3, 50, 60), ("S", 4, None, 70)]
+    want = [(1, 8, None), (1, 15, -3), (1, None, -10), (2, 20, None), (None, 40, -15), (3, 60, 10), (4, 70, None)]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame([(s, n, day(a), day(b)) for s, n, a, b in some], "seat string, nid int, a date, b date").coalesce(1)
+        got = timeline.succession(df, "seat", "a", "b", ["nid"], rows_each=each)
+        found = [(r["nid"], r["b"], r["gap_days"]) for r in got.collect()]
+        assert sorted(found, key=repr) == sorted(((n, day(b), gap) for n, b, gap in want), key=repr)
+
+
 def test_duplicates_without_sorting_keys(spark):
     rnd = random.Random(6)
     rows = [(rnd.choice([1, 1, 1, 2, 3, None, 4, 5]), rnd.randint(0, 5), i % 50) for i in range(300)] + [(9, 1, 1)]
